@@ -19,14 +19,14 @@ from functools import lru_cache
 from itertools import batched
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Pre-tokens that a worker remembers before it starts over.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Pre-tokens of a text in hand at a time.
 RUN = 200_000
 
@@ -127,42 +127,44 @@ def _codec(proto: bytes, pattern: str) -> Codec:
 
 
 class BytePairTokenizer:
-    """Spark columns that encode and decode by the vocabulary at ``path``.
+    """The vocabulary at ``path``, for Spark tables.
 
-    The model (about 30 bytes a token; ``MOST_BYTES`` at most) is broadcast once.
+    The model (about 30 bytes a token; ``MOST_BYTES`` at most) is broadcast once. Each
+    task has one Python worker, which takes ``SLICE`` rows at a time.
     """
 
     MOST_BYTES = 64 << 20
+    SLICE = 256
 
     def __init__(self, spark, path: str, pattern: str):
         proto = model_proto(read_ranks(path))
         if len(proto) > self.MOST_BYTES:
             raise ValueError("the vocabulary is too large to broadcast")
-        shared = spark.sparkContext.broadcast(proto)
+        self.shared, self.pattern = spark.sparkContext.broadcast(proto), pattern
 
-        @F.pandas_udf("binary")
-        def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = _codec(shared.value, pattern)
-            for part in texts:
-                yield pd.Series([codec.encode(t) for t in part], dtype=object)
+    def _added(self, df: DataFrame, source: str, out: str, method: str, then: str | None = None) -> DataFrame:
+        """``df`` with ``out`` made from ``source`` by a method of the codec, and ``then`` decoded from ``out``."""
+        df = df.drop(*[c for c in (out, then) if c])
+        shared, pattern, size = self.shared, self.pattern, self.SLICE
 
-        @F.pandas_udf("binary")
-        def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(shared.value, pattern)
-            for part in ids:
-                yield pd.Series([codec.decode(i) for i in part], dtype=object)
-
-        self._encode, self._decode = encode, decode
-
-    def encode(self, text: Column) -> Column:
-        """Ids of a string column as unsigned 32-bit little-endian binary."""
-        return self._encode(text)
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes that the ids stand for."""
-        return self._decode(ids)
-
-
-def tokenize(df: DataFrame, tokenizer: BytePairTokenizer, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
-    """Add the ids of ``text`` and the bytes they decode to; columns of those names are replaced."""
-    return df.withColumn(ids, tokenizer.encode(F.col(text))).withColumn(decoded, tokenizer.decode(F.col(ids)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    made = [getattr(codec, method)(x) for x in part.column(source).to_pylist()]
+                    part = part.append_column(out, pa.array(made, pa.binary()))
+                    if then:
+                        part = part.append_column(then, pa.array(map(codec.decode, made), pa.binary()))
+                    yield part
+
+        schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.BinaryType()) for c in (out, then) if c]])
+        return df.mapInArrow(run, schema)
+
+    def encode(self, df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+        """``df`` with the ids of ``text``; with ``decoded``, also the bytes that these ids stand for. Columns so named are replaced."""
+        return self._added(df, text, ids, "encode", decoded)
+
+    def decode(self, df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+        """``df`` with the bytes that ``ids`` stand for."""
+        return self._added(df, ids, decoded, "decode")

@@ -25,7 +25,7 @@ def byte_tokenizer(spark: SparkSession) -> bpe.BytePairTokenizer:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.tokenize(_table(spark, sf_dir, "documents").select("doc_id", "text"), byte_tokenizer(spark))
+    coded = byte_tokenizer(spark).encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
