@@ -37,3 +37,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError("components did not settle")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def components_of(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(pix, node)`` for every pixel: its component over the pixel pairs ``(lo, hi)``, keyed by its smallest pixel."""
+    found = connected_components(pairs, "lo", "hi").withColumnRenamed("node", "pix")
+    return pixels.select("pix").join(found, "pix", "left").select("pix", F.coalesce("component", "pix").alias("node"))
+
+
+def label_components(labels: DataFrame, width: int, height: int) -> DataFrame:
+    """4-connected components of equal labels: ``labels(pix, label)`` to ``(pix, node)``; null labels are no-data."""
+    from mosaiq.operators.graph import adjacent_pixels
+
+    valid = labels.where("label is not null")
+    pairs = adjacent_pixels(valid, width, height, ["label"]).where("lo_label = hi_label")
+    return components_of(valid, pairs.select("lo", "hi"))
+
+
+def same_label_neighbour(labels: DataFrame, width: int, height: int) -> DataFrame:
+    """``(pix, neighbour)``: the lowest 4-neighbour with the same label, where there is one."""
+    from mosaiq.operators.graph import adjacent_pixels
+
+    pairs = adjacent_pixels(labels.where("label is not null"), width, height, ["label"]).where("lo_label = hi_label")
+    both = pairs.select(F.col("lo").alias("pix"), F.col("hi").alias("n")).union(pairs.select("hi", "lo"))
+    return both.groupBy("pix").agg(F.min("n").alias("neighbour"))
+
+
+def threshold_components(pixels: DataFrame, width: int, height: int, most: float) -> DataFrame:
+    """Components of 4-neighbours whose bands are less than ``most`` apart (Euclidean)."""
+    from mosaiq.operators.graph import adjacent_pixels
+
+    pairs = adjacent_pixels(pixels, width, height, ["bands"])
+    squares = F.zip_with("lo_bands", "hi_bands", lambda a, b: (a - b) * (a - b))
+    near = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, d: s + d)) < most
+    return components_of(pixels, pairs.where(near).select("lo", "hi"))

@@ -1 +1 @@
-
+"""Rasters, graphs and features: readers and writers."""
