@@ -45,10 +45,15 @@ def n_words(text: Column) -> Column:
     return F.greatest(pieces - empty, F.lit(0)).cast("long")
 
 
+def _place() -> Column:
+    """A row's place in the shuffle of its source."""
+    return unit(F.xxhash64("doc_id", "text", "source"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, size, src, u)``: word counts, a source key that isn't null, a place in the shuffle."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("src"), unit(F.xxhash64("doc_id", "text", "source")).alias("u"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("src"), _place().alias("u"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -72,8 +77,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     # A pass over n blocks holds source_size words, so slots go by target / source_size passes.
     out = out.withColumn("slots", F.coalesce(F.col("target") * F.col("n_blocks") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
     upto = F.sum("slots").over(Window.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.nullif(F.sum("slots").over(everything), F.lit(0.0))
-    return out.withColumn("hi", upto / total).withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("pos")), F.lit(0.0))).select("src", "source_size", "target", "block_words", "n_blocks", "slots", "lo", "hi")
+    out = out.withColumn("upto", upto)
+    total = F.nullif(F.max("upto").over(everything), F.lit(0.0))
+    return out.withColumn("hi", F.col("upto") / total).withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("pos")), F.lit(0.0))).select("src", "source_size", "target", "block_words", "n_blocks", "slots", "lo", "hi")
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -92,14 +98,14 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def blocks(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """``(src, block, doc_id, source, size, start, from_word, n)``: the pieces of documents that fill each block."""
+    """``(src, block, u, doc_id, source, size, start, from_word, n)``: the pieces of documents that fill each block."""
     laid = exclusive_prefix(sizes.where("size > 0"), "src", "u", ["doc_id", "size"], F.col("size"), "start")
     cut = laid.join(sources.select("src", "block_words"), "src")
     each = F.sequence(F.floor(F.col("start") / F.col("block_words")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block_words")))
     cut = cut.withColumn("block", F.explode(each))
     first = F.greatest(F.col("start"), F.col("block") * F.col("block_words"))
     after = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words"))
-    return cut.select("src", "block", "doc_id", "source", "size", "start", (first - F.col("start")).alias("from_word"), (after - first).alias("n"))
+    return cut.select("src", "block", "u", "doc_id", "source", "size", "start", (first - F.col("start")).alias("from_word"), (after - first).alias("n"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -109,13 +115,32 @@ def mix(docs: DataFrame) -> DataFrame:
     return schedule(sources).join(blocks(sizes, sources), ["src", "block"]).select("slot", "epoch", "source", "doc_id", "from_word", "n")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` for every row: the words that the mix takes, repeats counted."""
+def _taken(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(src, u, doc_id, source, size, taken)`` for every row, and the sources."""
     sizes = materialize(sized(docs))
     sources = materialize(targets(sizes))
     times = schedule(sources).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = blocks(sizes, sources).join(times, ["src", "block"], "left")
-    taken = pieces.groupBy("src", "start", "doc_id", "source", "size").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    none = sizes.where("size = 0").select("src", "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
-    every = taken.drop("start").unionByName(none)
-    return every.join(sources.select("src", "source_size", "target"), "src").select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = pieces.groupBy("src", "start", "u", "doc_id", "source", "size").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+    none = sizes.where("size = 0").select("src", "u", "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    return taken.drop("start").unionByName(none), sources
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)`` for every row: the words that the mix takes, repeats counted."""
+    taken, sources = _taken(docs)
+    return taken.join(sources.select("src", "source_size", "target"), "src").select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def repeated_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes its words, to the nearest whole number.
+
+    Rows without words stay once. Rows that are alike throughout are taken alike.
+    """
+    taken, _ = _taken(docs)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)))).cast("int")
+    alike = taken.groupBy("src", "u", "doc_id", "size").agg(times.alias("__times")).where("__times > 0")
+    alike = alike.select(F.col("u").alias("__u2"), F.col("doc_id").alias("__id"), F.col("size").alias("__size2"), "__times")
+    placed = docs.withColumn("__u", _place()).withColumn("__size", n_words(F.col("text")))
+    same = (F.col("__u") == F.col("__u2")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__size2"))
+    return placed.join(alike, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.forest import spanning_forest
 from mosaiq.operators.components import connected_components
 from mosaiq.plans.lineage import materialize
 
@@ -129,21 +130,6 @@ def postings(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select("fp").mapInArrow(post, "key long, fp long, looks_up boolean")
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a bipartite graph, given as a boolean matrix."""
-    left, right, out = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool), []
-    for root in range(near.shape[0]):
-        todo = [(root, True)] if left[root] else []
-        left[root] = False
-        while todo:
-            at, is_left = todo.pop()
-            fresh = np.nonzero(near[at] & right if is_left else near[:, at] & left)[0]
-            (right if is_left else left)[fresh] = False
-            out += [(at, j) if is_left else (j, at) for j in fresh.tolist()]
-            todo += [(j, not is_left) for j in fresh.tolist()]
-    return out
-
-
 def links(fingerprints: DataFrame) -> DataFrame:
     """``(src, dst)`` of distinct fingerprints within ``MOST_BITS``: enough links to span every component."""
     posted = postings(fingerprints)
@@ -168,7 +154,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
                 if not len(x) or not len(y):
                     continue
                 apart = np.bitwise_count(x[:, None] ^ y[None, :])
-                for i, j in _forest((apart > 0) & (apart <= MOST_BITS)):
+                for i, j in spanning_forest((apart > 0) & (apart <= MOST_BITS)):
                     src.append(x[i])
                     dst.append(y[j])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
