@@ -9,9 +9,10 @@ span overlaps. The characters tell the encoding (hex, base32, base64); then
 * chi-squared uniformity over its alphabet: the statistic is set against what written
   words give there (a share ``COLLIDES`` of character pairs are equal, far over
   1/alphabet). The p-value of "no more uniform than words" falls with length, so a
-  short run must be clearer than a long one;
+  short run must be clearer than a long one. A second chi-squared test, over upper case,
+  lower case and the rest, asks whether these are as frequent as in the alphabet;
 * runs above and below the alphabet's middle, and lag-1 serial correlation: a run that
-  isn't random in order (counters, alphabets, repeats) is out.
+  isn't random in order (counters, alphabets, repeats), or in those kinds, is out.
 
 Which p-values count as found is settled by false-discovery control (Benjamini and
 Hochberg) inside each encoding and length class, over all runs of the corpus. The
@@ -115,7 +116,12 @@ def battery(run: Column) -> Column:
 
         values = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
         p_serial = 2 * _normal(-F.abs(bind(values, serial)) * F.sqrt(n.cast("double")))
-        ordered = (2 * F.least(p_runs, p_serial)) < ORDER_LEVEL
+        kinds = [("A-Z", sum(c.isupper() for c in alphabet)), ("a-z", sum(c.islower() for c in alphabet)), ("^A-Za-z", sum(not c.isalpha() for c in alphabet))]
+        kinds = [(kind, size) for kind, size in kinds if size]
+        counted = [(F.length(F.regexp_replace(s, f"[^{kind}]" if kind[0] != "^" else f"[{kind[1:]}]", "")), n * size / k) for kind, size in kinds]
+        uneven = sum(((seen - due) * (seen - due) / due for seen, due in counted), F.lit(0.0))
+        p_kinds = F.exp(-uneven / 2) if len(kinds) == 3 else 2 * _normal(-F.sqrt(uneven))
+        ordered = (3 * F.least(p_runs, p_serial, p_kinds)) < ORDER_LEVEL
         tenth = F.least(F.floor(-10 * F.log10(F.greatest(p_words, F.lit(1e-300)))), F.lit(MOST_BIN)).cast("int")
         made = F.struct(F.lit(name).alias("encoding"), F.length(F.bin(n)).alias("length_class"), tenth.alias("bin"))
         return F.when(~ordered, made)

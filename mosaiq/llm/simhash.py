@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -71,10 +70,10 @@ def fingerprint(raw: bytes | None) -> int:
 def simhash(text: Column) -> Column:
     """The fingerprint of a string column, as a long."""
 
-    @F.pandas_udf("long")
-    def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield pd.Series([fingerprint(t) for t in part], dtype="int64")
+            yield pa.array((fingerprint(t.as_py()) for t in part), pa.int64())
 
     return fingerprints(text.cast("binary"))
 
@@ -153,7 +152,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
                 x, y = (np.asarray(side.values) for side in (left, right))
                 if not len(x) or not len(y):
                     continue
-                apart = np.bitwise_count(x[:, None] ^ y[None, :])
+                apart = np.bitwise_count((x[:, None] ^ y[None, :]).view(np.uint64))  # of signed numbers it counts the absolute value's
                 for i, j in spanning_forest((apart > 0) & (apart <= MOST_BITS)):
                     src.append(x[i])
                     dst.append(y[j])
