@@ -115,7 +115,7 @@ def dense_ids(nodes: DataFrame) -> DataFrame:
 
     most = nodes.agg(F.max("node")).first()[0] or 0
     placed = nodes.select("node", F.lit(0).alias("all"), (F.col("node") / F.lit(float(most + 1))).alias("u"))
-    return exclusive_prefix(placed, "all", "u", ["node"], F.lit(1), "id").select("node", "id")
+    return exclusive_prefix(placed, "all", "u", ["node"], F.lit(1), "id", grid=1 << 16).select("node", "id")
 
 
 def memory_estimate(graph: Graph, n_bands: int) -> DataFrame:
