@@ -8,12 +8,13 @@ The outside of the image and no-data are region -1; arcs against it stay as they
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mosaiq.functions.spatial import neighbours, x_of, y_of
 from mosaiq.operators.graph import Graph, both_ways
@@ -22,6 +23,24 @@ from mosaiq.plans.lineage import materialize
 LINE = "array<struct<x:double,y:double>>"
 
 
+def per_group(df: DataFrame, keys: list[str], columns: list[str], f: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Rows ``f(*keys, *columns)`` of each group, its columns as arrays: groups are packed first, so small ones cost little."""
+    packed = df.groupBy(*keys).agg(*[F.collect_list(c).alias(c) for c in columns])
+    names = T.StructType.fromDDL(schema).names
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [row for values in zip(*(part[c] for c in (*keys, *columns))) for row in f(*values)]
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    return packed.mapInPandas(run, schema)
+
+
+def points_of(xy: np.ndarray) -> list[dict]:
+    return [{"x": x, "y": y} for x, y in xy.astype(float).tolist()]
+
+
 def unit_sides(members: DataFrame, width: int, height: int) -> DataFrame:
     """``(node, other, x0, y0, x1, y1)``: every pixel side with another region, or none, beyond it."""
     x, y = x_of(F.col("pix"), width), y_of(F.col("pix"), width)
@@ -71,17 +90,16 @@ def arcs(sides: DataFrame) -> DataFrame:
     stops = met.join(twice, ["x", "y"]).where((F.size("regions") > 2) | (F.col("n") > 1)).select(F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(True).alias("stops"))
     own = sides.where("other < node").join(stops, ["x0", "y0"], "left").select(F.col("other").alias("lo"), F.col("node").alias("hi"), "x0", "y0", "x1", "y1", F.coalesce("stops", F.lit(False)).alias("stops"))
 
-    def trace(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x0, y0, x1, y1 = (part[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
-        lines, closed = [], []
-        for run in _chains(x0, y0, x1, y1, part["stops"].to_numpy()):
-            xs, ys = np.r_[x0[run], x1[run[-1]]], np.r_[y0[run], y1[run[-1]]]
-            bend = np.r_[True, np.diff(xs[:-1]) * np.diff(ys[1:]) - np.diff(ys[:-1]) * np.diff(xs[1:]) != 0, True]
-            lines.append([{"x": float(a), "y": float(b)} for a, b in zip(xs[bend], ys[bend])])
-            closed.append(bool(xs[0] == xs[-1] and ys[0] == ys[-1]))
-        return pd.DataFrame({"lo": key[0], "hi": key[1], "line": lines, "closed": closed})
+    def trace(lo, hi, x0, y0, x1, y1, stops) -> list[tuple]:
+        out = []
+        for run in _chains(x0, y0, x1, y1, np.asarray(stops, bool)):
+            xy = np.c_[np.r_[x0[run], x1[run[-1]]], np.r_[y0[run], y1[run[-1]]]]
+            (dx, dy) = np.diff(xy, axis=0).T
+            bend = np.r_[True, dx[:-1] * dy[1:] - dy[:-1] * dx[1:] != 0, True]
+            out.append((lo, hi, points_of(xy[bend]), bool((xy[0] == xy[-1]).all())))
+        return out
 
-    return own.groupBy("lo", "hi").applyInPandas(trace, f"lo long, hi long, line {LINE}, closed boolean")
+    return per_group(own, ["lo", "hi"], ["x0", "y0", "x1", "y1", "stops"], trace, f"lo long, hi long, line {LINE}, closed boolean")
 
 
 def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -186,14 +204,15 @@ def polygons(lines: DataFrame) -> DataFrame:
     hi = lines.where("hi >= 0").select(F.col("hi").alias("node"), "line")
     lo = lines.where("lo >= 0").select(F.col("lo").alias("node"), F.reverse("line").alias("line"))
 
-    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rings = chain_rings([np.array([(p["x"], p["y"]) for p in line]) for line in part["line"]])
+    def build(node, lines) -> list[tuple]:
+        rings = chain_rings([np.array([(p["x"], p["y"]) for p in line["line"]]) for line in lines])
         rings.sort(key=lambda r: -ring_area(r))
         closed = all((r[0] == r[-1]).all() for r in rings)
         valid = closed and ring_area(rings[0]) > 0 and is_simple(rings[0])
-        return pd.DataFrame({"node": [key[0]], "rings": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]], "valid": [bool(valid)]})
+        return [(node, [points_of(r) for r in rings], bool(valid))]
 
-    return hi.unionByName(lo).groupBy("node").applyInPandas(build, f"node long, rings array<{LINE}>, valid boolean")
+    # In a struct, lines of different lengths stay apart.
+    return per_group(hi.unionByName(lo).withColumn("line", F.struct("line")), ["node"], ["line"], build, f"node long, rings array<{LINE}>, valid boolean")
 
 
 def polygonize(graph: Graph, width: int, height: int, tolerance: float | None = 1.0) -> DataFrame:
@@ -219,15 +238,13 @@ def polygonize(graph: Graph, width: int, height: int, tolerance: float | None =
 def contours(members: DataFrame, width: int, height: int) -> DataFrame:
     """``(node, start, moves)``: the outer border as steps from the first pixel's upper left corner (0 up, 1 right, 2 down, 3 left)."""
 
-    def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        sides = list(zip(part["x0"], part["y0"], part["x1"], part["y1"]))
-        rings = chain_rings([np.array([s[:2], s[2:]], float) for s in sides])
+    def walk(node, x0, y0, x1, y1) -> list[tuple]:
+        rings = chain_rings(list(np.stack([np.c_[x0, y0], np.c_[x1, y1]], axis=1)))
         ring = max(rings, key=ring_area)
         dx, dy = np.diff(ring, axis=0).astype(int).T
-        moves = np.select([dy < 0, dx > 0, dy > 0], [0, 1, 2], 3)
-        return pd.DataFrame({"node": [key[0]], "start": [key[0]], "moves": [moves.tolist()]})
+        return [(node, node, np.select([dy < 0, dx > 0, dy > 0], [0, 1, 2], 3).tolist())]
 
-    return unit_sides(members, width, height).groupBy("node").applyInPandas(walk, "node long, start long, moves array<int>")
+    return per_group(unit_sides(members, width, height), ["node"], ["x0", "y0", "x1", "y1"], walk, "node long, start long, moves array<int>")
 
 
 def features(graph: Graph, shapes: DataFrame) -> DataFrame:
