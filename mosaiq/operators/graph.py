@@ -7,7 +7,7 @@ number of shared pixel sides. ``members(pix, node)`` is kept instead of contours
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +17,17 @@ from mosaiq.functions.spatial import neighbours
 NODE_COLUMNS = ("node", "x", "y", "w", "h", "area", "perimeter", "mean", "std")
 
 
-@dataclass(frozen=True)
 class Graph:
-    nodes: DataFrame
-    edges: DataFrame
-    members: DataFrame
+    """The three tables. Membership may be given as a function, which runs when it is first asked for."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, members: DataFrame | Callable[[], DataFrame]):
+        self.nodes, self.edges, self._members = nodes, edges, members
+
+    @property
+    def members(self) -> DataFrame:
+        if not isinstance(self._members, DataFrame):
+            self._members = self._members()
+        return self._members
 
 
 def initial_nodes(pixels: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def append(a: Graph, b: Graph) -> Graph:
 
 def for_each_node(graph: Graph, **columns: Column) -> Graph:
     """The graph with node columns added or replaced."""
-    return Graph(graph.nodes.withColumns(columns), graph.edges, graph.members)
+    return Graph(graph.nodes.withColumns(columns), graph.edges, lambda: graph.members)
 
 
 def dense_ids(nodes: DataFrame) -> DataFrame:

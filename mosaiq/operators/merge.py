@@ -192,7 +192,7 @@ def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcom
     """Rounds of merging, at most ``most_rounds``, until one merges nothing."""
     spark = graph.nodes.sparkSession
     tables, logs = Rounds(spark), Rounds(spark, keep=10**9)
-    seconds, log, over, done = {"costs": 0.0, "pairs": 0.0, "merging": 0.0, "members": 0.0}, None, False, 0
+    seconds, log, over, done = {"costs": 0.0, "pairs": 0.0, "merging": 0.0}, None, False, 0
     nodes, edges = tables.cut(graph.nodes.select(*NODE_COLUMNS), graph.edges.select("lo", "hi", "boundary", F.lit(None).cast("double").alias("cost")))
 
     def timed(phase: str, start: float) -> float:
@@ -212,12 +212,15 @@ def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcom
         log = pairs.select("lo", "hi") if log is None else log.unionByName(pairs.select("lo", "hi"))
         nodes, edges = tables.cut(*contract(nodes, edges, pairs, criterion))
         timed("merging", start)
-    start = perf_counter()
-    members = graph.members.select("pix", "node")
-    if log is not None:  # a survivor is the lower key, so the end of a chain of merges is the least node of its component
+
+    def members() -> DataFrame:
+        plain = graph.members.select("pix", "node")
+        if log is None:
+            return plain
+        # A survivor is the lower key, so the end of a chain of merges is the least node of its component.
         ends = connected_components(log, "lo", "hi").select("node", F.col("component").alias("to"))
-        members = members.join(ends, "node", "left").select("pix", F.coalesce("to", "node").alias("node"))
-    timed("members", start)
+        return plain.join(ends, "node", "left").select("pix", F.coalesce("to", "node").alias("node"))
+
     return Outcome(Graph(nodes, edges.select("lo", "hi", "boundary"), members), done, over, seconds)
 
 
