@@ -38,29 +38,40 @@ PAGES, BATCH, EPOCHS, RATE = 800, 32, 10, 0.01
 SLICE, CELLS = 128, 60_000
 
 
-@lru_cache(maxsize=200_000)
 def _slot(token: str, dims: int) -> tuple[int, float]:
     h = crc32(token.encode("utf-8", "surrogatepass"))
     return h % dims, 1.0 if h >> 16 & 1 else -1.0
 
 
+@lru_cache(maxsize=20_000)
+def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    out = np.zeros(PATH_DIMS, np.float32)
+    for name in [name for names in path for name in names] + ["/" + names[0] for names in path[-1:]]:
+        at, sign = _slot(name, PATH_DIMS)
+        out[at] += sign
+    return out
+
+
+#: Slots of words seen by this worker; started over when there are many.
+_WORDS: dict[str, tuple[int, float]] = {}
+MOST_WORDS = 200_000
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
     """``(blocks, DIMS)`` inputs of a page."""
     x = np.zeros((len(blocks), DIMS), np.float32)
+    if len(_WORDS) > MOST_WORDS:
+        _WORDS.clear()
     for k, b in enumerate(blocks):
-        for depth, names in enumerate(b.path):
-            for name in names:
-                at, sign = _slot(name, PATH_DIMS)
-                x[k, at] += sign
-        if b.path:
-            at, sign = _slot("/" + b.path[-1][0], PATH_DIMS)
-            x[k, at] += sign
-        words = b.text.lower().split()
+        words, sums, n = b.text.lower().split(), [0.0] * WORD_DIMS, len(b.text)
         for w in words:
-            at, sign = _slot(w.strip(".,;:!?()"), WORD_DIMS)
-            x[k, PATH_DIMS + at] += sign
-        x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= len(words)
-        n = len(b.text)
+            slot = _WORDS.get(w)
+            if slot is None:
+                slot = _WORDS[w] = _slot(w.strip(".,;:!?()"), WORD_DIMS)
+            sums[slot[0]] += slot[1]
+        x[k, :PATH_DIMS] = _path_vector(b.path)
+        x[k, PATH_DIMS:-SHARES] = sums
+        x[k, PATH_DIMS:-SHARES] /= len(words)
         x[k, -SHARES:] = (
             np.log1p(len(words)) / 4, b.link_chars / n, sum(map(b.text.count, ".!?")) / len(words), len(DIGIT.findall(b.text)) / n,
             float("©" in b.text), len(b.path) / 10, k / len(blocks), 1.0,
