@@ -11,7 +11,8 @@ give the same cutoffs. From each group's quartiles come fences,
     upper = q3 + REACH * max(q3 - q1, least spread)      (and lower alike)
 
 which are joined back to the documents. The least spreads are there because most
-groups have no spread at all in some measures: a single symbol is no outlier.
+groups have no spread at all in some measures: a single symbol is no outlier, nor is
+one repeated line in a text of three.
 
 Language and source may be null: null is a group of its own. Null text counts as
 empty and fails the base rules; repeated rows are judged alike; an empty table gives
@@ -30,12 +31,12 @@ from mosaiq.plans.lineage import materialize
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 REACH = 3
-#: Measure: (scaled value, least spread, whether low values are fenced too).
+#: Measure: (count, of what, scale, least spread, whether low values are fenced too).
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", 1_000_000, 20_000, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1_000_000, 100_000, False),
-    "repeats": ("n_repeat_words", "n_words", 1_000_000, 50_000, False),
-    "word_length": ("word_chars", "n_words", 1_000, 1_000, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 1_000_000, 200_000, False),
+    "repeats": ("n_repeat_words", "n_words", 1_000_000, 100_000, False),
+    "word_length": ("word_chars", "n_words", 1_000, 1_500, True),
 }
 #: Copies of a cutoff row that documents of a hot group are dealt over.
 SALTS = 16
