@@ -157,7 +157,6 @@ class BytePairTokenizer:
                     if then:
                         part = part.append_column(then, pa.array(map(codec.decode, made), pa.binary()))
                     yield part
-            codec.known.clear()  # workers outlive tasks
 
         schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.BinaryType()) for c in (out, then) if c]])
         return df.mapInArrow(run, schema)
