@@ -29,6 +29,11 @@ def side(name: str, columns=NODE_COLUMNS) -> Side:
     return {c: F.col(f"{name}_{c}") for c in columns}
 
 
+def edge_columns() -> tuple[Side, Side, Column]:
+    """What a criterion's functions take: both ends of an edge, and its boundary."""
+    return side("a"), side("b"), F.col("boundary")
+
+
 def with_ends(edges: DataFrame, nodes: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Edges with the attributes of both ends, as ``a_*`` (lower) and ``b_*``."""
     a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns])
@@ -155,16 +160,16 @@ def small_regions(most_area: int) -> MergeCriterion:
     return MergeCriterion(lambda a, b, boundary: spectral_distance(a, b), lambda edges, nodes: without_conflicts(small_region_candidates(edges, nodes, most_area)))
 
 
-def costed(edges: DataFrame, nodes: DataFrame, criterion: MergeCriterion) -> DataFrame:
-    """Edges with ``cost``; those that have one keep it."""
+def costed(edges: DataFrame, nodes: DataFrame, criterion: MergeCriterion, cost: Column | None = None) -> DataFrame:
+    """Edges with ``cost``; those that have one keep it. Callers with many rounds pass the criterion's column, built once."""
     ends = with_ends(edges if "cost" not in edges.columns else edges.where("cost is null").drop("cost"), nodes)
-    fresh = ends.select("lo", "hi", "boundary", criterion.cost(side("a"), side("b"), F.col("boundary")).alias("cost"))
+    fresh = ends.select("lo", "hi", "boundary", (criterion.cost(*edge_columns()) if cost is None else cost).alias("cost"))
     return fresh if "cost" not in edges.columns else edges.where("cost is not null").unionByName(fresh)
 
 
-def contract(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, criterion: MergeCriterion) -> tuple[DataFrame, DataFrame]:
+def contract(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, criterion: MergeCriterion, survivor: Side | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after the pairs ``(lo, hi, boundary)`` have merged; edges of merged nodes lose their cost."""
-    survivor = criterion.update(side("a"), side("b"), F.col("boundary"))
+    survivor = criterion.update(*edge_columns()) if survivor is None else survivor
     merged = with_ends(pairs, nodes).select(*[survivor[c].cast(nodes.schema[c].dataType).alias(c) for c in NODE_COLUMNS])
     gone = pairs.select(F.explode(F.array("lo", "hi")).alias("node"))
     kept = nodes.select(*NODE_COLUMNS).join(gone, "node", "left_anti").select(*NODE_COLUMNS)
@@ -191,6 +196,7 @@ class Outcome:
 def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcome:
     """Rounds of merging, at most ``most_rounds``, until one merges nothing."""
     spark = graph.nodes.sparkSession
+    cost, survivor = criterion.cost(*edge_columns()), criterion.update(*edge_columns())  # the same in every round
     tables, logs = Rounds(spark), Rounds(spark, keep=10**9)
     seconds, log, over, done = {"costs": 0.0, "pairs": 0.0, "merging": 0.0}, None, False, 0
     nodes, edges = tables.cut(graph.nodes.select(*NODE_COLUMNS), graph.edges.select("lo", "hi", "boundary", F.lit(None).cast("double").alias("cost")))
@@ -201,7 +207,7 @@ def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcom
 
     for _ in range(most_rounds):
         start = perf_counter()
-        edges = tables.cut(costed(edges, nodes, criterion))[0]
+        edges = tables.cut(costed(edges, nodes, criterion, cost))[0]
         start = timed("costs", start)
         pairs = logs.cut(criterion.choose(edges, nodes).join(edges, ["lo", "hi"]).select("lo", "hi", "boundary"))[0]
         over = pairs.isEmpty()
@@ -210,7 +216,7 @@ def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcom
         if over:
             break
         log = pairs.select("lo", "hi") if log is None else log.unionByName(pairs.select("lo", "hi"))
-        nodes, edges = tables.cut(*contract(nodes, edges, pairs, criterion))
+        nodes, edges = tables.cut(*contract(nodes, edges, pairs, criterion, survivor))
         timed("merging", start)
 
     def members() -> DataFrame:
