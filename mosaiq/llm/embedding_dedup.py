@@ -266,7 +266,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     rows = vectors.select("vec_id", "label", "embedding", (usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("fit"))
     classes = materialize(rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")))
-    root = F.concat_ws("/", F.regexp_replace(F.col("label").cast("string"), r"\.", "_"), F.size("embedding").cast("string"))
+    # In hexadecimal, so that no label holds the dots of a path and different labels never share a root.
+    root = F.concat_ws("/", F.hex(F.col("label").cast("string").cast("binary")), F.size("embedding").cast("string"))
     points = materialize(classes.select("rep", "m", root.alias("node"), scaled(F.col("embedding")).alias("v")))
     leaves = materialize(pack(split_nodes(points)))
     found = materialize(compare_leaves(leaf_pairs(leaves, (2 - 2 * threshold) ** 0.5), leaves, threshold))

@@ -68,3 +68,9 @@ def test_odd_rows(spark):
     assert by[1] == (2, 1) and by[2] == (2, 1) and by[12] == (2, 1) and by[11] == (1, 11) and by[None] == (0, None)
     assert all(by[k] == (0, k) for k in (3, 4, 5, 6, 7, 8, 9, 10))
     assert e.near_vectors(df.where("false")).count() == 0
+
+
+def test_labels_of_similar_names_stay_apart(spark):
+    rows = [(1, [1.0, 0.0], "a.b"), (2, [1.0, 0.01], "a_b"), (3, [1.0, 0.02], "a.b"), (4, [1.0, 0.0], "a/b"), (5, [1.0, 0.0], "")]
+    got = e.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    check(got, {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5)})
