@@ -8,11 +8,12 @@ bucket counts, so sketches merge by adding counts: Spark sums them before the
 shuffle, a group of any size ends as a few hundred rows, and the same rows always
 give the same cutoffs. From each group's quartiles come fences,
 
-    upper = q3 + REACH * max(q3 - q1, least spread)      (and lower alike)
+    upper = q3 + REACH * max(q3 - q1, noise)      (and lower alike)
 
-which are joined back to the documents. The least spreads are there because most
-groups have no spread at all in some measures: a single symbol is no outlier, nor is
-one repeated line in a text of three.
+which are joined back to the documents. The noise is there because most groups have no
+spread at all in some measures. It is the standard error of the document's own measure,
+from its number of lines or words: one repeated line in a text of three is no outlier,
+half of 200 lines is. For symbols it is a fixed share.
 
 Language and source may be null: null is a group of its own. Null text counts as
 empty and fails the base rules; repeated rows are judged alike; an empty table gives
@@ -31,13 +32,17 @@ from mosaiq.plans.lineage import materialize
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 REACH = 3
-#: Measure: (count, of what, scale, least spread, whether low values are fenced too).
+#: Measure: (count, of what, scale, whether low values are fenced too).
 MEASURES = {
-    "symbols": ("n_symbols", "word_chars", 1_000_000, 20_000, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1_000_000, 200_000, False),
-    "repeats": ("n_repeat_words", "n_words", 1_000_000, 100_000, False),
-    "word_length": ("word_chars", "n_words", 1_000, 1_500, True),
+    "symbols": ("n_symbols", "word_chars", 1_000_000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1_000_000, False),
+    "repeats": ("n_repeat_words", "n_words", 1_000_000, False),
+    "word_length": ("word_chars", "n_words", 1_000, True),
 }
+#: Noise of symbols, in parts per million.
+SYMBOLS_NOISE = 20_000
+#: Counts that one event adds: a window that occurs twice covers two windows' words.
+EVENT = {"dup_lines": 1, "repeats": 2 * WINDOW}
 #: Copies of a cutoff row that documents of a hot group are dealt over.
 SALTS = 16
 
@@ -96,43 +101,67 @@ def bucket_top(b: Column) -> Column:
     return F.call_function("shiftleft", (b % 32 + 1).cast("long"), F.floor(b / 32).cast("int")) - 1
 
 
+def bucket_bottom(b: Column) -> Column:
+    """The smallest value of a bucket."""
+    return F.call_function("shiftleft", (b % 32).cast("long"), F.floor(b / 32).cast("int"))
+
+
 def scaled(name: str) -> Column:
-    top, bottom, scale, _, _ = MEASURES[name]
+    top, bottom, scale, _ = MEASURES[name]
     return F.coalesce(F.floor(F.col(top) * scale / F.nullif(F.col(bottom), F.lit(0))), F.lit(0)).cast("long")
 
 
+def noise(name: str, quartile: Column) -> Column:
+    """The standard error of a document's measure, in the measure's scale.
+
+    Shares: that of the posterior of a binomial share, which isn't 0 at a share of 0.
+    Mean word length: words' lengths spread by no more than their mean.
+    """
+    top, bottom, scale, _ = MEASURES[name]
+    if name == "symbols":
+        return F.lit(float(SYMBOLS_NOISE))
+    if name == "word_length":
+        return quartile / F.sqrt(F.greatest(F.col(bottom), F.lit(1)))
+    n = F.col(bottom) / EVENT[name]
+    share = (F.col(top) / EVENT[name] + 1) / (n + 2)
+    return scale * F.sqrt(share * (1 - share) / (n + 3))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """``(lang, source, measure, bucket, n)``: the mergeable sketches, as counts by bucket."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(scaled(m)).alias("bucket")) for m in MEASURES]))
     return measured.select("lang", "source", each.alias("s")).groupBy("lang", "source", "s.measure", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cutoffs(sketch: DataFrame) -> DataFrame:
-    """``(lang, source, <measure>_high, <measure>_low)`` by group, from the sketches' quartiles."""
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """``(lang, source, <measure>_q1, <measure>_q3)`` by group, from the sketches; rounded outwards, as both may lie in one bucket."""
     group = Window.partitionBy("lang", "source", "measure")
     run = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, bucket_top(F.col("bucket"))))
-    quartiles = ranked.groupBy("lang", "source", "measure").agg(at(1).alias("q1"), at(3).alias("q3"))
-    spread = F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[3]).cast("long"))])[F.col("measure")]
-    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), spread)
-    fenced = quartiles.select("lang", "source", "measure", (F.col("q3") + reach).alias("high"), (F.col("q1") - reach).alias("low"))
-    pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
-    return fenced.groupBy("lang", "source").agg(*[pick(m, side) for m, v in MEASURES.items() for side in ("high", "low")[: 1 + v[4]]])
+    at = lambda m, q, end: F.min(F.when((F.col("measure") == m) & (F.col("upto") * 4 >= F.col("all") * q), end(F.col("bucket")))).alias(f"{m}_q{q}")
+    return ranked.groupBy("lang", "source").agg(*[at(m, q, end) for m in MEASURES for q, end in ((1, bucket_bottom), (3, bucket_top))])
+
+
+def fences(m: str) -> list[Column]:
+    """``<measure>_high`` and, where low values are fenced too, ``<measure>_low`` of a document with its group's quartiles."""
+    q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")
+    high, low = (F.greatest((q3 - q1).cast("double"), noise(m, q)) * REACH for q in (q3, q1))
+    return [(q3 + high).alias(f"{m}_high"), (q1 - low).alias(f"{m}_low")][: 1 + MEASURES[m][3]]
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The base measures of every document, its group's cutoffs, and ``kept``.
+    """The base measures of every document, its group's quartiles, its fences, and ``kept``.
 
     The measures are written once: sketches and filter both read them, not the texts.
     """
     measured = materialize(base_measures(docs))
-    limits = cutoffs(sketches(measured)).withColumnsRenamed({"lang": "__lang", "source": "__source"}).withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    limits = quartiles(sketches(measured)).withColumnsRenamed({"lang": "__lang", "source": "__source"}).withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     salted = measured.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     same = (F.col("lang").eqNullSafe(F.col("__lang"))) & (F.col("source").eqNullSafe(F.col("__source")))
     joined = salted.join(limits.withColumnRenamed("__salt", "__s"), same & (F.col("__salt") == F.col("__s")), "left")
+    joined = joined.select("*", *[fence for m in MEASURES for fence in fences(m)])
     within = F.lit(True)
-    for m, (_, _, _, _, low) in MEASURES.items():
+    for m, (_, _, _, low) in MEASURES.items():
         within &= F.coalesce(scaled(m) <= F.col(f"{m}_high"), F.lit(True))
         if low:
             within &= F.coalesce(scaled(m) >= F.col(f"{m}_low"), F.lit(True))

@@ -63,3 +63,37 @@ def test_odd_rows(odd, empty):
     alike = [r.kept for r in rows if r.n_words == 11 and r.lang == "en"]
     assert len(alike) == 3 and len(set(alike)) == 1
     assert q.judge(empty).count() == 0
+
+
+def test_each_fence_rejects_alone(spark):
+    """For each measure and side, a row that passes the base rules and every other fence; rows with a little of it stay."""
+    vocabulary = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}xy" for k in range(17576)]
+    distinct = lambda n, at=0: vocabulary[at : at + n]
+    lines = lambda ws: "\n".join(" ".join(ws[k : k + 10]) for k in range(0, len(ws), 10))
+    single = " ".join(vocabulary[k][j] for k in range(0, 6000, 40) for j in (0, 1))
+    rows = {
+        "symbols_high": lines(distinct(200)) + " " + "#" * 100,
+        "dup_lines_high": "\n".join(x for k in range(100) for x in (lines(distinct(10, 10 * k)), "zz")),
+        "repeats_high": lines(distinct(900)) + " " + " ".join(distinct(90)),
+        "word_length_high": " ".join(w * 4 for w in distinct(200)),
+        "word_length_low": single,
+        "one line of three": "\n".join(["a b c", lines(distinct(10)), "a b c"]),
+        "one repeat": lines(distinct(60)) + " " + " ".join(distinct(5)),
+        "one symbol": lines(distinct(30)) + " #",
+    }
+    docs = [(k, lines(distinct(100 + k, 100 * k))) for k in range(40)] + [(100 + k, t) for k, t in enumerate(rows.values())]
+    judged = {r.doc_id: r for r in q.judge(spark.createDataFrame(docs, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("a").alias("source"))).collect()}
+    value = lambda r, m: r[q.MEASURES[m][0]] * q.MEASURES[m][2] // r[q.MEASURES[m][1]]
+    assert all(judged[k].kept for k in range(40))
+    for k, name in enumerate(rows):
+        r = judged[100 + k]
+        out = [f"{m}_high" for m in q.MEASURES if value(r, m) > r[f"{m}_high"]] + ["word_length_low"] * (value(r, "word_length") < r.word_length_low)
+        assert not r.base_failed and out == ([name] if name.endswith(("_high", "_low")) else []) and r.kept == (not out), (name, out)
+
+
+def test_quartiles_are_rounded_outwards(spark):
+    """Mean word lengths of 4.9 to 5 share a bucket; the spread is still no less than theirs."""
+    docs = [(k, "abcde " * 5 * n + "abcd " * few, "en", "a") for k, (n, few) in enumerate([(4, 0), (4, 1), (4, 2)] * 10)]
+    measured = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    row = q.quartiles(q.sketches(q.base_measures(measured))).first()
+    assert row.word_length_q1 <= 4909 and row.word_length_q3 >= 5000 and row.word_length_q3 - row.word_length_q1 >= 91
