@@ -4,13 +4,17 @@ Base spans are the whole matches of the patterns, leftmost and non-overlapping b
 kind; matches whose tested part is too short are dropped but still use up their text.
 
 Further spans ("random") come from runs of 20 or more base64 characters that no base
-span overlaps. The characters tell the encoding (hex, base32, base64); then
+span overlaps. A run with '+' or '/' and also '-' or '_' fits no encoding: its pieces
+between the former and between the latter are taken instead (a token behind a path, a key
+behind a prefix). The characters tell the encoding, the smallest alphabet that has them
+all (hex, base32, base36, base64); then
 
 * chi-squared uniformity over its alphabet: the statistic is set against what written
   words give there (a share ``COLLIDES`` of character pairs are equal, far over
   1/alphabet). The p-value of "no more uniform than words" falls with length, so a
   short run must be clearer than a long one. A second chi-squared test, over upper case,
-  lower case and the rest, asks whether these are as frequent as in the alphabet;
+  lower case and the rest, asks whether these are as frequent as in the alphabet, so plain
+  words and numbers need no rule of their own;
 * runs above and below the alphabet's middle, and lag-1 serial correlation: a run that
   isn't random in order (counters, alphabets, repeats), or in those kinds, is out.
 
@@ -37,16 +41,20 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 RANDOM = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+PIECES = (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}")
 # The alphabets in the order of their digits.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32lower": "abcdefghijklmnopqrstuvwxyz234567",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 #: Equal pairs of characters that names and words have at least, by alphabet size.
-COLLIDES = {16: 0.12, 32: 0.075, 64: 0.055}
+COLLIDES = {16: 0.12, 32: 0.075, 36: 0.072, 64: 0.055}
 #: False discoveries allowed; level of the order tests; least tenth of a decade that counts.
 Q, ORDER_LEVEL, MOST_BIN = 0.01, 0.001, 300
 
@@ -111,7 +119,7 @@ def battery(run: Column) -> Column:
 
         def serial(v: Column) -> Column:
             mid = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-            around = F.transform(v, lambda x: x - mid)
+            around = bind(mid, lambda m: F.transform(v, lambda x: x - m))  # once a run: a run may be a whole file
             return bind(around, lambda d: F.aggregate(F.transform(d, lambda x, i: x * F.coalesce(F.try_element_at(d, i + 2), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x), F.lit(1e-9)))
 
         values = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
@@ -127,24 +135,35 @@ def battery(run: Column) -> Column:
         return F.when(~ordered, made)
 
     def by_encoding(s: Column) -> Column:
-        digit = s.rlike("[0-9]")
-        mixed = digit & s.rlike("[A-Z]") & s.rlike("[a-z]")
         return (
-            F.when(s.rlike("^[0-9a-f]+$"), F.when(digit & s.rlike("[a-f]"), tests(s, "hex")))
-            .when(s.rlike("^[0-9A-F]+$"), F.when(digit & s.rlike("[A-F]"), tests(s, "HEX")))
-            .when(s.rlike("^[A-Z2-7]+$"), F.when(digit, tests(s, "base32")))
-            .when(s.rlike("^[A-Za-z0-9+/]+$"), F.when(mixed, tests(s, "base64")))
-            .when(s.rlike("^[A-Za-z0-9_-]+$"), F.when(mixed, tests(s, "base64url")))
+            F.when(s.rlike("^[0-9a-f]+$"), tests(s, "hex"))
+            .when(s.rlike("^[0-9A-F]+$"), tests(s, "HEX"))
+            .when(s.rlike("^[A-Z2-7]+$"), tests(s, "base32"))
+            .when(s.rlike("^[a-z2-7]+$"), tests(s, "base32lower"))
+            .when(s.rlike("^[0-9A-Z]+$"), tests(s, "BASE36"))
+            .when(s.rlike("^[0-9a-z]+$"), tests(s, "base36"))
+            .when(s.rlike("^[A-Za-z0-9+/]+$"), tests(s, "base64"))
+            .when(s.rlike("^[A-Za-z0-9_-]+$"), tests(s, "base64url"))
         )
 
     return bind(F.rtrim(run, F.lit("=")), by_encoding)
 
 
+def pieces(run: Column) -> Column:
+    """The run itself, or, where it mixes characters of base64 and base64url, its pieces of either."""
+
+    def cut(pattern: str) -> Column:
+        return F.transform(located(run["s"], pattern), lambda p: F.struct((run["start"] + p["start"]).alias("start"), (run["start"] + p["end"]).alias("end"), p["s"].alias("s")))
+
+    mixed = run["s"].rlike("[+/]") & run["s"].rlike("[_-]")
+    return F.when(mixed, F.concat(*map(cut, PIECES))).otherwise(F.array(run))
+
+
 def scan(text: Column) -> Column:
     """``struct<base, runs>``: base spans, and the tested runs that no base span overlaps."""
 
     def with_runs(base: Column) -> Column:
-        free = F.filter(located(text, RANDOM), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+        free = F.filter(F.flatten(F.transform(located(text, RANDOM), pieces)), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
         tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["s"]).alias("t")))
         return F.struct(base.alias("base"), F.filter(tested, lambda r: r["t"].isNotNull()).alias("runs"))
 
@@ -154,7 +173,7 @@ def scan(text: Column) -> Column:
 def thresholds(scanned: DataFrame, column: str = "scan") -> dict[tuple[str, int], int]:
     """By encoding and length class, the least bin that false-discovery control lets through.
 
-    The result has at most five encodings times 32 length classes, whatever the corpus.
+    The result has at most eight encodings times 32 length classes, whatever the corpus.
     """
     from pyspark.sql import Window
 

@@ -59,3 +59,31 @@ def test_odd_rows(odd, empty):
         limits = secrets.thresholds(scanned)
         rows = scanned.select("text", secrets.joined(secrets.spans(F.col("scan"), limits)).alias("s"), secrets.masked(F.col("text"), secrets.spans(F.col("scan"), limits)).alias("m")).collect()
         assert len(rows) == docs.count() and all(r.s is not None and r.m == r.text for r in rows)
+
+
+def test_a_key_of_each_alphabet_is_found(spark):
+    """Planted keys that the pattern of hex leaves alone; the same texts with words in their place stay."""
+    rng = random.Random(11)
+
+    def key(alphabet, n, ok=lambda k: True):
+        while True:
+            if ok(k := "".join(rng.choice(alphabet) for _ in range(n))):
+                return k
+
+    a = secrets.ALPHABETS
+    digit, lower = (lambda k: re.search("[0-9]", k)), "abcdefghijklmnopqrstuvwxyz"
+    runs = {
+        "HEX": key(a["HEX"], 64), "base32": key(a["base32"], 52), "base32lower": key(a["base32lower"], 52), "BASE36": key(a["BASE36"], 50, lambda k: re.search("[0189]", k)),
+        "base36": key(a["base36"], 50, lambda k: re.search("[0189]", k)), "base64": key(a["base64"], 64), "base64url": key(a["base64url"], 64),
+        "base64 without a digit": key(a["base64"].translate({ord(c): None for c in "0123456789"}), 40, lambda k: not digit(k)),
+        "base32 without a digit": key(lower.upper(), 36),
+    }
+    token = key(a["base64url"], 64, lambda k: re.search("[_-]", k))
+    slashed = key(a["base64"], 64, lambda k: re.search("[+/]", k))
+    texts = {f"x {k} y": (2, 2 + len(k)) for k in runs.values()} | {f"x /api/v1/{token} y": (10, 74), f"x live-{slashed} y": (7, 71)}
+    words = ["internationalizationconfigurations", "INTERNATIONALIZATIONCONFIGURATIONS", "a-long-name-of-a-page-in-kebab-case", "path/to/some-page/with_more/of-these/names", "2024010112300020240101", "howtowritealettertotheownerofyourhouse2024"]
+    rows = [*texts, *[f"x {w} y" for w in words for _ in range(5)]]
+    scanned = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").select("text", secrets.scan(F.col("text")).alias("scan")).cache()
+    limits = secrets.thresholds(scanned)
+    for r in scanned.select("text", secrets.spans(F.col("scan"), limits).alias("s")).collect():
+        assert (texts[r.text] in [(s.start, s.end) for s in r.s]) if r.text in texts else not r.s, (r.text, r.s)
