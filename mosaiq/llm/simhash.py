@@ -6,18 +6,28 @@ have it. A text of fewer words has its whole sequence as one shingle; a text wit
 words, or null, has fingerprint 0, which links like any other.
 
 Candidates for ``MOST_BITS`` = 3 differing bits: the 64 bits are cut into segments of
-23, 23 and 18. Three errors leave two segments with at most one error each, whatever
-their places. In the perfect [23, 12] Golay code every 23-bit word is within 3 of one
-codeword. A word posts its nearest codeword as an index key; it looks up all codewords
-within 4 (one, or six if the nearest is 3 away). Two words that differ in at most one
-bit thus always meet: the nearest codeword of one is within 3 + 1 of the other. Keys
-are pairs of codewords of two segments, joined by equality, then verified bit by bit.
-
-Scale: equal fingerprints are one row before anything is posted. Postings are joined
-only with keys that some other fingerprint looks up. Posting lists longer than ``BLOCK``
-are cut into blocks and block pairs are compared apart; of each comparison only a
-spanning forest of the links is kept, so a group of near copies yields about as many
-rows as it has members, and no link between components is lost.
+22, 21 and 21. Three errors either leave one segment whole and another with at most one
+error, or put just one error into each. In the perfect [23, 12] Golay code every word is
+within 3 of one codeword; the codewords within 4 of a word (one, or six if the nearest is
+3 away) hold the nearest one of every word that differs in at most one bit. So a segment
+with at most one error is met by "nearest codeword" on one side and "codewords within 4"
+on the other. The keys, each joined by equality and then verified bit by bit:
+
+* for each ordered pair of segments: one whole, and a codeword of the other (33 bits at
+  least);
+* for one error in each: codewords of the last two segments, and either half of the
+  first, of which one is whole (35 bits). Here each side posts the nearest codeword of
+  one segment with all those within 4 of the other.
+
+Scale: keys of 33 bits and more keep chance meetings rare (about 60 N / 2^33 a
+fingerprint); the number of keys a fingerprint posts is fixed. Equal fingerprints are one
+row before anything is posted. A key that more than ``CROWDED`` fingerprints share is
+made longer: of any four disjoint pieces of the bits, three errors leave one whole, so its
+members are dealt over (piece, value) for four pieces, up to three times (pieces by the
+three base-4 digits of a bit's place, so each time cuts across the last). Near copies
+scatter over these; what is still crowded is compared in blocks of ``BLOCK``. Of each
+comparison only a spanning forest of the links is kept, so a group of near copies yields
+rows in proportion to its members, and no link between components is lost.
 
 Documents without an id stay rows of their own and never name a component: it is the
 smallest id reachable, or null if there is none. Repeated rows link like any others; an
@@ -27,7 +37,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +51,13 @@ from mosaiq.operators.components import connected_components
 from mosaiq.plans.lineage import materialize
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 3
-BLOCK = 512
+#: Fingerprints of a side that are compared at once; of a key, before it is made longer.
+BLOCK, CROWDED = 2048, 8192
 #: Shingles in hand at a time.
 RUN = 100_000
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Places of the bits of each piece, by level.
+PIECES = [[[b for b in range(64) if b // 4**level % 4 == piece] for piece in range(4)] for level in range(3)]
 
 # Fixed value: the generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the [23, 12] Golay code.
 GENERATOR = 0b110001110101
@@ -108,42 +122,76 @@ class Golay:
         return np.where(errors < 0, -1, (words[:, None] ^ errors) >> 11)
 
 
-def postings(fingerprints: DataFrame) -> DataFrame:
-    """``(key, fp, looks_up)`` of distinct fingerprints ``fp``: index keys, and the keys each looks up."""
+def postings(fingerprints: DataFrame, looks_up: bool) -> DataFrame:
+    """``(key, fp)`` of distinct fingerprints ``fp``: the keys each is found under, or those that it looks up."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
         for batch in batches:
             for part in np.array_split(every := batch.column(0).to_numpy(), max(1, len(every) // 4096)):
                 bits = part.view(np.uint64)
-                near = [code.codewords((bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
-                keys, owners, looks = [], [], []
-                for k, (a, b) in enumerate(combinations(near, 2)):
-                    both = (k << 24) | (a[:, :, None] << 12) | b[:, None, :]
-                    there = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
-                    keys += [both[:, 0, 0], both[there]]
-                    owners += [part, part[np.nonzero(there)[0]]]
-                    looks += [np.zeros(len(part), bool), np.ones(int(there.sum()), bool)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, looks)], ["key", "fp", "looks_up"])
-
-    return fingerprints.select("fp").mapInArrow(post, "key long, fp long, looks_up boolean")
+                words = [(bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+                near = [code.codewords(w) for w in words]
+                keys, owners = [], []
+
+                def put(tag: int, whole: np.ndarray, codes: np.ndarray, there: np.ndarray) -> None:
+                    keys.append(((tag << 48) | (whole[:, None] << 24) | codes)[there])  # noqa: B023
+                    owners.append(part[np.nonzero(there)[0]])  # noqa: B023
+
+                sought = lambda c, many: c if many else c[:, :1]
+                for tag, (i, j) in enumerate(permutations(range(3), 2)):
+                    codes = sought(near[j], looks_up)
+                    put(tag, words[i], codes, codes >= 0)
+                a, b = sought(near[1], looks_up), sought(near[2], not looks_up)
+                both, there = ((a[:, :, None] << 12) | b[:, None, :]).reshape(len(part), -1), ((a[:, :, None] >= 0) & (b[:, None, :] >= 0)).reshape(len(part), -1)
+                for half in (0, 1):
+                    put(6 + half, words[0] >> 11 * half & 2047, both, there)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners)], ["key", "fp"])
+
+    return fingerprints.select("fp").mapInArrow(post, "key long, fp long")
+
+
+#: Whether a key has both sides and more than one fingerprint.
+MEETS = "n_index > 0 and n_met > 0 and lo != hi"
+
+
+def counted(sides: DataFrame) -> DataFrame:
+    """``sides(key, fp, looks_up)`` with ``n_index`` and ``n_met`` of their key, where a fingerprint may meet another."""
+    sizes = sides.groupBy("key").agg(F.count(F.when(~F.col("looks_up"), 1)).alias("n_index"), F.count(F.when(F.col("looks_up"), 1)).alias("n_met"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    return sides.join(materialize(sizes.where(MEETS).select("key", "n_index", "n_met")), "key")
+
+
+def shared_keys(fingerprints: DataFrame) -> list[DataFrame]:
+    """Tables ``(key, fp, looks_up, n_index, n_met)`` of keys by which fingerprints may meet others; crowded ones are made longer."""
+    index = postings(fingerprints, False)
+    # Tables are written before they are joined: both sides then come straight from a shuffle, and large keys can be split.
+    there = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n_index"), F.min("fp").alias("least"), F.max("fp").alias("most")))
+    met = materialize(postings(fingerprints, True).join(there, "key"))
+    of_key = [F.first("n_index").alias("n_index"), F.count(F.lit(1)).alias("n_met"), F.min(F.least("fp", "least")).alias("lo"), F.max(F.greatest("fp", "most")).alias("hi")]
+    sizes = materialize(met.groupBy("key").agg(*of_key).where(MEETS).select("key", "n_index", "n_met"))
+    sides = materialize(index.withColumn("looks_up", F.lit(False)).unionByName(met.select("key", "fp", F.lit(True).alias("looks_up"))).join(sizes, "key"))
+    is_crowded, out = F.greatest("n_index", "n_met") > CROWDED, []
+    for pieces in PIECES:
+        crowded = sides.where(is_crowded)
+        if crowded.isEmpty():
+            break
+        out.append(sides.where(~is_crowded))
+        masks = [int(np.uint64(sum(1 << b for b in places)).view(np.int64)) for places in pieces]
+        values = F.explode(F.array(*[F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]))
+        sides = materialize(counted(crowded.select(values.alias("key"), "fp", "looks_up")))
+    return [*out, sides]
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
     """``(src, dst)`` of distinct fingerprints within ``MOST_BITS``: enough links to span every component."""
-    posted = postings(fingerprints)
-    index = posted.where("not looks_up").select("key", "fp")
-    lengths = index.groupBy("key").agg(F.count(F.lit(1)).alias("n_index"))
-    met = materialize(posted.where("looks_up").select("key", "fp").join(lengths, "key"))
-    # Every fingerprint meets itself; keys that nothing else looks up need no comparison.
-    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n_met"), F.first("n_index").alias("n_index")).where("n_met > 1")
+    sides = reduce(DataFrame.unionByName, shared_keys(fingerprints))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("fp"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    xs = index.join(shared, "key").withColumn("a", own("n_index")).select("key", "a", every("n_met").alias("b"), "fp", F.lit(False).alias("looks_up"))
-    ys = met.select("key", "fp").join(shared, "key").withColumn("b", own("n_met")).select("key", every("n_index").alias("a"), "b", "fp", F.lit(True).alias("looks_up"))
+    every = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    dealt = sides.withColumn("a", F.explode(F.when(F.col("looks_up"), every("n_index")).otherwise(F.array(own("n_index")))))
+    dealt = dealt.withColumn("b", F.explode(F.when(F.col("looks_up"), F.array(own("n_met"))).otherwise(every("n_met"))))
     side = lambda looks: F.collect_list(F.when(F.col("looks_up") == looks, F.col("fp")))
-    pairs = xs.unionByName(ys).groupBy("key", "a", "b").agg(side(False).alias("xs"), side(True).alias("ys"))
+    pairs = dealt.groupBy("key", "a", "b").agg(side(False).alias("xs"), side(True).alias("ys"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,25 +209,40 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return pairs.select("xs", "ys").mapInArrow(compare, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row; the fingerprints are computed once and written."""
+def classed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component, component_id)`` for every row; ``component`` is a fingerprint. Fingerprints are computed once and written."""
     marked = materialize(docs.select("doc_id", simhash(F.col("text")).alias("fp")))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(links(distinct)).select(F.col("node").alias("fp"), "component")
-    classed = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = classed.join(least, "component").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    classes = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written, so that the join's sides come straight from a shuffle and a text with very many copies can be split.
+    ids = materialize(classes.join(least, "component").select("fp", "component", "component_id"))
+    return marked.join(ids, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row."""
+    return classed(docs).drop("component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, one of each component: the one with the smallest id (one of them if that id repeats).
+    """The rows of ``docs``, one of each component: the one with the smallest id, rows without an id last.
 
-    Rows without an id stay only if no row of their component has one, one by fingerprint.
+    Of several rows with that id the smallest fingerprint stays, then the smallest XXH64 of the text,
+    then of the row, so reruns keep the same row. Null, empty and blank texts are one component.
     """
-    found = materialize(near_duplicates(docs))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    rest = docs.where("doc_id is null").withColumn("__fp", simhash(F.col("text"))).join(nameless, "__fp", "left_semi").dropDuplicates(["__fp"])
-    return named.select(docs.columns).unionByName(rest.select(docs.columns))
+    found = materialize(classed(docs))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
+    kept = materialize(kept)
+    unclear = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __id is null").select("__id"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id"))
+    if unclear.isEmpty():
+        return docs.join(kept.select("__id"), same, "left_semi")
+    clear = kept.join(unclear.withColumnRenamed("__id", "__u"), F.col("__id").eqNullSafe(F.col("__u")), "left_anti").select("__id")
+    several = docs.join(unclear, same, "left_semi").withColumn("__print", simhash(F.col("text")))
+    several = several.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    first = F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(row)), F.to_json(row)))
+    one = several.groupBy("doc_id", "__print").agg(first.alias("row")).select("row.*")
+    return docs.join(clear, same, "left_semi").unionByName(one)

@@ -46,9 +46,10 @@ def test_golay_words_meet():
         assert (near[:, :1] == other).any(1).all()
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_links_of_random_and_crowded_fingerprints(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "crowded"), [(2048, 8192), (7, 8192), (7, 20)])
+def test_links_of_random_and_crowded_fingerprints(spark, monkeypatch, block, crowded):
     monkeypatch.setattr(s, "BLOCK", block)
+    monkeypatch.setattr(s, "CROWDED", crowded)
     rng = random.Random(5)
     prints = {0, (1 << 64) - 1} | {rng.getrandbits(64) for _ in range(150)}
     for p in list(prints)[:60]:
@@ -64,6 +65,43 @@ def test_links_of_random_and_crowded_fingerprints(spark, monkeypatch, block):
     assert s.links(df).count() < 30 * len(prints)
 
 
+def test_keys_meet_wherever_the_errors_are(spark):
+    """Every pair within 3 bits shares a key, for all ways that three errors fall on segments, pieces and ends."""
+    rng, pairs = random.Random(7), []
+    for e in [*combinations(range(0, 64, 3), 3), *combinations((0, 1, 10, 11, 21, 22, 42, 43, 63), 3), *combinations(range(64), 1)]:
+        x = rng.getrandbits(64)
+        pairs.append((x, x ^ sum(1 << b for b in e)))
+    signed = [tuple(int(np.uint64(p).view(np.int64)) for p in pair) for pair in pairs]
+    df = spark.createDataFrame([(p,) for pair in signed for p in pair], "fp long")
+    keys = [{}, {}]
+    for looks_up in (False, True):
+        for r in s.postings(df, looks_up).collect():
+            keys[looks_up].setdefault(r.fp, set()).add(r.key)
+    assert all(keys[0][a] & keys[1][b] and keys[0][b] & keys[1][a] for a, b in signed)
+    assert max(map(len, keys[0].values())) <= 18 and max(map(len, keys[1].values())) <= 48
+
+
+def test_many_crowded_fingerprints(spark):
+    """20,000 fingerprints within few bits of one another, against brute force; rows in hand grow with their number, not its square."""
+    rng, middle = np.random.default_rng(3), np.uint64(0x9E3779B97F4A7C15)
+    flips = rng.integers(0, 64, (20_000, 9)).astype(np.uint64)
+    used = rng.integers(2, 10, 20_000)
+    prints = np.unique(middle ^ np.bitwise_xor.reduce(np.where(np.arange(9) < used[:, None], np.uint64(1) << flips, np.uint64(0)), axis=1))
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long").repartition(4)
+    got = {r.node: r.component for r in s.connected_components(s.links(df)).collect()}
+    todo, whole = np.ones(len(prints), bool), {}
+    for root in range(len(prints)):
+        if todo[root]:
+            todo[root], group, at = False, [root], 0
+            while at < len(group):
+                near = np.nonzero(todo & (np.bitwise_count(prints ^ prints[group[at]]) <= 3))[0]
+                todo[near], at = False, at + 1
+                group += near.tolist()
+            signed = prints[group].view(np.int64).tolist()
+            whole |= dict.fromkeys(signed, min(signed))
+    assert {p: got.get(p, p) for p in whole} == whole
+
+
 def test_odd_rows(spark, odd, empty):
     rows = s.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
@@ -73,7 +111,10 @@ def test_odd_rows(spark, odd, empty):
     assert by[3] == by[4] == by[6] == {(0, 3)} and by[1] == {(next(iter(by[1]))[0], 1)} and next(iter(by[2]))[1] == 1
     assert s.near_duplicates(empty).count() == 0
     kept = s.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted({next(iter(v))[1] for k, v in by.items() if k is not None})
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for v in by.values() for _, c in v})
+    twice = spark.createDataFrame([(1, "a b c d", "p"), (1, "a b c d", "p"), (1, "q r s t u v", "p"), (2, "q r s t u v", None), (3, None, "z"), (4, "", "z")], "doc_id long, text string, fp string")
+    for n in (1, 5):
+        assert sorted((r.doc_id, r.text) for r in s.keep_one(twice.repartition(n)).collect()) == [(1, "a b c d"), (1, "q r s t u v"), (3, None)]
     nameless = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "z y x w v u")], "doc_id long, text string")
     assert s.keep_one(nameless).count() == 2 and s.keep_one(empty).count() == 0
 
