@@ -6,14 +6,23 @@ log-linear sketch: values below 32 have a bucket each, larger ones keep their fi
 leading bits, so a bucket is at most 1/16 of its values wide. A sketch is a table of
 bucket counts, so sketches merge by adding counts: Spark sums them before the
 shuffle, a group of any size ends as a few hundred rows, and the same rows always
-give the same cutoffs. From each group's quartiles come fences,
+give the same cutoffs.
 
-    upper = q3 + REACH * max(q3 - q1, noise)      (and lower alike)
+The cutoffs of a group are tail quantiles (the last hundredth of either end) of its
+core, in two rounds of sketches:
 
-which are joined back to the documents. The noise is there because most groups have no
-spread at all in some measures. It is the standard error of the document's own measure,
-from its number of lines or words: one repeated line in a text of three is no outlier,
-half of 200 lines is. For symbols it is a fixed share.
+1. Quartiles of all documents that pass the base rules. A document is of the core if each
+   measure lies within REACH * max(q3 - q1, noise) of them. Quartiles bear up to a quarter
+   of junk in a group, which a tail quantile of everything would take for the norm.
+2. Tail quantiles of the core's sketches. A document goes if a measure lies beyond its
+   group's cutoff by more than REACH times its noise.
+
+Sketches of small groups lean on larger ones: what a group lacks of ``PRIOR`` documents is
+filled up with its language's sketch, and what a language lacks with the whole corpus's.
+
+Noise is the standard error of the document's own measure, from its number of lines,
+words or characters: one repeated line in a text of three is no outlier, half of 200
+lines is. No measure has a fixed cutoff or a least spread.
 
 Language and source may be null: null is a group of its own. Null text counts as
 empty and fails the base rules; repeated rows are judged alike; an empty table gives
@@ -22,6 +31,8 @@ an empty result. Columns besides the four that are named are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +43,8 @@ from mosaiq.plans.lineage import materialize
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 REACH = 3
+#: A tail is one part in so many of the core; documents that a sketch is filled up to; parts that a document's weight has.
+TAIL, PRIOR, PARTS = 100, 100, 1000
 #: Measure: (count, of what, scale, whether low values are fenced too).
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", 1_000_000, False),
@@ -39,10 +52,8 @@ MEASURES = {
     "repeats": ("n_repeat_words", "n_words", 1_000_000, False),
     "word_length": ("word_chars", "n_words", 1_000, True),
 }
-#: Noise of symbols, in parts per million.
-SYMBOLS_NOISE = 20_000
-#: Counts that one event adds: a window that occurs twice covers two windows' words.
-EVENT = {"dup_lines": 1, "repeats": 2 * WINDOW}
+#: Counts that one event adds: symbols come in runs, and a window that occurs twice covers two windows' words.
+EVENT = {"symbols": 3, "dup_lines": 1, "repeats": 2 * WINDOW}
 #: Copies of a cutoff row that documents of a hot group are dealt over.
 SALTS = 16
 
@@ -111,17 +122,15 @@ def scaled(name: str) -> Column:
     return F.coalesce(F.floor(F.col(top) * scale / F.nullif(F.col(bottom), F.lit(0))), F.lit(0)).cast("long")
 
 
-def noise(name: str, quartile: Column) -> Column:
+def noise(name: str, typical: Column) -> Column:
     """The standard error of a document's measure, in the measure's scale.
 
     Shares: that of the posterior of a binomial share, which isn't 0 at a share of 0.
     Mean word length: words' lengths spread by no more than their mean.
     """
     top, bottom, scale, _ = MEASURES[name]
-    if name == "symbols":
-        return F.lit(float(SYMBOLS_NOISE))
     if name == "word_length":
-        return quartile / F.sqrt(F.greatest(F.col(bottom), F.lit(1)))
+        return typical / F.sqrt(F.greatest(F.col(bottom), F.lit(1)))
     n = F.col(bottom) / EVENT[name]
     share = (F.col(top) / EVENT[name] + 1) / (n + 2)
     return scale * F.sqrt(share * (1 - share) / (n + 3))
@@ -133,36 +142,68 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.select("lang", "source", each.alias("s")).groupBy("lang", "source", "s.measure", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame) -> DataFrame:
-    """``(lang, source, <measure>_q1, <measure>_q3)`` by group, from the sketches; rounded outwards, as both may lie in one bucket."""
+def leaning(sketch: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(lang, source, measure, bucket, w)`` of every group: its sketch, filled up to ``PRIOR`` documents from its language's, itself filled up from the corpus's.
+
+    Weights are whole numbers, ``PARTS`` a document, so sums don't depend on their order.
+    """
+    share = lambda w, over: F.floor(F.col("lack") * PARTS * F.col(w) / F.sum(w).over(Window.partitionBy(*over))).cast("long")
+    docs = F.sum(F.when(F.col("measure") == next(iter(MEASURES)), F.col("n")).otherwise(0))
+    lack = lambda n: F.greatest(PRIOR - F.coalesce(n, F.lit(0)), F.lit(0))
+    sizes = sketch.groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(docs.alias("docs"))
+    groups = groups.join(sizes, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").select("lang", "source", F.coalesce("docs", F.lit(0)).alias("docs"))
+    corpus = sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    langs = groups.groupBy("lang").agg(lack(F.sum("docs")).alias("lack")).where("lack > 0")
+    lent = langs.withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES)))).join(corpus, "measure").select("lang", "measure", "bucket", share("n", ["lang", "measure"]).alias("w"))
+    by_lang = sketch.select("lang", "measure", "bucket", (F.col("n") * PARTS).alias("w")).unionByName(lent).groupBy(F.col("lang").alias("__lang"), "measure", "bucket").agg(F.sum("w").alias("w"))
+    lent = groups.withColumn("lack", lack(F.col("docs"))).where("lack > 0").join(by_lang, F.col("lang").eqNullSafe(F.col("__lang"))).select("lang", "source", "measure", "bucket", share("w", ["lang", "source", "measure"]).alias("w"))
+    return sketch.select("lang", "source", "measure", "bucket", (F.col("n") * PARTS).alias("w")).unionByName(lent).groupBy("lang", "source", "measure", "bucket").agg(F.sum("w").alias("w"))
+
+
+def quantiles(sketch: DataFrame, parts: int) -> DataFrame:
+    """``(lang, source, <measure>_low, <measure>_high)`` by group: what 1 in ``parts`` lie at or below, and all but 1 in ``parts``.
+
+    Rounded outwards, as both may lie in one bucket.
+    """
     group = Window.partitionBy("lang", "source", "measure")
     run = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(group))
-    at = lambda m, q, end: F.min(F.when((F.col("measure") == m) & (F.col("upto") * 4 >= F.col("all") * q), end(F.col("bucket")))).alias(f"{m}_q{q}")
-    return ranked.groupBy("lang", "source").agg(*[at(m, q, end) for m in MEASURES for q, end in ((1, bucket_bottom), (3, bucket_top))])
+    ranked = sketch.withColumn("upto", F.sum("w").over(run)).withColumn("all", F.sum("w").over(group))
+    at = lambda m, name, q, end: F.min(F.when((F.col("measure") == m) & (F.col("upto") * parts >= F.col("all") * q), end(F.col("bucket")))).alias(f"{m}_{name}")
+    return ranked.groupBy("lang", "source").agg(*[at(m, *x) for m in MEASURES for x in (("low", 1, bucket_bottom), ("high", parts - 1, bucket_top))])
 
 
-def fences(m: str) -> list[Column]:
-    """``<measure>_high`` and, where low values are fenced too, ``<measure>_low`` of a document with its group's quartiles."""
-    q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")
-    high, low = (F.greatest((q3 - q1).cast("double"), noise(m, q)) * REACH for q in (q3, q1))
-    return [(q3 + high).alias(f"{m}_high"), (q1 - low).alias(f"{m}_low")][: 1 + MEASURES[m][3]]
+def with_limits(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """The rows with the columns of their group's row in ``limits``; documents of a hot group are dealt over copies of it."""
+    named = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"}).withColumn("__s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = measured.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    same = (F.col("lang").eqNullSafe(F.col("__lang"))) & (F.col("source").eqNullSafe(F.col("__source")))
+    return salted.join(named, same & (F.col("__salt") == F.col("__s")), "left").drop("__lang", "__source", "__salt", "__s")
+
+
+def within(margin: Callable[[str, Column], Column]) -> Column:
+    """Whether each measure lies between its low and high limits, give or take ``margin(measure, limit)``; limits that are missing bind nothing."""
+    out = F.lit(True)
+    for m, (_, _, _, low_too) in MEASURES.items():
+        low, high = F.col(f"{m}_low"), F.col(f"{m}_high")
+        out &= F.coalesce(scaled(m) <= high + margin(m, high), F.lit(True))
+        if low_too:
+            out &= F.coalesce(scaled(m) >= low - margin(m, low), F.lit(True))
+    return out
+
+
+def core(fit: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows within ``REACH`` times their group's quartile range, or their own noise if that is more, of its quartiles."""
+    quartered = with_limits(fit, quantiles(leaning(sketches(fit), groups), 4))
+    spread = lambda m, limit: REACH * F.greatest((F.col(f"{m}_high") - F.col(f"{m}_low")).cast("double"), noise(m, limit))
+    return quartered.where(within(spread))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The base measures of every document, its group's quartiles, its fences, and ``kept``.
+    """The base measures of every document, its group's cutoffs ``<measure>_low`` and ``<measure>_high``, and ``kept``.
 
     The measures are written once: sketches and filter both read them, not the texts.
     """
     measured = materialize(base_measures(docs))
-    limits = quartiles(sketches(measured)).withColumnsRenamed({"lang": "__lang", "source": "__source"}).withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    salted = measured.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    same = (F.col("lang").eqNullSafe(F.col("__lang"))) & (F.col("source").eqNullSafe(F.col("__source")))
-    joined = salted.join(limits.withColumnRenamed("__salt", "__s"), same & (F.col("__salt") == F.col("__s")), "left")
-    joined = joined.select("*", *[fence for m in MEASURES for fence in fences(m)])
-    within = F.lit(True)
-    for m, (_, _, _, low) in MEASURES.items():
-        within &= F.coalesce(scaled(m) <= F.col(f"{m}_high"), F.lit(True))
-        if low:
-            within &= F.coalesce(scaled(m) >= F.col(f"{m}_low"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "__source", "__salt", "__s")
+    groups = measured.select("lang", "source").distinct()
+    cutoffs = quantiles(leaning(sketches(core(measured.where("not base_failed"), groups)), groups), TAIL)
+    return with_limits(measured, cutoffs).withColumn("kept", ~F.col("base_failed") & within(lambda m, limit: REACH * noise(m, limit)))
