@@ -10,6 +10,7 @@ forms, sidebars, comments and footers around and inside articles, with many spel
 of tags and classes and random words, so it learns markup and shapes rather than a
 vocabulary. Seeds are fixed; the weights (some 20,000 numbers) go to tasks as they are.
 
+Tags may be unclosed or crossed (``html_blocks`` says how they are read).
 Null or empty html, and pages without main text, give an empty text. Nothing is cut
 or dropped by length: a page of any number of blocks is read as one sequence.
 Repeated rows are read alike; an empty table gives an empty result.
@@ -21,37 +22,26 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mosaiq.llm.html_blocks import Block, leaf_blocks
+from mosaiq.llm.html_blocks import PATH_DIMS, Block, leaf_blocks, slot
 
-PATH_DIMS, WORD_DIMS, SHARES = 64, 24, 8
+WORD_DIMS, SHARES = 24, 8
+#: Numbers of a path's vector count up to this; more happens in pages with many unclosed tags.
+MOST_MARKS = 4
 DIGIT = re.compile(r"\d")
-DIMS, HIDDEN = PATH_DIMS + WORD_DIMS + SHARES, 16
-PAGES, BATCH, EPOCHS, RATE = 800, 32, 10, 0.01
+DIMS, HIDDEN = PATH_DIMS + WORD_DIMS + SHARES, 24
+PAGES, BATCH, EPOCHS, RATE = 2400, 24, 8, 0.025
+#: Probability from which a block is main text: leaving out a paragraph is worse than taking in a line.
+CHOSEN = 0.3
 #: Pages labelled together, and the most blocks (padding counted) of such a batch.
 SLICE, CELLS = 128, 60_000
 
 
-def _slot(token: str, dims: int) -> tuple[int, float]:
-    h = crc32(token.encode("utf-8", "surrogatepass"))
-    return h % dims, 1.0 if h >> 16 & 1 else -1.0
-
-
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIMS, np.float32)
-    for name in [name for names in path for name in names] + ["/" + names[0] for names in path[-1:]]:
-        at, sign = _slot(name, PATH_DIMS)
-        out[at] += sign
-    return out
-
-
 #: Slots of words seen by this worker; started over when there are many.
 _WORDS: dict[str, tuple[int, float]] = {}
 MOST_WORDS = 200_000
@@ -65,16 +55,16 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     for k, b in enumerate(blocks):
         words, sums, n = b.text.lower().split(), [0.0] * WORD_DIMS, len(b.text)
         for w in words:
-            slot = _WORDS.get(w)
-            if slot is None:
-                slot = _WORDS[w] = _slot(w.strip(".,;:!?()"), WORD_DIMS)
-            sums[slot[0]] += slot[1]
-        x[k, :PATH_DIMS] = _path_vector(b.path)
+            place = _WORDS.get(w)
+            if place is None:
+                place = _WORDS[w] = slot(w.strip(".,;:!?()"), WORD_DIMS)
+            sums[place[0]] += place[1]
+        x[k, :PATH_DIMS] = np.clip(b.path, -MOST_MARKS, MOST_MARKS)
         x[k, PATH_DIMS:-SHARES] = sums
         x[k, PATH_DIMS:-SHARES] /= len(words)
         x[k, -SHARES:] = (
             np.log1p(len(words)) / 4, b.link_chars / n, sum(map(b.text.count, ".!?")) / len(words), len(DIGIT.findall(b.text)) / n,
-            float("©" in b.text), len(b.path) / 10, k / len(blocks), 1.0,
+            float("©" in b.text), min(b.depth, 50) / 10, k / len(blocks), 1.0,
         )
     return x
 
@@ -83,77 +73,66 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class Direction:
-    """One LSTM over ``(pages, steps, DIMS)``; masked steps leave its state as it is."""
-
-    def __init__(self, w: np.ndarray, u: np.ndarray, b: np.ndarray):
-        self.w, self.u, self.b = w, u, b
-
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> np.ndarray:
-        pages, steps, _ = x.shape
-        h, c = np.zeros((2, pages, HIDDEN), np.float32)
-        inputs = x.reshape(-1, x.shape[2]) @ self.w + self.b
-        inputs, hs, self.kept = inputs.reshape(pages, steps, -1), np.zeros((pages, steps, HIDDEN), np.float32), []
-        for t in range(steps):
-            z = inputs[:, t] + h @ self.u
-            gates, g = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
-            i, f, o = np.split(gates, 3, axis=1)
-            m = mask[:, t, None]
-            fresh = f * c + i * g
-            squashed = np.tanh(fresh)
-            if keep:
-                self.kept.append((i, f, o, g, c, h, squashed, m))
-            c, h = np.where(m, fresh, c), np.where(m, o * squashed, h)
-            hs[:, t] = h
-        return hs
-
-    def backward(self, x: np.ndarray, d_hs: np.ndarray) -> list[np.ndarray]:
-        pages, steps, _ = x.shape
-        dz_all = np.zeros((pages, steps, 4 * HIDDEN), np.float32)
-        du, dh, dc = np.zeros_like(self.u), np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            i, f, o, g, c, h, squashed, m = self.kept[t]
-            dh = dh + d_hs[:, t]
-            d_out, d_cell = dh * m, dc * m
-            d_cell = d_cell + d_out * o * (1 - squashed**2)
-            dz = np.concatenate([d_cell * g * i * (1 - i), d_cell * c * f * (1 - f), d_out * squashed * o * (1 - o), d_cell * i * (1 - g**2)], axis=1)
-            dz_all[:, t] = dz
-            du += h.T @ dz
-            dh, dc = dh * ~m + dz @ self.u.T, dc * ~m + d_cell * f
-        flat = dz_all.reshape(-1, 4 * HIDDEN)
-        return [x.reshape(-1, x.shape[2]).T @ flat, du, flat.sum(0)]
-
-
 class Labeller:
-    """The bidirectional model: parameters, probabilities, gradients."""
+    """The bidirectional LSTM over ``(pages, steps, DIMS)``. Both directions run as one, stacked on the first axis."""
 
     def __init__(self, parameters: list[np.ndarray]):
         self.parameters = parameters
-        self.left, self.right = Direction(*parameters[:3]), Direction(*parameters[3:6])
 
     @staticmethod
     def fresh(rng: np.random.Generator) -> "Labeller":
-        def direction() -> list[np.ndarray]:
-            b = np.zeros(4 * HIDDEN)
-            b[HIDDEN : 2 * HIDDEN] = 1
-            return [rng.normal(0, 0.15, (DIMS, 4 * HIDDEN)), rng.normal(0, 0.2, (HIDDEN, 4 * HIDDEN)), b]
-
-        made = [*direction(), *direction(), rng.normal(0, 0.2, (2 * HIDDEN, 1)), np.zeros(1)]
+        b = np.zeros((2, 1, 1, 4 * HIDDEN))
+        b[..., HIDDEN : 2 * HIDDEN] = 1  # what is remembered at first
+        made = [rng.normal(0, 0.15, (2, 1, DIMS, 4 * HIDDEN)), rng.normal(0, 0.2, (2, HIDDEN, 4 * HIDDEN)), b, rng.normal(0, 0.2, (2, HIDDEN, 1)), np.zeros(1)]
         return Labeller([p.astype(np.float32) for p in made])
 
+    @staticmethod
+    def _both(x: np.ndarray) -> np.ndarray:
+        return np.stack([x, x[:, ::-1]])
+
+    def _states(self, x: np.ndarray, mask: np.ndarray, keep: bool) -> np.ndarray:
+        """``(2, pages, steps, HIDDEN)``, the second read backwards; masked steps leave a state as it is."""
+        w, u, b = self.parameters[:3]
+        inputs, masks = x @ w + b, self._both(mask)[..., None]
+        h = c = np.zeros((2, x.shape[1], HIDDEN), np.float32)
+        hs, self.kept = np.zeros((*inputs.shape[:3], HIDDEN), np.float32), []
+        for t in range(x.shape[2]):
+            z = inputs[:, :, t] + h @ u
+            gates, g = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
+            i, f, o = (gates[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            m = masks[:, :, t]
+            fresh = f * c + i * g
+            squashed = np.tanh(fresh)
+            if keep:
+                self.kept.append((i, f, o, g, c, h, squashed, m))
+            c, h = np.where(m, fresh, c), np.where(m, o * squashed, h)
+            hs[:, :, t] = h
+        return hs
+
     def probabilities(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> np.ndarray:
-        forth = self.left.forward(x, mask, keep)
-        back = self.right.forward(x[:, ::-1], mask[:, ::-1], keep)[:, ::-1]
-        self.hs = np.concatenate([forth, back], axis=2)
-        return _sigmoid(self.hs @ self.parameters[6] + self.parameters[7])[..., 0]
+        self.x = self._both(x)
+        self.hs = self._states(self.x, mask, keep)
+        told = (self.hs @ self.parameters[3][:, None])[..., 0]
+        return _sigmoid(told[0] + told[1][:, ::-1] + self.parameters[4])
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        error = ((self.probabilities(x, mask, True) - y) * mask / mask.sum())[..., None].astype(np.float32)
-        d_hs = error @ self.parameters[6].T
-        v = np.einsum("bth,bto->ho", self.hs, error)
-        forth = self.left.backward(x, d_hs[..., :HIDDEN])
-        back = self.right.backward(x[:, ::-1], d_hs[:, ::-1, HIDDEN:])
-        return [*forth, *back, v, error.sum((0, 1))]
+        error = ((self.probabilities(x, mask, True) - y) * mask / mask.sum()).astype(np.float32)
+        errors, u = self._both(error)[..., None], self.parameters[1]
+        d_hs = errors * self.parameters[3][:, None].swapaxes(-1, -2)
+        du, dh, dc = np.zeros_like(u), np.zeros((2, len(x), HIDDEN), np.float32), np.zeros((2, len(x), HIDDEN), np.float32)
+        dz_all = np.zeros((*self.hs.shape[:3], 4 * HIDDEN), np.float32)
+        for t in range(x.shape[1] - 1, -1, -1):
+            i, f, o, g, c, h, squashed, m = self.kept[t]
+            dh = dh + d_hs[:, :, t]
+            d_out = dh * m
+            d_cell = dc * m + d_out * o * (1 - squashed**2)
+            dz_all[:, :, t] = dz = np.concatenate([d_cell * g * i * (1 - i), d_cell * c * f * (1 - f), d_out * squashed * o * (1 - o), d_cell * i * (1 - g**2)], axis=2)
+            du += h.swapaxes(-1, -2) @ dz
+            dh, dc = dh * ~m + dz @ u.swapaxes(-1, -2), dc * ~m + d_cell * f
+        flat = dz_all.reshape(2, -1, 4 * HIDDEN)
+        dw = self.x.reshape(2, -1, DIMS).swapaxes(-1, -2) @ flat
+        dv = self.hs.reshape(2, -1, HIDDEN).swapaxes(-1, -2) @ errors.reshape(2, -1, 1)
+        return [dw[:, None], du, flat.sum(1)[:, None, None], dv, error.sum(keepdims=True)[0]]
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +152,7 @@ ADVERTS = ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div id="b
 SIDEBARS = ("aside", 'div class="sidebar"', 'aside class="widget"', 'div id="sidebar"', 'div class="related"', 'section class="related-posts"', 'div class="share social"', 'div class="widget recent"', 'div class="tags"')
 COMMENTS = ('section id="comments"', 'div class="comments"', 'div id="disqus" class="comment-list"', 'section class="replies discussion"', 'ol class="comment-list"', 'div class="reader-comments"')
 FOOTERS = ("footer", 'div class="footer"', 'div id="footer"', 'div class="copyright legal"', 'div role="contentinfo"', 'div class="bottom site-info"')
+NEUTRAL = ("wrap", "container", "row", "col", "inner", "page", "site", "layout", "grid", "wrapper", "box", "outer", "holder", "app", "root", "")
 CUES = {"notice": "cookie cookies accept privacy policy consent subscribe newsletter", "advert": "buy offer sale sponsored advertisement shop", "comment": "reply says likes report thanks ago", "footer": "copyright rights reserved contact terms", "form": "search name email submit send sign"}
 
 
@@ -223,25 +203,57 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
         labels.append(0)
         return inside(rng.choice(FOOTERS), ("&copy; " if rng.random() < 0.6 else "") + word() + ".example.com &middot; " + prose(2, 14, "footer"))
 
+    def neutral() -> str:
+        """A container that tells nothing: of a usual name, an invented one, or none."""
+        name = rng.choice((rng.choice(NEUTRAL), word()))
+        return rng.choice(("div", "div", "div", "section", "center")) + (f' {rng.choice(("class", "class", "id"))}="{name}"' if name else "")
+
+    def links(tag: str, most: int) -> str:
+        """A list of links inside an article."""
+        items = [block("li", f'<a href="/{word()}">{prose(1, 9)}</a>' + (" " + prose(1, 12) if rng.random() < 0.3 else ""), 1) for _ in range(rng.randint(2, most))]
+        return f"<{tag}>{''.join(items)}</{tag}>"
+
+    def table() -> str:
+        rows = range(rng.randint(1, 5))
+        return "<table>" + "".join("<tr>" + "".join(block(rng.choice(("td", "td", "th")), prose(1, 6), 1) for _ in range(rng.randint(2, 3))) + "</tr>" for _ in rows) + "</table>"
+
     def article() -> str:
         out = [block(rng.choice(("h1", "h1", "h2")), prose(3, 16), 1)] if rng.random() < 0.9 else []
+        if out and rng.random() < 0.15:
+            out[0] = f"<header>{out[0]}{block('p', prose(2, 12), 1) if rng.random() < 0.5 else ''}</header>"
         for _ in range(rng.choice((0, 1, 2, 3, 5, 8, 14, 25))):
             kind = rng.random()
-            if kind < 0.72:
-                out.append(block("p", prose(1, 90), 1))
-            elif kind < 0.78:
-                out.append(block(rng.choice(("h2", "h3")), prose(2, 8), 1))
-            elif kind < 0.84:
+            if kind < 0.64:
+                text = prose(1, 90 if rng.random() < 0.75 else 5)
+                if rng.random() < 0.12:
+                    text += f' <a href="/{word()}">{prose(1, 8)}</a>'
+                out.append(block("p", text, 1))
+            elif kind < 0.7:
+                out.append(block(rng.choice(("h2", "h3", "h4")), prose(1, 8), 1))
+            elif kind < 0.76:
                 out.append("<ul>" + "".join(block("li", prose(1, 16), 1) for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif kind < 0.89:
-                out.append(block(rng.choice(("blockquote", "pre", "figcaption", "td")), prose(3, 40), 1))
-            elif kind < 0.93:
+            elif kind < 0.8:
+                out.append(links(rng.choice(("ul", "ol")), 7))
+            elif kind < 0.85:
+                out.append(block(rng.choice(("blockquote", "pre", "figcaption", "dd", "dt")), prose(3, 40), 1))
+            elif kind < 0.88:
+                out.append(table())
+            elif kind < 0.92:
                 out.append(box(ADVERTS, "advert"))
-            elif kind < 0.96:
+            elif kind < 0.94:
                 out.append(box(SIDEBARS, ""))
             else:
                 out.append(block("div", prose(10, 60), 1))
-        return inside(rng.choice(MAIN[:1] * 8 + MAIN), "".join(out))
+        if rng.random() < 0.12:
+            out.append(box(COMMENTS, "comment", 2, 40, 6))
+        body = "".join(out)
+        place = rng.random()
+        if place < 0.62:
+            body = inside(rng.choice(MAIN[:1] * 8 + MAIN), body)
+        if place > 0.45:
+            for _ in range(rng.randint(place < 0.95, 3)):
+                body = inside(neutral(), body)
+        return body
 
     title = prose(3, 10)
     before = [part for part, chance in ((menu, 0.85), (lambda: box(HEADERS, "", 1, 8), 0.4), (lambda: box(NOTICES, "notice"), 0.3), (lambda: box(ADVERTS, "advert"), 0.6), (form, 0.2), (lambda: box(SIDEBARS, ""), 0.2)) if rng.random() < chance]
@@ -249,7 +261,10 @@ def training_page(rng: random.Random) -> tuple[str, list[int]]:
     rng.shuffle(before)
     rng.shuffle(after)
     ends = [footer] if rng.random() < 0.85 else []
-    body = "".join(part() for part in [*before, article, *after, *ends])
+    boxed = lambda html: inside(neutral(), html) if rng.random() < 0.12 else html
+    body = "".join(boxed(part()) if part is not article else part() for part in [*before, article, *after, *ends])
+    for _ in range(rng.choice((0, 0, 1, 2))):
+        body = inside(neutral(), body)
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>", labels
 
 
@@ -293,7 +308,7 @@ def labelled(pages: list[list[Block]], model: Labeller) -> list[np.ndarray]:
             end += 1
         x, mask = padded([vectors(pages[k]) for k in order[at:end]])
         for k, p in zip(order[at:end], model.probabilities(x, mask)):
-            out[k] = p[: len(pages[k])] > 0.5
+            out[k] = p[: len(pages[k])] > CHOSEN
         at = end
     return out
 
