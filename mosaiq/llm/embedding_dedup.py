@@ -6,30 +6,35 @@ centres are farther apart than that plus both covering radii hold no link, and t
 nodes that lie within it by both radii are linked throughout, without any pair in it
 being looked at. What is left is compared in double precision.
 
-The tree has two parts. Its upper levels are Spark tables: nodes of more than ``LEAF``
-points are split around centres from a bounded sample of theirs (assignment is by node
-and salt, so a label of any size is dealt out); pairs of nodes go down level by level
-as joins of parent and child tables. Below, each leaf of about ``LEAF`` points has a
-nested tree of halving radii, and surviving pairs of leaves are traversed together.
-
-Equal vectors of a label are one class from the start. A pair of leaves yields link
-counts and a spanning forest of its links, so a group of near copies makes about as
-many rows as it has members, not as many as it has pairs.
-
-Vectors that are null, zero, of another size, or hold null or non-finite components,
-and vectors without label or id, link with nothing and stay. Rows that share an id are
-one node of the components. Repeated rows are vectors of their own and link with each
+The tree is nested: a node is named after its centre, and its first child has the same
+centre. Its upper levels are Spark tables: nodes of more than ``LEAF`` points are split
+around the farthest points, one after another, of a bounded sample (with the node's own
+centre), until the radius has halved or there are ``CHILDREN``; assignment is by node and
+salt, so a label of any size is dealt out. Radii are computed from all members, so a
+sample makes no pair be missed. In high dimensions radii may not halve with so few
+centres: a node still too large after ``MOST_SPLITS`` levels is cut by a hash. Each leaf
+gets its own nested levels of halving radii, once; nodes whose children would hold few
+points stay whole, as a product of matrices is cheaper there.
+
+Pairs of nodes go down level by level as joins of parent and child tables, and end where
+they are pruned or linked throughout, at whatever level. Surviving pairs of leaves are
+traversed together, dealt out in tiles of leaves. Counts are added up by node, leaf and
+tile, and a pair of leaves yields only links between parts that aren't known as connected
+inside a leaf, so a group of near copies makes about as many rows as it has members.
+
+Equal vectors of a label are one class from the start. Vectors that are null, zero, of
+another size, or hold null or non-finite components, and vectors without label or id,
+link with nothing and stay. Rows that share an id are one node of the components, and
+their links are added up. Repeated rows are vectors of their own and link with each
 other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +45,14 @@ from mosaiq.plans.ranking import unit
 
 THRESHOLD = 0.93
 #: Points of a leaf; children of an upper node; sampled points that its centres come from; points assigned in a task.
-LEAF, CHILDREN, SAMPLE, PORTION = 1024, 64, 256, 4096
+LEAF, CHILDREN, SAMPLE, PORTION = 512, 64, 256, 512
 MOST_SPLITS = 8
-#: Radius below which a node of the lower tree isn't split.
-FINEST = 2.0**-5
+#: Leaves on a side of a tile, whose pairs are compared in one task.
+TILE = 16
+#: Points that children of a leaf's node have on average, or it isn't split.
+FEW = 8
 #: Slack of bounds against rounding; what lies within it is decided by the cosine itself.
-SLACK = 1e-9
+SLACK = 1e-6
 
 
 def usable(vector: Column) -> Column:
@@ -71,18 +78,19 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def split_nodes(points: DataFrame) -> DataFrame:
-    """``points`` with ``node`` a path of children from its root, leaves of about ``LEAF`` points."""
+    """``points`` with ``node`` a path of centres from its root, leaves of about ``LEAF`` points."""
 
     def centres(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        """Greedy centres: the point farthest from all so far, until the radius has halved or there are enough."""
-        part = part.sort_values("rep")
+        """The node's own centre, then the point farthest from all so far, until the radius has halved or there are enough."""
+        part = part.sort_values("rep").reset_index(drop=True)
         v, most = _matrix(part["v"]), int(part["k"].iloc[0])
-        chosen, far = [0], _apart(v, v[:1])[:, 0]
+        chosen = [int((part["rep"].astype(str) == key[0].rpartition(".")[2]).to_numpy().argmax())]
+        far = _apart(v, v[chosen])[:, 0]
         stop = far.max() / 2
         while len(chosen) < most and far.max() > max(stop, SLACK):
             chosen.append(int(far.argmax()))
             far = np.minimum(far, _apart(v, v[chosen[-1:]])[:, 0])
-        return pd.DataFrame({"node": key[0], "salts": int(part["salts"].iloc[0]), "child": range(len(chosen)), "centre": list(v[chosen])})
+        return pd.DataFrame({"node": key[0], "salts": int(part["salts"].iloc[0]), "child": part["rep"].to_numpy()[chosen], "centre": list(v[chosen])})
 
     def assign(key: tuple, part: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         part = part[["rep", "m", "node", "v"]]
@@ -94,13 +102,13 @@ def split_nodes(points: DataFrame) -> DataFrame:
 
     rounds, schema = Rounds(points.sparkSession), "rep long, m long, node string, v array<double>"
     for _ in range(MOST_SPLITS):
-        sizes = points.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF)
+        sizes = materialize(points.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF))
         if sizes.isEmpty():
             break
         big = sizes.select("node", "n", F.least(F.ceil(F.col("n") / LEAF) * 2, F.lit(CHILDREN)).cast("int").alias("k"), F.ceil(F.col("n") / PORTION).cast("int").alias("salts"))
         large = points.join(big, "node")
-        sample = large.where(unit(F.xxhash64("rep", F.lit(1))) * F.col("n") < SAMPLE).select("node", "rep", "v", "k", "salts")
-        around = sample.groupBy("node").applyInPandas(centres, "node string, salts int, child int, centre array<double>")
+        sampled = (unit(F.xxhash64("rep", F.lit(1))) * F.col("n") < SAMPLE) | (F.col("rep").cast("string") == F.substring_index("node", ".", -1))
+        around = large.where(sampled).select("node", "rep", "v", "k", "salts").groupBy("node").applyInPandas(centres, "node string, salts int, child long, centre array<double>")
         around = around.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         dealt = large.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
         moved = dealt.groupBy("node", "salt").cogroup(around.groupBy("node", "salt")).applyInPandas(assign, schema)
@@ -109,157 +117,200 @@ def split_nodes(points: DataFrame) -> DataFrame:
     return points.join(sizes, "node").withColumn("node", F.concat("node", F.lit("."), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("string"))).drop("parts")
 
 
-def pack(points: DataFrame) -> DataFrame:
-    """A row a leaf: ``(node, centre, radius, reps, ms, vs)``."""
+@dataclass
+class Tree:
+    """A leaf's nested levels. Points are in the order of the tree, so a node is a range of them; children have following numbers."""
+
+    starts: np.ndarray
+    stops: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+    first: np.ndarray
+    children: np.ndarray
+
+    def packed(self) -> bytes:
+        return np.stack([self.starts, self.stops, self.centres, self.first, self.children, self.radii.view(np.int64)]).tobytes()
+
+    @staticmethod
+    def unpacked(raw: bytes) -> "Tree":
+        rows = np.frombuffer(raw, np.int64).reshape(6, -1)
+        return Tree(rows[0], rows[1], rows[2], rows[5].view(np.float64), rows[3], rows[4])
+
+
+def cover_tree(v: np.ndarray) -> tuple[np.ndarray, Tree]:
+    """The order of the points, and their tree: of a level's centres the first is its parent's, the next ones are the first points not covered."""
+    between, order = _apart(v, v), np.arange(len(v))
+    nodes = [[0, len(v), 0, 1.0, 0, 0]]  # start, stop, centre, level's radius, first child, children
+    radii, at = [], 0
+    while at < len(nodes):
+        start, stop, centre, r, _, _ = nodes[at]
+        left, parts, near = order[start:stop], [], centre
+        radii.append(float(between[centre, left].max()))
+        while radii[at] > SLACK and r >= radii[at]:
+            r /= 2
+        if radii[at] > SLACK and len(left) > FEW:
+            while len(left) and (len(parts) + 1) * FEW <= stop - start:
+                covered = between[near, left] <= r
+                parts.append((near, left[covered]))
+                left = left[~covered]
+                near = int(left[0]) if len(left) else near
+            if not len(left):
+                nodes[at][4:] = len(nodes), len(parts)
+                for c, members in parts:
+                    order[start : start + len(members)] = members
+                    nodes.append([start, start + len(members), c, r / 2, 0, 0])
+                    start += len(members)
+        at += 1
+    place = np.argsort(order)
+    columns = [np.array(x, np.int64) for x in zip(*[(a, b, place[c], f, n) for a, b, c, _, f, n in nodes])]
+    return order, Tree(*columns[:3], np.array(radii), *columns[3:])
+
+
+def traverse(a: Tree, b: Tree, va: np.ndarray, vb: np.ndarray, threshold: float, own: bool = False) -> np.ndarray | None:
+    """Which points of two trees are linked, as a matrix; none if no points are. ``own``: a tree with itself."""
+    reach = float(np.sqrt(2 - 2 * threshold))
+    apart, near = _apart(va[a.centres], vb[b.centres]), None
+    x = y = np.zeros(1, np.int64)
+    rest = []
+    while len(x):
+        bound, d = a.radii[x] + b.radii[y], apart[x, y]
+        same = (x == y) & own
+        alive = same | (d <= reach + bound + SLACK)
+        whole = np.where(same, 2 * a.radii[x], d + bound) <= reach - SLACK
+        for i, j in zip(x[whole], y[whole]):
+            near = np.zeros((len(va), len(vb)), bool) if near is None else near
+            near[a.starts[i] : a.stops[i], b.starts[j] : b.stops[j]] = True
+        x, y = x[alive & ~whole], y[alive & ~whole]
+        bottom = (a.children[x] == 0) & (b.children[y] == 0)
+        rest.append((x[bottom], y[bottom]))
+        x, y = x[~bottom], y[~bottom]
+        # Children of both; a node without any stays as it is.
+        nx, ny = np.maximum(a.children[x], 1), np.maximum(b.children[y], 1)
+        k = np.arange((nx * ny).sum()) - np.repeat(np.cumsum(nx * ny) - nx * ny, nx * ny)
+        fx, fy = np.where(a.children[x] > 0, a.first[x], x), np.where(b.children[y] > 0, b.first[y], y)
+        same, ny = np.repeat((x == y) & own, nx * ny), np.repeat(ny, nx * ny)
+        fx, fy = np.repeat(fx, nx * np.maximum(b.children[y], 1)), np.repeat(fy, nx * np.maximum(b.children[y], 1))
+        x, y = fx + k // ny, fy + k % ny
+        x, y = x[~same | (x <= y)], y[~same | (x <= y)]
+    x, y = map(np.concatenate, zip(*rest))
+    if len(x):
+        cells = (a.stops[x] - a.starts[x]) * (b.stops[y] - b.starts[y])
+        if cells.sum() * 8 > len(va) * len(vb):  # a single product does it faster
+            near = va @ vb.T >= threshold
+        else:
+            near = np.zeros((len(va), len(vb)), bool) if near is None else near
+            for i, j in zip(x, y):
+                rows, columns = slice(a.starts[i], a.stops[i]), slice(b.starts[j], b.stops[j])
+                near[rows, columns] = va[rows] @ vb[columns].T >= threshold
+    if near is not None and own:
+        near |= near.T
+        np.fill_diagonal(near, False)
+    return near if near is not None and near.any() else None
+
+
+def pack(points: DataFrame, threshold: float) -> DataFrame:
+    """A row a leaf: its bounds, points and tree, its points' links inside it (``own``) and the first point of their components there (``roots``)."""
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rep")
         v = _matrix(part["v"])
+        order, tree = cover_tree(v)
+        v, reps, ms = v[order], part["rep"].to_numpy(np.int64)[order], part["m"].to_numpy(np.int64)[order]
         centre = v.mean(0)
         radius = float(_apart(v, centre[None])[:, 0].max())
-        return pd.DataFrame({"node": [key[0]], "centre": [centre], "radius": [radius], "reps": [part["rep"].to_numpy(np.int64).tobytes()], "ms": [part["m"].to_numpy(np.int64).tobytes()], "vs": [v.tobytes()]})
+        near, roots, own = traverse(tree, tree, v, v, threshold, True), np.arange(len(v)), np.zeros(len(v), np.int64)
+        if near is not None:
+            own = near @ ms
+            for i, j in spanning_forest(near, True):  # each component in turn, from its root on
+                roots[j] = roots[i]
+        return pd.DataFrame({"node": [key[0]], "centre": [centre], "radius": [radius], "m": [ms.sum()], "rep": [reps[0]], "reps": [reps], "ms": [ms], "own": [own], "roots": [roots], "vs": [v.tobytes()], "tree": [tree.packed()]})
 
-    return points.groupBy("node").applyInPandas(one, "node string, centre array<double>, radius double, reps binary, ms binary, vs binary")
+    return points.groupBy("node").applyInPandas(one, "node string, centre array<double>, radius double, m long, rep long, reps array<long>, ms array<long>, own array<long>, roots array<int>, vs binary, tree binary")
 
 
-def leaf_pairs(leaves: DataFrame, reach: float) -> DataFrame:
-    """``(a, b)`` of leaves that may hold links, ``a <= b``: the upper part of the dual traversal."""
+def upper_pairs(leaves: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """The upper part of the dual traversal.
+
+    Pairs ``(a, b)`` of leaves that may hold links, ``a < b``; and, by leaf, each node above it (or
+    itself) that is linked throughout with another or with itself: ``(leaf, rep, gain)`` with one point
+    to link to, and the number of vectors outside the leaf that each of its points is linked with.
+    """
 
     def above(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         c = _matrix(part["centre"])
         centre = c.mean(0)
         radius = float((_apart(c, centre[None])[:, 0] + part["radius"].to_numpy()).max())
-        return pd.DataFrame({"node": [key[0]], "centre": [centre], "radius": [radius]})
+        return pd.DataFrame({"node": [key[0]], "centre": [centre], "radius": [radius], "m": [part["m"].sum()], "rep": [part["rep"].min()]})
 
-    schema = "node string, centre array<double>, radius double"
+    schema = "node string, centre array<double>, radius double, m long, rep long"
     deepest = leaves.agg(F.max(F.size(F.split("node", r"\.")))).first()[0] or 0
     # A leaf that ends early is its own child on the levels below.
-    level = leaves.select(F.concat("node", F.repeat(F.lit(".0"), deepest - F.size(F.split("node", r"\.")))).alias("node"), "centre", "radius", F.col("node").alias("leaf"))
+    level = leaves.select(F.concat("node", F.repeat(F.lit(".0"), deepest - F.size(F.split("node", r"\.")))).alias("node"), "centre", "radius", "m", "rep", F.col("node").alias("leaf"))
     levels = [materialize(level)]
+    parent = F.regexp_replace("node", r"\.[^.]*$", "")
     for _ in range(deepest - 1):
-        parents = levels[-1].select(F.regexp_replace("node", r"\.[^.]*$", "").alias("node"), "centre", "radius")
-        levels.append(materialize(parents.groupBy("node").applyInPandas(above, schema)))
-    pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
+        levels.append(materialize(levels[-1].drop("leaf").withColumn("node", parent).groupBy("node").applyInPandas(above, schema)))
     distance = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    rounds = Rounds(leaves.sparkSession)
-    for level in levels[-2::-1]:
-        child = level.withColumn("parent", F.regexp_replace("node", r"\.[^.]*$", ""))
-        side = lambda s: child.select(F.col("parent").alias(s), F.col("node").alias(f"n{s}"), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}"))  # noqa: E731, B023
-        met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("na") <= F.col("nb"))
-        pairs = rounds.cut(met.where(distance <= F.col("ra") + F.col("rb") + F.lit(reach + SLACK)).select(F.col("na").alias("a"), F.col("nb").alias("b")))[0]
-    names = lambda s: levels[0].select(F.col("node").alias(s), F.col("leaf").alias(f"leaf_{s}"))
-    return pairs.join(names("a"), "a").join(names("b"), "b").select(F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b"))
-
-
-@dataclass
-class Node:
-    """A node of a lower tree: its centre, members, covering radius and children."""
-
-    centre: int
-    members: np.ndarray
-    radius: float
-    children: list["Node"] = field(default_factory=list)
-    centres: np.ndarray = None
-    radii: np.ndarray = None
-
-
-def cover_tree(v: np.ndarray) -> Node:
-    """Nested levels of halving radii: a level's first centre is its parent's, the next ones are the first points not covered."""
-    between = _apart(v, v)
-
-    def grow(centre: int, members: np.ndarray, r: float) -> Node:
-        node = Node(centre, members, float(between[centre, members].max()))
-        while len(members) > 1 and node.radius > FINEST and r >= node.radius:
-            r /= 2
-        if len(members) > 1 and node.radius > FINEST:
-            left, at = members, centre
-            while len(left):
-                near = between[at, left] <= r
-                node.children.append(grow(at, left[near], r / 2))
-                left = left[~near]
-                at = int(left[0]) if len(left) else at
-            node.centres = np.array([c.centre for c in node.children])
-            node.radii = np.array([c.radius for c in node.children])
-        return node
-
-    return grow(0, np.arange(len(v)), 1.0)
-
-
-def traverse(a: Node, b: Node, va: np.ndarray, vb: np.ndarray, threshold: float) -> tuple[list, np.ndarray]:
-    """Linked parts of two trees: node pairs linked throughout, and single pairs as rows of indices; ``a is b`` gives each pair once."""
-    reach, whole, single = float(np.sqrt(2 - 2 * threshold)), [], []
-    todo = [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        own = x is y
-        apart = 0.0 if own else float(np.linalg.norm(va[x.centre] - vb[y.centre]))
-        widest = 2 * x.radius if own else apart + x.radius + y.radius
-        if widest <= reach - SLACK:
-            whole.append((x, y))
-        elif not own and apart > reach + x.radius + y.radius + SLACK:
-            continue
-        elif not x.children and not y.children:
-            cos = va[x.members] @ vb[y.members].T
-            i, j = np.nonzero(np.triu(cos >= threshold, 1) if own else cos >= threshold)
-            single.append(np.c_[x.members[i], y.members[j]])
-        else:
-            xs, ys = x.children or [x], y.children or [y]
-            rx, cx = (x.radii, x.centres) if x.children else (np.array([x.radius]), np.array([x.centre]))
-            ry, cy = (y.radii, y.centres) if y.children else (np.array([y.radius]), np.array([y.centre]))
-            d = _apart(va[cx], vb[cy])
-            near = d <= reach + rx[:, None] + ry[None, :] + 1e-6  # distances by products are less exact
-            if own:
-                near = np.triu(near)
-            points = near & (rx == 0)[:, None] & (ry == 0)[None, :] & np.array([[len(c.members) == 1 for c in ys]]) & np.array([[len(c.members) == 1] for c in xs])
-            if own:
-                np.fill_diagonal(points, False)
-            i, j = np.nonzero(points)
-            linked = (va[cx[i]] * vb[cy[j]]).sum(1) >= threshold
-            single.append(np.c_[cx[i], cy[j]][linked])
-            todo += [(xs[i], ys[j]) for i, j in zip(*np.nonzero(near & ~points)) if not (own and i == j and len(xs[i].members) == 1)]
-    return whole, np.concatenate([np.zeros((0, 2), int), *single])
+    rounds, whole = Rounds(leaves.sparkSession, keep=deepest + 1), []
+    pairs, up = levels[-1].select(F.lit("").alias("a"), F.lit("").alias("b"), F.col("node").alias("na"), F.col("node").alias("nb")), None
+    for level in levels[::-1]:
+        side = lambda s: level.select(F.col("node").alias(f"n{s}"), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}"), F.col("m").alias(f"m{s}"), F.col("rep").alias(f"rep{s}"), *[F.col("leaf").alias(f"leaf{s}")] * ("leaf" in level.columns))  # noqa: E731, B023
+        if up is not None:
+            child = level.select(parent.alias("up"), "node")
+            of = lambda s: child.select(F.col("up").alias(s), F.col("node").alias(f"n{s}"))  # noqa: E731, B023
+            pairs = up.join(of("a"), "a").join(of("b"), "b").where("na <= nb")
+        met = pairs.select("na", "nb").join(side("a"), "na").join(side("b"), "nb").withColumn("d", distance).where(F.col("d") <= F.col("ra") + F.col("rb") + F.lit(reach + SLACK))
+        met = rounds.cut(met.withColumn("whole", F.when(F.col("na") == F.col("nb"), 2 * F.col("ra")).otherwise(F.col("d") + F.col("ra") + F.col("rb")) <= F.lit(reach - SLACK)).drop("ca", "cb", "ra", "rb", "d"))[0]
+        whole.append(met.where("whole").select("na", "nb", "ma", "mb", "repa", "repb"))
+        up = met.where("not whole").select(F.col("na").alias("a"), F.col("nb").alias("b"), *[c for c in met.columns if c.startswith("leaf")])
+    found = up.where("leafa < leafb").select(F.col("leafa").alias("a"), F.col("leafb").alias("b")) if deepest else leaves.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if not deepest:
+        return found, leaves.select(F.col("node").alias("leaf"), "rep", F.col("m").alias("gain"))
+    linked = whole[0]
+    for w in whole[1:]:
+        linked = linked.unionByName(w)
+    other = linked.where("na != nb")
+    # By node: a point to link to, and what its points gain; with itself that is all but what the leaf itself counts.
+    gains = linked.where("na = nb").select(F.col("na").alias("node"), F.col("repa").alias("rep"), F.col("ma").alias("gain"), F.lit(1).alias("itself"))
+    for s, t in ("ab", "ba"):
+        gains = gains.unionByName(other.select(F.col(f"n{s}").alias("node"), F.col("repa").alias("rep"), F.col(f"m{t}").alias("gain"), F.lit(0).alias("itself")))
+    # A tie of "rep" of both nodes of a pair follows from each linking to the same point.
+    gains = gains.groupBy("node", "rep").agg(F.sum("gain").alias("gain"), F.sum("itself").alias("itself"))
+    ancestors = levels[0].select("leaf", "m", F.explode(F.transform(F.sequence(F.lit(1), F.lit(deepest)), lambda k: F.array_join(F.slice(F.split("node", r"\."), F.lit(1), k), "."))).alias("node"))
+    return found, ancestors.join(gains, "node").select("leaf", "rep", (F.col("gain") - F.col("itself") * F.col("m")).alias("gain"))
 
 
 def compare_leaves(pairs: DataFrame, leaves: DataFrame, threshold: float) -> DataFrame:
-    """``(src, dst, links)``: link counts of classes (``dst`` null), and enough links to span each component."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = row["a"] == row["b"]
-                sides = []
-                for s in "ab"[: 2 - own]:
-                    reps, ms = np.frombuffer(row[f"reps_{s}"], np.int64), np.frombuffer(row[f"ms_{s}"], np.int64)
-                    v = np.frombuffer(row[f"vs_{s}"]).reshape(len(reps), -1)
-                    sides.append((reps, ms, v, cover_tree(v), np.zeros(len(reps), np.int64)))
-                (ra, ma, va, ta, na), (rb, mb, vb, tb, nb) = sides[0], sides[-1]
-                whole, single = traverse(ta, tb, va, vb, threshold)
-                src, dst = [], []
-                for x, y in whole:
-                    if x is y:
-                        na[x.members] += ma[x.members].sum() - ma[x.members]
-                    else:
-                        na[x.members] += mb[y.members].sum()
-                        nb[y.members] += ma[x.members].sum()
-                    reached = np.r_[ra[x.members], rb[y.members]]
-                    src.append(np.full(len(reached), reached[0]))
-                    dst.append(reached)
-                np.add.at(na, single[:, 0], mb[single[:, 1]])
-                np.add.at(nb, single[:, 1], ma[single[:, 0]])
-                if len(single) > len(ra) + len(rb):
-                    near = np.zeros((len(ra), len(rb)), bool)
-                    near[single[:, 0], single[:, 1]] = True
-                    single = np.array(spanning_forest(near | near.T if own else near, own)).reshape(-1, 2)
-                src.append(ra[single[:, 0]])
-                dst.append(rb[single[:, 1]])
-                counted = [(ra, na)] if own else [(ra, na), (rb, nb)]
-                out_src = np.concatenate([*src, *[r[n > 0] for r, n in counted]])
-                out_dst = [*np.concatenate(dst).tolist(), *[None] * sum(int((n > 0).sum()) for _, n in counted)]
-                links = np.concatenate([np.zeros(sum(map(len, src)), np.int64), *[n[n > 0] for _, n in counted]])
-                yield pa.RecordBatch.from_arrays([pa.array(out_src), pa.array(out_dst, pa.int64()), pa.array(links)], ["src", "dst", "links"])
-
-    side = lambda s: leaves.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "ms", "vs")])
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "src long, dst long, links long")
+    """``(src, dst, links)``: link counts of classes (``dst`` null), and links that span the components of each pair's parts."""
+
+    def compare(key: tuple, pairs: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+        known = {}
+        for r in leaves.itertuples():
+            roots, part = np.unique(np.asarray(r.roots), return_inverse=True)
+            by_part = np.argsort(part, kind="stable")
+            known[r.node] = (np.asarray(r.reps), np.asarray(r.ms), np.frombuffer(r.vs).reshape(len(r.reps), -1), Tree.unpacked(r.tree), roots, by_part, np.searchsorted(part[by_part], np.arange(len(roots))), np.zeros(len(r.reps), np.int64))
+        src, dst = [], []
+        for a, b in sorted(zip(pairs["a"], pairs["b"])):
+            (ra, ma, va, ta, fa, oa, sa, na), (rb, mb, vb, tb, fb, ob, sb, nb) = known[a], known[b]
+            near = traverse(ta, tb, va, vb, threshold)
+            if near is None:
+                continue
+            na += near @ mb
+            nb += near.T @ ma
+            # Between parts that are connected inside their leaf.
+            parts = np.logical_or.reduceat(np.logical_or.reduceat(near[np.ix_(oa, ob)], sa, 0), sb, 1)
+            for i, j in spanning_forest(parts):
+                src.append(ra[fa[i]])
+                dst.append(rb[fb[j]])
+        counted = [(reps[n > 0], n[n > 0]) for reps, *_, n in known.values()]
+        rows = [*zip(src, dst, [0] * len(src)), *[(int(r), None, int(n)) for reps, ns in counted for r, n in zip(reps, ns)]]
+        return pd.DataFrame(rows, columns=["src", "dst", "links"]).astype("Int64")
+
+    groups = F.greatest(F.ceil(F.lit(leaves.count()) / TILE), F.lit(1))
+    tiled = materialize(pairs.select("a", "b", *[F.pmod(F.xxhash64(s), groups).cast("int").alias(f"tile_{s}") for s in "ab"]))
+    needed = tiled.select(F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    shipped = needed.join(leaves.select("node", "reps", "ms", "roots", "vs", "tree"), "node")
+    return tiled.groupBy("tile_a", "tile_b").cogroup(shipped.groupBy("ta", "tb")).applyInPandas(compare, "src long, dst long, links long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,12 +320,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # In hexadecimal, so that no label holds the dots of a path and different labels never share a root.
     root = F.concat_ws("/", F.hex(F.col("label").cast("string").cast("binary")), F.size("embedding").cast("string"))
     points = materialize(classes.select("rep", "m", root.alias("node"), scaled(F.col("embedding")).alias("v")))
-    leaves = materialize(pack(split_nodes(points)))
-    found = materialize(compare_leaves(leaf_pairs(leaves, (2 - 2 * threshold) ** 0.5), leaves, threshold))
-    counts = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
-    linked = connected_components(found.where("dst is not null"))
+    leaves = materialize(pack(split_nodes(points), threshold))
+    pairs, above = upper_pairs(leaves, (2 - 2 * threshold) ** 0.5)
+    above, compared = materialize(above), materialize(compare_leaves(pairs, leaves, threshold))
+    member = F.explode(F.arrays_zip("reps", "own", F.transform("roots", lambda k: F.element_at("reps", k + 1)).alias("root"))).alias("p")
+    inside = materialize(leaves.select("node", F.col("rep").alias("first"), member).select("node", "first", F.col("p.reps").alias("rep"), F.col("p.own").alias("own"), F.col("p.root").alias("root")))
+    gained = inside.join(above.groupBy(F.col("leaf").alias("node")).agg(F.sum("gain").alias("gain")), "node", "left")
+    counts = gained.select(F.col("rep").alias("src"), (F.col("own") + F.coalesce("gain", F.lit(0))).alias("links")).unionByName(compared.where("dst is null").select("src", "links"))
+    counts = counts.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
+    # Points of a leaf that is linked throughout with something meet in its first point; that links to the other's.
+    edges = [inside.select(F.col("rep").alias("src"), F.col("root").alias("dst")), gained.where("gain is not null").select(F.col("rep").alias("src"), F.col("first").alias("dst"))]
+    edges += [compared.where("dst is not null").select("src", "dst"), leaves.select(F.col("node").alias("leaf"), F.col("rep").alias("src")).join(above.select("leaf", F.col("rep").alias("dst")), "leaf").select("src", "dst")]
+    linked = connected_components(edges[0].unionByName(edges[1]).unionByName(edges[2]).unionByName(edges[3]))
     known = classes.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # Written, so that both sides of the join come straight from a shuffle and a vector with very many copies can be split.
+    known = materialize(known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     alike = rows.where("fit").join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return alike.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

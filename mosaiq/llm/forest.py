@@ -6,7 +6,7 @@ import numpy as np
 
 
 def spanning_forest(near: np.ndarray, same_side: bool = False) -> list[tuple[int, int]]:
-    """Pairs (row, column) that span the components of a bipartite graph, or of a plain one if rows are the columns."""
+    """Pairs (row, column) that span the components of a bipartite graph, or of a plain one if rows are the columns; then each goes outwards from its root."""
     left = np.ones(near.shape[0], bool)
     right = left if same_side else np.ones(near.shape[1], bool)
     out = []
@@ -17,6 +17,6 @@ def spanning_forest(near: np.ndarray, same_side: bool = False) -> list[tuple[int
             at, is_left = todo.pop()
             fresh = np.nonzero(near[at] & right if is_left or same_side else near[:, at] & left)[0]
             (right if is_left else left)[fresh] = False
-            out += [(at, j) if is_left else (j, at) for j in fresh.tolist()]
+            out += [(at, j) if is_left or same_side else (j, at) for j in fresh.tolist()]
             todo += [(j, not is_left) for j in fresh.tolist()]
     return out

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaiq.llm import embedding_dedup as e
 from mosaiq.llm.queries import op7_embedding_dedup
@@ -43,19 +44,41 @@ def test_clusters_copies_and_chains_over_many_leaves(spark, monkeypatch, leaf):
     check(e.near_vectors(df).collect(), brute(v, label, ids))
 
 
-def test_trees_agree_with_all_pairs():
+@pytest.mark.parametrize(("spread", "dims"), [(0.2, 4), (0.02, 6), (1.0, 16)])
+def test_trees_agree_with_all_pairs(spread, dims):
     rng = np.random.default_rng(1)
-    v = np.concatenate([rng.normal(0, 1, (40, 4)), rng.normal(0, 1, 4) + rng.normal(0, 0.2, (40, 4))])
+    v = np.concatenate([rng.normal(0, 1, (140, dims)), rng.normal(0, 1, dims) + rng.normal(0, spread, (140, dims)), np.repeat(rng.normal(0, 1, (1, dims)), 20, 0)])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    for own in (True, False):
-        a, b = e.cover_tree(v), e.cover_tree(v)
-        whole, single = e.traverse(a, a if own else b, v, v, 0.93)
-        found = {(int(i), int(j)) for i, j in single} | {(int(i), int(j)) for x, y in whole for i in x.members for j in y.members if i != j or x is not y}
-        pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(v @ v.T >= 0.93))}
-        if own:
-            assert {tuple(sorted(p)) for p in found} == {(i, j) for i, j in pairs if i < j}
-        else:
-            assert found == pairs
+    order, tree = e.cover_tree(v)
+    v, tree = v[order], e.Tree.unpacked(tree.packed())
+    assert sorted(order) == list(range(len(v))) and len(tree.radii) <= len(v)
+    for k in range(len(tree.radii)):
+        assert (np.linalg.norm(v[tree.starts[k] : tree.stops[k]] - v[tree.centres[k]], axis=1) <= tree.radii[k] + 1e-7).all()
+        if tree.children[k]:
+            below = np.arange(tree.first[k], tree.first[k] + tree.children[k])
+            assert tree.centres[below[0]] == tree.centres[k] and (tree.radii[below] <= tree.radii[k] / 1.0).all()
+            assert tree.starts[below[0]] == tree.starts[k] and tree.stops[below[-1]] == tree.stops[k] and (tree.stops[below[:-1]] == tree.starts[below[1:]]).all()
+    near = v @ v.T >= 0.93
+    for other in (np.arange(len(v)), np.arange(0, len(v), 3)):
+        order, second = e.cover_tree(v[other])
+        assert (e.traverse(tree, second, v, v[other][order], 0.93) == near[:, other[order]]).all()
+    np.fill_diagonal(near, False)
+    assert (e.traverse(tree, tree, v, v, 0.93, True) == near).all()
+
+
+def test_rows_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Near copies over many leaves, linked throughout or just so: rows of a few times the members, not of their pairs."""
+    monkeypatch.setattr(e, "LEAF", 16)
+    monkeypatch.setattr(e, "PORTION", 64)
+    rng = np.random.default_rng(2)
+    for spread, n, times in ((0.05, 600, 1), (0.28, 600, 20)):
+        v = rng.normal(0, 1, 8) + rng.normal(0, spread, (n, 8))
+        df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+        points = df.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("m"), F.lit("r").alias("node"), e.scaled(F.col("embedding")).alias("v"))
+        leaves = e.materialize(e.pack(e.split_nodes(points), 0.93))
+        pairs, above = e.upper_pairs(leaves, 0.14**0.5)
+        assert above.count() + e.compare_leaves(pairs, leaves, 0.93).count() < times * n
+    check(e.near_vectors(df).collect(), brute(v, [0] * n, list(range(n))))
 
 
 def test_odd_rows(spark):
