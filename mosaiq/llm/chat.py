@@ -30,6 +30,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.llm.text import bind, cut, portions, running
 from mosaiq.plans.lineage import Rounds
 
 # What is written for each character that the template uses.
@@ -89,15 +90,11 @@ def formatted(messages: DataFrame, best: int | None = None) -> DataFrame:
         ranked = ranked.where(F.col("rank") <= best)
     opened = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE))
     text = F.array_join(F.transform("turns", lambda t: F.concat(opened(t), t["text"], F.lit(CLOSE))), "")
-    begin = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>").alias("mask"))
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(opened(t))
-        end = start + F.length(t["text"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + len(CLOSE)).alias("at"), F.when(t["raw_role"] == TRAINED_ROLE, F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
-
-    return ranked.select("conv_id", "leaf", "rank", "score", text.alias("formatted"), F.aggregate("turns", begin, step)["mask"].alias("mask"))
+    ends = running(F.transform("turns", lambda t: F.length(opened(t)) + F.length(t["text"]) + len(CLOSE)))
+    end = lambda e, k: (F.element_at(e, k + 1) - len(CLOSE)).cast("int")
+    spans = bind(ends, lambda e: F.transform("turns", lambda t, k: F.struct((end(e, k) - F.length(t["text"])).alias("start"), end(e, k).alias("end"), t["raw_role"].alias("role"))))
+    mask = F.transform(F.filter(spans, lambda s: s["role"] == TRAINED_ROLE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return ranked.select("conv_id", "leaf", "rank", "score", text.alias("formatted"), mask.alias("mask"))
 
 
 def read_back(text: Column) -> Column:
@@ -113,4 +110,4 @@ def read_back(text: Column) -> Column:
 
 def trained_text(text: Column, mask: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(mask, lambda s: unescaped(F.substring(text, s["start"] + 1, s["end"] - s["start"]))), "")
+    return bind(portions(text), lambda parts: F.array_join(F.transform(mask, lambda s: unescaped(cut(parts, s["start"], s["end"]))), ""))

@@ -51,8 +51,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = materialize(_table(spark, sf_dir, "documents").select("doc_id", secrets.scan(text).alias("scan")))
+    scanned = materialize(secrets.scan(_table(spark, sf_dir, "documents"), F.col("text")).select("doc_id", "scan"))
     limits = secrets.thresholds(scanned)
     base = F.col("scan")["base"]
     count = lambda k: F.size(F.filter(base, lambda s: s["k"] == k)).cast("long")

@@ -3,25 +3,33 @@
 Base spans are the whole matches of the patterns, leftmost and non-overlapping by
 kind; matches whose tested part is too short are dropped but still use up their text.
 
-Further spans ("random") come from runs of 20 or more base64 characters that no base
-span overlaps. A run with '+' or '/' and also '-' or '_' fits no encoding: its pieces
-between the former and between the latter are taken instead (a token behind a path, a key
-behind a prefix). The characters tell the encoding, the smallest alphabet that has them
-all (hex, base32, base36, base64); then
-
-* chi-squared uniformity over its alphabet: the statistic is set against what written
-  words give there (a share ``COLLIDES`` of character pairs are equal, far over
-  1/alphabet). The p-value of "no more uniform than words" falls with length, so a
-  short run must be clearer than a long one. A second chi-squared test, over upper case,
-  lower case and the rest, asks whether these are as frequent as in the alphabet, so plain
-  words and numbers need no rule of their own;
-* runs above and below the alphabet's middle, and lag-1 serial correlation: a run that
-  isn't random in order (counters, alphabets, repeats), or in those kinds, is out.
+Further spans ("random") come from runs of 20 or more base64 characters outside the base
+spans. A run with '+' or '/' and also '-' or '_' fits no encoding: its pieces between the
+former and between the latter are taken instead (a token behind a path, a key behind a
+prefix). The characters tell the encoding, the smallest alphabet that has them all (hex,
+letters, base32, base36, base64); then a battery of tests is run.
+
+A run is out if one of these tells it from random characters of its alphabet (level
+``ORDER_LEVEL``, divided by their number):
+
+* chi-squared uniformity over the alphabet;
+* chi-squared over upper case, lower case and the rest;
+* runs above and below the alphabet's middle;
+* lag-1 serial correlation.
+
+How surely it isn't written language is the p-value, by Fisher's method, of three tests
+against what words and names have. It falls with length, so a short run must be clearer
+than a long one:
+
+* equal pairs of characters, which is the chi-squared statistic again: words have at
+  least a share ``COLLIDES``, far over 1/alphabet;
+* vowels, too few among the letters (if there are any);
+* runs of letters and of digits, too many (if there are digits).
 
 Which p-values count as found is settled by false-discovery control (Benjamini and
 Hochberg) inside each encoding and length class, over all runs of the corpus. The
-p-values are counted in tenths of decades, so the control reads a small table of
-counts whatever the size of the corpus.
+p-values are counted in tenths of decades, down to 1e-30, so the control reads a small
+table of counts whatever the size of the corpus.
 
 Positions are in code points, ends exclusive. Null text counts as empty and has no
 spans; repeated rows are found alike; an empty table gives an empty result.
@@ -29,10 +37,12 @@ spans; repeated rows are found alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.text import bind
+from mosaiq.llm.text import bind, cut, portions, running
 
 # The patterns of the base kinds, in their order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,43 +56,59 @@ PIECES = (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}")
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "LETTERS": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base32lower": "abcdefghijklmnopqrstuvwxyz234567",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "Letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 #: Equal pairs of characters that names and words have at least, by alphabet size.
-COLLIDES = {16: 0.12, 32: 0.075, 36: 0.072, 64: 0.055}
+COLLIDES = {16: 0.12, 26: 0.07, 32: 0.075, 36: 0.072, 52: 0.055, 64: 0.055}
+# Fixed values, of written English: the sum of cubed letter frequencies over the squared sum of squares, less 1; the share of
+# vowels among letters. And the share of neighbours of which one is a letter and one a digit, in names with numbers in them.
+CLUMPS, VOWELS, SWITCHES = 0.25, 0.38, 0.06
 #: False discoveries allowed; level of the order tests; least tenth of a decade that counts.
 Q, ORDER_LEVEL, MOST_BIN = 0.01, 0.001, 300
 
 
+SPANS = "array<struct<start:int,end:int,s:string>>"
+
+
 def located(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, s>>`` of all matches: what lies between them gives their places."""
 
     def places(pieces: Column, found: Column) -> Column:
-        both = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))).alias("p"), found.alias("m"))
-        empty = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int,s:string>>").alias("out"))
+        both = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
+        ends = running(F.transform(both, lambda x: F.length(x["p"]) + F.length(x["m"])))
+        end = lambda e, k: F.element_at(e, k + 1).cast("int")
+        return bind(ends, lambda e: F.transform(found, lambda m, k: F.struct((end(e, k) - F.length(m)).alias("start"), end(e, k).alias("end"), m.alias("s"))))
+
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(pattern), bind(whole, lambda m: places(F.split(text, pattern, -1), m))).otherwise(F.from_json(F.lit("[]"), SPANS))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["p"])
-            end = start + F.length(x["m"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s")))).alias("out"))
 
-        return F.aggregate(both, empty, step)["out"]
+def replaced(text: Column, found: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with spans, sorted by start, replaced: ``by`` gets whether no earlier span reaches into one, and the number of its code points that none covers."""
 
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,s:string>>")
-    return F.when(text.rlike(pattern), bind(whole, lambda m: places(F.split(text, pattern, -1), m))).otherwise(none)
+    def parts(spans: Column, tops: Column, text_parts: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.element_at(tops, F.greatest(k, F.lit(1)))).otherwise(F.lit(0).cast("long"))
+        left = lambda s, k: F.greatest(s["end"] - F.greatest(s["start"], before(k)), F.lit(0))
+        each = F.transform(spans, lambda s, k: F.concat(cut(text_parts, before(k), s["start"]), by(s["start"] >= before(k), left(s, k).cast("int"))))
+        return F.concat(F.array_join(each, ""), cut(text_parts, F.element_at(tops, F.lit(-1)), F.length(text).cast("long")))
+
+    tops = running(F.transform(found, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(found) == 0, text).otherwise(bind(tops, lambda t: bind(portions(text), lambda p: parts(found, t, p))))
 
 
 def base_spans(text: Column) -> Column:
     """``array<struct<start, k, end>>`` of the three patterns (``k``: place in ``KINDS``), by start, then kind as listed."""
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     assign = bind(values, lambda v: F.filter(located(text, ASSIGN), lambda x, i: F.length(F.try_element_at(v, i + 1)) >= 6))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,s:string>>")
+    none = F.from_json(F.lit("[]"), SPANS)
     each = [F.when(text.rlike(ASSIGN), assign).otherwise(none), located(text, ACCESS), located(text, HEX)]
 
     def tagged(found: Column, kind: int) -> Column:
@@ -98,55 +124,68 @@ def _normal(z: Column) -> Column:
 
 
 def battery(run: Column) -> Column:
-    """``struct<encoding, length_class, bin>`` of a run of characters; null where no encoding fits or order isn't random."""
-
-    def tests(s: Column, name: str) -> Column:
+    """``struct<encoding, length_class, bin>`` of a run of characters; null where no encoding fits or a test tells it from random ones."""
+    gone = lambda s, pattern: F.length(s) - F.length(F.regexp_replace(s, pattern, ""))
+    product = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def counted(s: Column) -> Column:
+        """What the tests count, once a run."""
+        classes = F.regexp_replace(F.regexp_replace(s, "[A-Za-z]", "l"), "[0-9]", "d")
+        switches = (gone(classes, "ld") + gone(classes, "dl")) / 2
+        equal = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2)))
+        return F.struct(F.length(s).cast("double").alias("n"), equal.alias("equal"), switches.alias("switches"), gone(s, "[AEIOUaeiou]").alias("vowels"), gone(s, "[A-Z]").alias("upper"), gone(s, "[a-z]").alias("lower"), gone(s, "[0-9]").alias("digits"))
+
+    def tests(s: Column, c: Column, name: str) -> Column:
         alphabet = ALPHABETS[name]
-        k, n = len(alphabet), F.length(s)
-        equal = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, c: acc + F.pow((n - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2)))
-        chi2 = equal * k / n - n
-        # The statistic's mean and spread if COLLIDES of the pairs are equal.
-        pairs = n * (n - 1) / 2
-        mean = COLLIDES[k] * (n - 1) * k + k - n
-        spread = 2 * k / n * F.sqrt(pairs * COLLIDES[k] * (1 - COLLIDES[k]) + pairs * (n - 2) * COLLIDES[k] ** 2 * 0.1)
-        p_words = _normal((chi2 - mean) / spread)
+        k, n, letters = len(alphabet), c["n"], c["upper"] + c["lower"]
+        # Against written language.
+        pairs, due = n * (n - 1) / 2, n * (n - 1) / 2 * COLLIDES[k]
+        p_equal = _normal(((c["equal"] - n) / 2 + 0.5 - due) / F.sqrt(due * (1 - COLLIDES[k]) + pairs * 2 * (n - 2) * CLUMPS * COLLIDES[k] ** 2))
+        p_vowels = F.when(letters > 0, _normal((c["vowels"] + 0.5 - letters * VOWELS) / F.sqrt(F.greatest(letters, F.lit(1)) * VOWELS * (1 - VOWELS)))).otherwise(1.0)
+        p_switches = F.when(c["switches"] > 0, _normal(((n - 1) * SWITCHES + 0.5 - c["switches"]) / F.sqrt((n - 1) * SWITCHES * (1 - SWITCHES)))).otherwise(1.0)
+        half_x = -sum((F.log(F.greatest(p, F.lit(1e-90))) for p in (p_equal, p_vowels, p_switches)), F.lit(0.0))
+        # Chi-squared with two degrees of freedom for each test that applies: without letters or digits one tells nothing.
+        apply = 1 + (letters > 0).cast("int") + (c["digits"] > 0).cast("int")
+        p_words = bind(half_x, lambda x: F.exp(-x) * (1 + F.when(apply >= 2, x).otherwise(0.0) + F.when(apply >= 3, x * x / 2).otherwise(0.0)))
+        # Against random characters; uniformity by the cube-root approximation of chi-squared.
+        shape = 2 / (9 * (k - 1))
+        p_uniform = _normal((1 - shape - F.pow(F.greatest(c["equal"] * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3))) / shape**0.5)
         half = F.translate(s, alphabet, "0" * (k // 2) + "1" * (k // 2))
         ones = F.length(F.replace(half, F.lit("0"), F.lit(""))).cast("double")
-        turns = sum(((n - F.length(F.replace(half, F.lit(t), F.lit("")))) / 2 for t in ("01", "10")), F.lit(0.0))
+        turns = (gone(half, "01") + gone(half, "10")) / 2
         expected = 2 * ones * (n - ones) / n
-        deviation = F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))
-        p_runs = 2 * _normal(-F.abs((turns - expected) / deviation))
+        p_runs = 2 * _normal(-F.abs((turns - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))))
 
         def serial(v: Column) -> Column:
-            mid = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-            around = bind(mid, lambda m: F.transform(v, lambda x: x - m))  # once a run: a run may be a whole file
-            return bind(around, lambda d: F.aggregate(F.transform(d, lambda x, i: x * F.coalesce(F.try_element_at(d, i + 2), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x), F.lit(1e-9)))
+            around = bind(product(v) / n, lambda m: F.transform(v, lambda x: x - m))  # once a run: a run may be a whole file
+            return bind(around, lambda d: product(F.transform(d, lambda x, i: x * F.coalesce(F.try_element_at(d, i + 2), F.lit(0.0)))) / F.greatest(product(F.transform(d, lambda x: x * x)), F.lit(1e-9)))
 
         values = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-        p_serial = 2 * _normal(-F.abs(bind(values, serial)) * F.sqrt(n.cast("double")))
-        kinds = [("A-Z", sum(c.isupper() for c in alphabet)), ("a-z", sum(c.islower() for c in alphabet)), ("^A-Za-z", sum(not c.isalpha() for c in alphabet))]
-        kinds = [(kind, size) for kind, size in kinds if size]
-        counted = [(F.length(F.regexp_replace(s, f"[^{kind}]" if kind[0] != "^" else f"[{kind[1:]}]", "")), n * size / k) for kind, size in kinds]
-        uneven = sum(((seen - due) * (seen - due) / due for seen, due in counted), F.lit(0.0))
+        p_serial = 2 * _normal(-F.abs(bind(values, serial)) * F.sqrt(n))
+        kinds = [(seen, size) for seen, size in ((c["upper"], sum(x.isupper() for x in alphabet)), (c["lower"], sum(x.islower() for x in alphabet)), (n - letters, sum(not x.isalpha() for x in alphabet))) if size]
+        uneven = sum(((seen - n * size / k) * (seen - n * size / k) / (n * size / k) for seen, size in kinds), F.lit(0.0))
         p_kinds = F.exp(-uneven / 2) if len(kinds) == 3 else 2 * _normal(-F.sqrt(uneven))
-        ordered = (3 * F.least(p_runs, p_serial, p_kinds)) < ORDER_LEVEL
-        tenth = F.least(F.floor(-10 * F.log10(F.greatest(p_words, F.lit(1e-300)))), F.lit(MOST_BIN)).cast("int")
-        made = F.struct(F.lit(name).alias("encoding"), F.length(F.bin(n)).alias("length_class"), tenth.alias("bin"))
-        return F.when(~ordered, made)
+        told = (4 * F.least(p_uniform, p_runs, p_serial, p_kinds)) < ORDER_LEVEL
+        tenth = F.least(F.floor(-10 * F.log10(p_words)), F.lit(MOST_BIN)).cast("int")
+        made = F.struct(F.lit(name).alias("encoding"), F.length(F.bin(F.length(s))).alias("length_class"), F.greatest(tenth, F.lit(0)).alias("bin"))
+        return F.when(~told, made)
 
-    def by_encoding(s: Column) -> Column:
+    def by_encoding(s: Column, c: Column) -> Column:
         return (
-            F.when(s.rlike("^[0-9a-f]+$"), tests(s, "hex"))
-            .when(s.rlike("^[0-9A-F]+$"), tests(s, "HEX"))
-            .when(s.rlike("^[A-Z2-7]+$"), tests(s, "base32"))
-            .when(s.rlike("^[a-z2-7]+$"), tests(s, "base32lower"))
-            .when(s.rlike("^[0-9A-Z]+$"), tests(s, "BASE36"))
-            .when(s.rlike("^[0-9a-z]+$"), tests(s, "base36"))
-            .when(s.rlike("^[A-Za-z0-9+/]+$"), tests(s, "base64"))
-            .when(s.rlike("^[A-Za-z0-9_-]+$"), tests(s, "base64url"))
+            F.when(s.rlike("^[0-9a-f]+$"), tests(s, c, "hex"))
+            .when(s.rlike("^[0-9A-F]+$"), tests(s, c, "HEX"))
+            .when(s.rlike("^[A-Z]+$"), tests(s, c, "LETTERS"))
+            .when(s.rlike("^[a-z]+$"), tests(s, c, "letters"))
+            .when(s.rlike("^[A-Z2-7]+$"), tests(s, c, "base32"))
+            .when(s.rlike("^[a-z2-7]+$"), tests(s, c, "base32lower"))
+            .when(s.rlike("^[0-9A-Z]+$"), tests(s, c, "BASE36"))
+            .when(s.rlike("^[0-9a-z]+$"), tests(s, c, "base36"))
+            .when(s.rlike("^[A-Za-z]+$"), tests(s, c, "Letters"))
+            .when(s.rlike("^[A-Za-z0-9+/]+$"), tests(s, c, "base64"))
+            .when(s.rlike("^[A-Za-z0-9_-]+$"), tests(s, c, "base64url"))
         )
 
-    return bind(F.rtrim(run, F.lit("=")), by_encoding)
+    return bind(F.rtrim(run, F.lit("=")), lambda s: bind(counted(s), lambda c: by_encoding(s, c)))
 
 
 def pieces(run: Column) -> Column:
@@ -159,21 +198,19 @@ def pieces(run: Column) -> Column:
     return F.when(mixed, F.concat(*map(cut, PIECES))).otherwise(F.array(run))
 
 
-def scan(text: Column) -> Column:
-    """``struct<base, runs>``: base spans, and the tested runs that no base span overlaps."""
-
-    def with_runs(base: Column) -> Column:
-        free = F.filter(F.flatten(F.transform(located(text, RANDOM), pieces)), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-        tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["s"]).alias("t")))
-        return F.struct(base.alias("base"), F.filter(tested, lambda r: r["t"].isNotNull()).alias("runs"))
-
-    return bind(base_spans(text), with_runs)
+def scan(rows: DataFrame, text: Column, column: str = "scan") -> DataFrame:
+    """The rows with ``struct<base, runs>``: base spans, and the tested runs outside them. Step by step, so that plans stay shallow."""
+    made = rows.withColumn("__text", F.coalesce(text, F.lit(""))).withColumn("__base", base_spans(F.col("__text")))
+    made = made.withColumn("__outside", replaced(F.col("__text"), F.col("__base"), lambda fresh, n: F.repeat(F.lit(" "), n)))
+    made = made.withColumn("__found", located(F.col("__outside"), RANDOM)).withColumn("__runs", F.flatten(F.transform("__found", pieces)))
+    tested = F.transform("__runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["s"]).alias("t")))
+    return made.withColumn(column, F.struct(F.col("__base").alias("base"), F.filter(tested, lambda r: r["t"].isNotNull()).alias("runs"))).drop("__text", "__base", "__outside", "__found", "__runs")
 
 
 def thresholds(scanned: DataFrame, column: str = "scan") -> dict[tuple[str, int], int]:
     """By encoding and length class, the least bin that false-discovery control lets through.
 
-    The result has at most eight encodings times 32 length classes, whatever the corpus.
+    The result has at most eleven encodings times 32 length classes, whatever the corpus.
     """
     from pyspark.sql import Window
 
@@ -204,11 +241,4 @@ def joined(found: Column) -> Column:
 
 def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:
     """The text with every span, or run of overlapping spans, replaced by ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.array(F.lit("")).alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["parts"], fresh)).otherwise(acc["parts"]).alias("parts"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, step, rest))
+    return replaced(text, found, lambda fresh, n: F.when(fresh, F.lit(mask)).otherwise(F.lit("")))
