@@ -3,6 +3,11 @@
 Each round is two aggregations (``min``, so partial sums shrink hubs before the
 shuffle) and two equi-joins; the number of rounds grows with the logarithm of the
 component size, not with its diameter.
+
+A hub's edges would all meet its minimum in one task. Once there are more than
+``PLENTY`` edges, vertices with more than one in ``HUBS`` of all ends are hubs: there
+are at most ``HUBS`` of them, whatever the size of the table, so their minima are sent
+to every task and their edges stay where they are.
 """
 
 from __future__ import annotations
@@ -12,6 +17,18 @@ from pyspark.sql import functions as F
 
 from mosaiq.plans.lineage import Rounds
 
+#: Edges up to which a task may get all of a vertex; hubs at most, beyond.
+PLENTY, HUBS = 1_000_000, 2_000
+
+
+def _with_least(ends: DataFrame, least: DataFrame, n_ends: int) -> DataFrame:
+    """``ends(u, v)`` with ``m`` of ``least(u, m, n)``, hubs apart from the other vertices."""
+    if n_ends <= PLENTY:
+        return ends.join(least.select("u", "m"), "u")
+    is_hub = F.col("n") > n_ends / HUBS
+    hubs = F.broadcast(least.where(is_hub).select("u", "m"))
+    return ends.join(hubs, "u").unionByName(ends.join(hubs.select("u"), "u", "left_anti").join(least.where(~is_hub).select("u", "m"), "u"))
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node with an edge to another; component is the smallest node.
@@ -22,17 +39,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pair = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     rounds = Rounds(edges.sparkSession)
     stars, mark = rounds.cut(pair.where(pair[2]).select("u", "v").distinct())[0], None
+    n_edges = stars.count()
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, least, 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, low, n_edges).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = rounds.cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())[0]
         seen = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
+        mark, n_edges = seen, seen[0]
     else:
         raise RuntimeError("components did not settle")
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

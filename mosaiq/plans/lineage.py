@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Folders of tables written inside each open ``scratch``, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` and ``Rounds`` write inside is deleted at its end: write or collect all results before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def _fresh(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    path = f"{shared_dir(df.sparkSession)}/mosaiq-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and return the table read back; it stays until ``scratch`` or the user deletes it."""
+    path = _fresh(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -37,7 +66,7 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, keep: int = 2):
         self.spark, self.keep, self.paths = spark, keep, []
-        self.base = f"{shared_dir(spark)}/mosaiq-{uuid.uuid4().hex}"
+        self.base = _fresh(spark)
 
     def cut(self, *frames: DataFrame) -> list[DataFrame]:
         """Write the frames of one round; return them read back."""
@@ -48,9 +77,5 @@ class Rounds:
         self.paths.append(made)
         if len(self.paths) > self.keep:
             for path in self.paths[-self.keep - 1]:
-                self._delete(path)
+                _delete(self.spark, path)
         return out
-
-    def _delete(self, path: str) -> None:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -110,3 +110,41 @@ def test_tile_plans():
     assert tile_plan.plan_tiles(13, 20000, 40000, 24, 4, 100000, 8) == tile_plan.TilePlan(5000, 1667, 8)
     assert tile_plan.plan_tiles(13, 20000, 40000, 24, 4, 1000, 8) == tile_plan.TilePlan(5000, 1667, 0)
     assert tile_plan.balanced_size(1000, 300) == 250 or 1000 % tile_plan.balanced_size(1000, 300) >= 1000 % 300
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and giant components, with hubs apart and without, against union-find."""
+    import random
+
+    from mosaiq.operators import components as c
+
+    rng = random.Random(6)
+    edges = [(0, k) for k in range(1, 400)] + [(k, 5000) for k in range(1000, 1300)] + [(k, k + 1) for k in range(2000, 2060)] + [(3000 + rng.randrange(200), 3000 + rng.randrange(200)) for _ in range(150)] + [(7, 7), (7, None)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    linked = {x for a, b in edges if b is not None and a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for plenty, hubs in ((10**6, 2000), (10, 20)):
+        monkeypatch.setattr(c, "PLENTY", plenty)
+        monkeypatch.setattr(c, "HUBS", hubs)
+        assert {r.node: r.component for r in c.connected_components(df).collect()} == {x: find(x) for x in linked}
+
+
+def test_scratch_deletes_what_it_wrote(spark):
+    import os
+
+    from mosaiq.plans.lineage import materialize, scratch, shared_dir
+
+    kept = materialize(spark.range(5))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    with scratch(spark):
+        assert materialize(spark.range(3)).count() == 3
+    assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) == before and kept.count() == 5
