@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ class Meta:
     origin_x: float = 0.0
     origin_y: float = 0.0
     projection: str = ""
+    nodata: float | list[float] | None = None
 
 
 def pixels_of(table: DataFrame, pix: str, width: int, bands: list[Column]) -> DataFrame:
@@ -44,9 +46,16 @@ def metadata(pixels: DataFrame) -> DataFrame:
     return pixels.agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max(F.size("bands")).alias("n_bands"), F.count(F.lit(1)).alias("n_pixels"))
 
 
+def with_meta(pixels: DataFrame, meta: Meta) -> DataFrame:
+    """The raster with origin, projection and no-data value kept in the schema, so that Parquet files carry them."""
+    kept = {k: v for k, v in asdict(meta).items() if k in ("origin_x", "origin_y", "projection", "nodata") and v is not None}
+    return pixels.withMetadata("bands", {"raster": json.dumps(kept)})
+
+
 def read_metadata(pixels: DataFrame) -> Meta:
     row = metadata(pixels).first()
-    return Meta(row["width"] or 0, row["height"] or 0, row["n_bands"] or 0)
+    kept = json.loads(pixels.schema["bands"].metadata.get("raster", "{}"))
+    return Meta(row["width"] or 0, row["height"] or 0, row["n_bands"] or 0, **kept)
 
 
 def window(pixels: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
