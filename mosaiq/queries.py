@@ -240,6 +240,13 @@ def _merged(spark, sf_dir, rounds: int) -> merge.Outcome:
     return merge.iterate(graph.initial_graph(pixels, 100, height_of(pixels)), _criterion(), rounds)
 
 
+def _settled(outcome: merge.Outcome) -> DataFrame:
+    """The nodes of a merging that went on until nothing was left to merge."""
+    if not outcome.over:
+        raise RuntimeError(f"merging did not settle in {outcome.rounds} rounds")
+    return outcome.graph.nodes
+
+
 def _costed(spark, sf_dir) -> DataFrame:
     pixels = raster_e(spark, sf_dir)
     start = graph.initial_graph(pixels, 100, height_of(pixels))
@@ -297,7 +304,7 @@ def baatz_iter3_members(spark, sf_dir):
 
 @query()
 def baatz_converged(spark, sf_dir):
-    return flat_nodes(_merged(spark, sf_dir, 40).graph.nodes)
+    return flat_nodes(_settled(_merged(spark, sf_dir, 40)))
 
 
 @query(_nodes_sql(3))
@@ -342,7 +349,7 @@ def srm_pairs_round1(spark, sf_dir):
 @query()
 def srm_converged(spark, sf_dir):
     start, _, _ = region_graph_e(spark, sf_dir)
-    return flat_nodes(merge.iterate(start, merge.small_regions(3), 100).graph.nodes, 6)
+    return flat_nodes(_settled(merge.iterate(start, merge.small_regions(3), 100)), 6)
 
 
 # Components and regions.
