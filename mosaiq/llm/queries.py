@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, chat, embedding_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, sharding, simhash
+from mosaiq.llm import bpe, chat, collocations, embedding_dedup, fill_in_middle, html_extract, language_id, mixing, quality_classifier, quality_rules, secrets, sharding, simhash
 
 from mosaiq.plans.lineage import materialize
 
@@ -100,6 +100,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~held))
+    return language_id.labelled(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transformed(_table(spark, sf_dir, "documents").select("doc_id", "text"), fill_in_middle.CHARACTERS)
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -111,6 +135,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash": op10_simhash,
+    "op11_language_id": op11_language_id,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP12_SQL = """WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+q AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM h),
+f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM q),
+c AS (SELECT *, left(text, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM c"""
+
+_OP13_SQL = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM t),
+g AS (SELECT lang, k, unnest(list_transform(range(1, CAST(len(words) AS BIGINT) - k + 2), lambda i: array_to_string(list_slice(words, i, i + k - 1), ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.*, k1, array_to_string(words[1:k1], ' ') AS p, array_to_string(words[k1 + 1:], ' ') AS s FROM c, (SELECT unnest([1, 2, 3]) AS k1) WHERE k1 < k),
+scored AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, x.f AS l, y.f AS r, k1, CAST((CAST(a AS HUGEINT) * 2000000) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p JOIN f y ON y.lang = cuts.lang AND y.phrase = s),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k1) AS o FROM scored) WHERE o = 1),
+part AS (SELECT DISTINCT c.lang, array_to_string(words[k1:k1 + m - 1], ' ') AS phrase, c.a AS longer FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS k1) WHERE m < k AND k1 + m - 1 <= k),
+gone AS (SELECT DISTINCT best.lang, best.phrase FROM best JOIN part ON part.lang = best.lang AND part.phrase = best.phrase WHERE 100 * CAST(longer AS HUGEINT) >= 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN gone USING (lang, phrase)) JOIN total USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op12_fill_in_middle": _OP12_SQL, "op13_collocations": _OP13_SQL}
