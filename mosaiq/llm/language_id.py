@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 UNITS, WINDOW, CONTEXT, BATCH = 8, 112, 16, 2048
 #: Documents of a language that are learned from, and the pieces of each.
 MOST_ROWS, PIECES, PIECE = 400, 2, 120
-#: Training: windows of this many bytes, this many at once; rounds over all; step size.
-TRAIN_WINDOW, TRAIN_BATCH, EPOCHS, RATE = 64, 128, 6, 0.02
+#: Training: windows of this many bytes, this many at once; steps over all; step size.
+TRAIN_WINDOW, TRAIN_BATCH, STEPS, RATE = 64, 128, 320, 0.02
 #: Stands for what lies before and after a text.
 PAD = 256
 UNKNOWN = "und"
@@ -194,17 +194,17 @@ def fitted(texts: list[bytes], langs: list[str]) -> Model:
     row, starts, owners = windows([np.frombuffer(t, np.uint8) for t in texts], TRAIN_WINDOW)
     answers = np.array([languages.index(v) for v in langs])[owners]
     first, second, step = [np.zeros_like(p) for p in network.parameters], [np.zeros_like(p) for p in network.parameters], 0
-    n_steps = EPOCHS * -(-len(starts) // TRAIN_BATCH)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(starts))
-        for at in range(0, len(order), TRAIN_BATCH):
-            chosen = order[at : at + TRAIN_BATCH]
-            _, gradients = network.gradients(_columns(row, starts[chosen], TRAIN_WINDOW), answers[chosen])
-            rate, step = RATE * (1 - step / n_steps), step + 1
-            for p, m, v, g in zip(network.parameters, first, second, gradients):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    order = np.zeros(0, int)
+    while step < STEPS:
+        if not len(order):
+            order = rng.permutation(len(starts))
+        chosen, order = order[:TRAIN_BATCH], order[TRAIN_BATCH:]
+        _, gradients = network.gradients(_columns(row, starts[chosen], TRAIN_WINDOW), answers[chosen])
+        rate, step = RATE * (1 - step / STEPS), step + 1
+        for p, m, v, g in zip(network.parameters, first, second, gradients):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model(languages, network)
 
 
