@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,24 @@ Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 Path = tuple[bytes, ...]
 
 
-def words_of(text: bytes) -> list[bytes]:
+def word_array(text: bytes) -> pa.Array:
     """Lower-cased words in order, with ``BREAK`` between pieces."""
-    return text.translate(_FOLD).replace(BREAK, b" \xff ").split()
+    spaced = text.translate(_FOLD).replace(BREAK, b" \xff ")
+    words = pc.split_pattern(pa.array([spaced], pa.binary()), b" ").flatten()
+    return words.filter(pc.not_equal(words, b""))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return word_array(text).to_pylist()
+
+
+def ranked(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different words in byte order, and the place of each word among them."""
+    coded = words.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), place[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def portions(text: bytes, size: int = SHARD_BYTES) -> Iterator[bytes]:
@@ -71,17 +87,19 @@ def portions(text: bytes, size: int = SHARD_BYTES) -> Iterator[bytes]:
 class Trie:
     """Levels ``(parent, word, count)``, each sorted by path; words are places in the sorted ``vocabulary``."""
 
-    vocabulary: list[bytes]
+    vocabulary: pa.Array
     levels: list[Level]
 
     @classmethod
-    def of(cls, words: list[bytes], starts: int | None = None) -> Trie:
+    def of(cls, words: pa.Array | list[bytes], starts: int | None = None) -> Trie:
         """Counts of the phrases that start at the first ``starts`` words (all, if None)."""
-        vocabulary = sorted(set(words) - {BREAK})
-        place = {w: k + 1 for k, w in enumerate(vocabulary)} | {BREAK: 0}
-        ids = np.zeros(len(words) + DEPTH, np.int64)
-        ids[: len(words)] = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        at, node, levels = np.flatnonzero(ids[: len(words) if starts is None else starts]), np.int64(0), []
+        vocabulary, places = ranked(pa.array(words, pa.binary()) if isinstance(words, list) else words)
+        ids = np.zeros(len(places) + DEPTH, np.int64)  # words from 1, and 0 where a piece ends
+        ids[: len(places)] = places + 1
+        if len(vocabulary) and vocabulary[-1].as_py() == BREAK:  # it comes after all words
+            vocabulary = vocabulary.slice(0, len(vocabulary) - 1)
+            ids[ids == len(vocabulary) + 1] = 0
+        at, node, levels = np.flatnonzero(ids[: len(places) if starts is None else starts]), np.int64(0), []
         for k in range(DEPTH):
             keys, node, counts = np.unique(node * np.int64(len(vocabulary)) + ids[at + k] - 1, return_inverse=True, return_counts=True)
             levels.append((keys // max(1, len(vocabulary)), keys % max(1, len(vocabulary)), counts))
@@ -97,9 +115,9 @@ class Trie:
             here = low
             matched = matched and k < len(splitter)
             if matched:
-                w = bisect_left(self.vocabulary, splitter[k])
+                w = bisect_left(self.vocabulary, splitter[k], key=lambda v: v.as_py())
                 here = low + int(np.searchsorted(word[low:high], w))
-                matched = here < high and w < len(self.vocabulary) and self.vocabulary[w] == splitter[k] and int(word[here]) == w
+                matched = here < high and w < len(self.vocabulary) and self.vocabulary[w].as_py() == splitter[k] and int(word[here]) == w
             prefix = matched and k + 1 < len(splitter)
             found += prefix
             before.append(here + prefix)
@@ -120,36 +138,48 @@ class Trie:
                 yield k, self.packed(first, high, carried)
 
     def packed(self, low: list[int], high: list[int], carried: int) -> bytes:
-        """A part as bytes: numbers by planes (first all lowest bytes), parents as differences, then its words."""
+        """A part as bytes: sizes, then numbers by planes (parents as differences), then its words."""
         used = np.unique(np.concatenate([word[a:b] for (_, word, _), a, b in zip(self.levels, low, high)]))
-        out = [np.array([carried, *(b - a for a, b in zip(low, high))], "<u4").tobytes()]
+        words = self.vocabulary.take(pa.array(used))
+        ends = np.frombuffer(words.buffers()[1], np.int32, len(used) + 1)
+        out = [np.array([carried, len(used), *(b - a for a, b in zip(low, high))], "<u4").tobytes()]
         for k, (parent, word, count) in enumerate(self.levels):
             a, b = low[k], high[k]
             above = np.diff(parent[a:b] - (low[k - 1] if k else 0), prepend=0)
-            out += [np.asarray(v, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for v in (above, np.searchsorted(used, word[a:b]), count[a:b])]
-        return zlib.compress(b"".join(out) + b"\n".join(self.vocabulary[w] for w in used.tolist()), 1)
+            out += [_planes(v) for v in (above, np.searchsorted(used, word[a:b]), count[a:b])]
+        raw = b"".join([*out, _planes(np.diff(ends)), words.buffers()[2].to_pybytes()[: ends[-1]]])
+        return len(raw).to_bytes(4, "little") + CODEC.compress(raw, asbytes=True)
 
 
-def unpacked(part: bytes) -> tuple[list[bytes], list[Level], int]:
+CODEC = pa.Codec("zstd", 1)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, all their lowest bytes first."""
+    return np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(part: bytes) -> tuple[pa.Array, list[Level], int]:
     """``(words, levels, carried)`` of a packed part."""
-    raw = zlib.decompress(part)
-    carried, *sizes = np.frombuffer(raw, "<u4", DEPTH + 1).tolist()
-    at, levels = 4 * (DEPTH + 1), []
-    for n in sizes:
-        numbers = []
-        for _ in range(3):
-            numbers.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64))
-            at += 4 * n
-        levels.append((np.cumsum(numbers[0]), numbers[1], numbers[2]))
-    return raw[at:].split(b"\n"), levels, carried
+    raw = CODEC.decompress(part[4:], int.from_bytes(part[:4], "little"), asbytes=True)
+    carried, n_words, *sizes = np.frombuffer(raw, "<u4", DEPTH + 2).tolist()
+    at = 4 * (DEPTH + 2)
+
+    def taken(n: int) -> np.ndarray:
+        nonlocal at
+        at += 4 * n
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at - 4 * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+    levels = [(np.cumsum(taken(n)), taken(n), taken(n)) for n in sizes]
+    ends = np.concatenate([[0], np.cumsum(taken(n_words))]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(ends), pa.py_buffer(raw[at:])]), levels, carried
 
 
 def merged(parts: list[bytes], least: int) -> tuple[int, list[tuple[int, bytes, int, list[int]]]]:
     """The words counted in a range, and its phrases of ``least`` or more: ``(depth, phrase, count, counts of its beginnings)``."""
     runs = [unpacked(p) for p in parts]
-    vocabulary = sorted(set().union(*(words for words, _, _ in runs)))
-    place = {w: k for k, w in enumerate(vocabulary)}
-    to = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words, _, _ in runs]
+    vocabulary, places = ranked(pa.concat_arrays([words for words, _, _ in runs]))
+    to = np.split(places, np.cumsum([len(words) for words, _, _ in runs])[:-1])
     above: list[np.ndarray] = [np.zeros(1, np.int64) for _ in runs]
     total, out, paths = 0, [], [(b"", [])]
     for k in range(DEPTH):
@@ -171,9 +201,11 @@ def merged(parts: list[bytes], least: int) -> tuple[int, list[tuple[int, bytes,
         rank[order] = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1), np.diff(firsts, append=len(order)))
         above = np.split(rank, np.cumsum([len(levels[k][0]) for _, levels, _ in runs])[:-1])
         nodes = []
-        for key, n, ancestor in zip(keys[order][firsts][kept].tolist(), sums[kept].tolist(), is_carried[kept].tolist()):
-            begun, counted = paths[key // len(vocabulary)]
-            phrase = begun + b" " + vocabulary[key % len(vocabulary)] if k else vocabulary[key % len(vocabulary)]
+        found = keys[order][firsts][kept]
+        last = vocabulary.take(pa.array(found % len(vocabulary))).to_pylist()
+        for up, word, n, ancestor in zip((found // len(vocabulary)).tolist(), last, sums[kept].tolist(), is_carried[kept].tolist()):
+            begun, counted = paths[up]
+            phrase = begun + b" " + word if k else word
             nodes.append((phrase, [*counted, n]))
             if not ancestor:
                 out.append((k + 1, phrase, n, counted))
@@ -231,14 +263,14 @@ def frequent_phrases(docs: DataFrame, least: int, text: str = "text", lang: str
 
         def flush(name: str) -> Iterator[pa.RecordBatch]:
             held.pop(name)
-            before: list[bytes] = []
+            before = pa.array([], pa.binary())
             for part in portions(b" \xff ".join(waiting.pop(name)), shard_bytes):
-                words = words_of(part)
-                if before and len(words) >= DEPTH - 1:  # the words that begin this part end phrases of the one before
-                    yield rows(name, Trie.of(before + words[: DEPTH - 1], len(before)))
+                words = word_array(part)
+                if len(before) and len(words) >= DEPTH - 1:  # the words that begin this part end phrases of the one before
+                    yield rows(name, Trie.of(pa.concat_arrays([before, words.slice(0, DEPTH - 1)]), len(before)))
                     before = words
                 else:
-                    before += words
+                    before = pa.concat_arrays([before, words])
             yield rows(name, Trie.of(before))
 
         for batch in batches:

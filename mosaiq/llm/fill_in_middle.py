@@ -57,16 +57,17 @@ def units(text: Column, grammar: UnitGrammar) -> Column:
     return F.when(F.length(text) > 0, F.split(text, grammar.boundary(), -1)).otherwise(F.array().cast("array<string>"))
 
 
-def _draws(key: Column, seed: int) -> list[Column]:
-    """Four numbers of 32 bits from seed and key."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
-    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
+def _with_draws(docs: DataFrame, key: str, seed: int) -> DataFrame:
+    """The rows with four numbers of 32 bits, ``__h1`` to ``__h4``, from seed and key."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), 256)
+    number = lambda k: F.conv(F.substring("__digest", 8 * k + 1, 8), 16, 10).cast("long")
+    return docs.withColumn("__digest", digest).withColumns({f"__h{k + 1}": number(k) for k in range(4)})
 
 
 def transformed(docs: DataFrame, grammar: UnitGrammar, key: str = "doc_id", text: str = "text", seed: int = 1) -> DataFrame:
     """The rows with ``n_units``, ``form`` (plain, psm, spm), ``prefix``, ``middle``, ``suffix`` (null if plain) and ``output``."""
-    h1, h2, h3, h4 = _draws(F.col(key), seed)
-    whole = F.coalesce(F.col(text), F.lit(""))
+    h1, h2, h3, h4 = (F.col(f"__h{k}") for k in range(1, 5))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     marked = F.contains(whole, F.lit(PREFIX)) | F.contains(whole, F.lit(SUFFIX)) | F.contains(whole, F.lit(MIDDLE))
     form = F.when((whole == "") | marked | (h3 % 100 >= TRANSFORMED), "plain").when(h4 % 100 < SUFFIX_FIRST, "spm").otherwise("psm")
 
@@ -75,9 +76,9 @@ def transformed(docs: DataFrame, grammar: UnitGrammar, key: str = "doc_id", text
         one, other = (h1 % (n + 1)).cast("int"), (h2 % (n + 1)).cast("int")
         a, b = F.least(one, other), F.greatest(one, other)
         span = lambda start, end: F.array_join(F.slice(pieces, start + 1, end - start), "")
-        return F.struct(n.cast("long").alias("n_units"), *[F.when(form != "plain", span(*at)).alias(name) for name, at in (("prefix", (F.lit(0), a)), ("middle", (a, b)), ("suffix", (b, n)))])
+        return F.struct(n.cast("long").alias("n_units"), *[F.when(F.col("__form") != "plain", span(*at)).alias(name) for name, at in (("prefix", (F.lit(0), a)), ("middle", (a, b)), ("suffix", (b, n)))])
 
-    cut = docs.withColumn("__cut", bind(units(whole, grammar), parts)).withColumn("__form", form)
+    cut = _with_draws(docs, key, seed).withColumn("__form", form).withColumn("__cut", bind(units(whole, grammar), parts))
     p, m, s = (F.col("__cut")[name] for name in ("prefix", "middle", "suffix"))
     psm, spm = F.concat(F.lit(PREFIX), p, F.lit(SUFFIX), s, F.lit(MIDDLE), m), F.concat(F.lit(SUFFIX), s, F.lit(PREFIX), p, F.lit(MIDDLE), m)
     output = F.when(F.col("__form") == "psm", psm).when(F.col("__form") == "spm", spm).otherwise(whole)
