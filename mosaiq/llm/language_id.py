@@ -14,7 +14,7 @@ hash of their id, ``PIECES`` pieces of ``PIECE`` characters each. Predictions ta
 Defined results: null text, and text without a letter, is ``und`` with score 0, and so is
 all text where nothing was learned. Rows without id, language or letters aren't learned
 from; of several rows with one id and language, the least text is. Rows of equal text get
-equal results; an empty table stays empty. Long texts are read whole, ``BATCH`` windows at a time.
+equal languages, and scores that differ by rounding at most (under 1e-5); an empty table stays empty. Long texts are read whole, ``BATCH`` windows at a time.
 Columns of the input stay, unless they have the name of a result, which takes their place.
 """
 

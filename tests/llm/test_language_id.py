@@ -87,7 +87,7 @@ def test_odd_rows(spark, model):
     assert found.columns == ["doc_id", "text", "lang_pred", "score"]
     got = found.collect()
     assert [(r.lang_pred, r.score) for r in got[:3]] == [("und", 0.0)] * 3
-    assert len({(r.lang_pred, r.score) for r in got[3:6]}) == 1 and got[6].lang_pred == "en" and got[7].lang_pred in model.languages
+    assert len({r.lang_pred for r in got[3:6]}) == 1 and max(r.score for r in got[3:6]) - min(r.score for r in got[3:6]) < 1e-5 and got[6].lang_pred == "en" and got[7].lang_pred in model.languages
     assert li.labelled(docs.limit(0), model).count() == 0
 
 
