@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions.spatial import box, merged_box
+from mosaiq.operators import components
 from mosaiq.operators.components import connected_components
 from mosaiq.operators.graph import NODE_COLUMNS, Graph
 from mosaiq.plans.lineage import Rounds
@@ -193,8 +194,22 @@ class Outcome:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcome:
-    """Rounds of merging, at most ``most_rounds``, until one merges nothing."""
+def merged_members(graph: Graph, log: DataFrame | None) -> Callable[[], DataFrame]:
+    """The membership after the merges ``log(lo, hi)`` of all rounds, found when it is first asked for."""
+
+    def members() -> DataFrame:
+        plain = graph.members.select("pix", "node")
+        if log is None:
+            return plain
+        # A survivor is the lower key, so the end of a chain of merges is the least node of its component.
+        ends = connected_components(log, "lo", "hi").select("node", F.col("component").alias("to"))
+        return plain.join(ends, "node", "left").select("pix", F.coalesce("to", "node").alias("node"))
+
+    return members
+
+
+def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int | None = None) -> Outcome:
+    """Rounds of merging, at most ``most_rounds`` (if given), until one merges nothing."""
     spark = graph.nodes.sparkSession
     cost, survivor = criterion.cost(*edge_columns()), criterion.update(*edge_columns())  # the same in every round
     tables, logs = Rounds(spark), Rounds(spark, keep=10**9)
@@ -205,7 +220,7 @@ def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcom
         seconds[phase] += perf_counter() - start
         return perf_counter()
 
-    for _ in range(most_rounds):
+    while most_rounds is None or done < most_rounds:
         start = perf_counter()
         edges = tables.cut(costed(edges, nodes, criterion, cost))[0]
         start = timed("costs", start)
@@ -219,15 +234,85 @@ def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int) -> Outcom
         nodes, edges = tables.cut(*contract(nodes, edges, pairs, criterion, survivor))
         timed("merging", start)
 
-    def members() -> DataFrame:
-        plain = graph.members.select("pix", "node")
-        if log is None:
-            return plain
-        # A survivor is the lower key, so the end of a chain of merges is the least node of its component.
-        ends = connected_components(log, "lo", "hi").select("node", F.col("component").alias("to"))
-        return plain.join(ends, "node", "left").select("pix", F.coalesce("to", "node").alias("node"))
+    return Outcome(Graph(nodes, edges.select("lo", "hi", "boundary"), merged_members(graph, log)), done, over, seconds)
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``rows`` with the columns of ``table(key, ...)``, left join; rows of ``hubs(node)``, which are few, stay where they are."""
+    if hubs is None:
+        return rows.join(table, key, "left")
+    few = F.broadcast(hubs.select(F.col("node").alias(key)))
+    of_hubs = F.broadcast(table.join(few, key, "left_semi"))
+    return rows.join(few, key, "left_semi").join(of_hubs, key, "left").unionByName(rows.join(few, key, "left_anti").join(table, key, "left"))
+
+
+def hubs_of(edges: DataFrame) -> DataFrame | None:
+    """Nodes with more than one in ``HUBS`` of all edge ends: ``HUBS`` at most, whatever the size; none in a small graph."""
+    n_edges = edges.count()
+    if n_edges <= components.PLENTY:
+        return None
+    ends = edges.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return ends.where(F.col("n") > 2 * n_edges / components.HUBS).select("node")
+
 
-    return Outcome(Graph(nodes, edges.select("lo", "hi", "boundary"), members), done, over, seconds)
+def absorption_links(nodes: DataFrame, edges: DataFrame, most_area: int, hubs: DataFrame | None = None) -> DataFrame:
+    """``(node, other)``: each region of at most ``most_area`` pixels, and its spectrally nearest neighbour, ties to the lower key."""
+    end = lambda name: nodes.select(F.col("node").alias(name), F.col("mean").alias(f"mean_{name}"), (F.col("area") <= most_area).alias(f"small_{name}"))
+    known = looked_up(looked_up(edges.select("lo", "hi"), "lo", end("lo"), hubs), "hi", end("hi"), hubs)
+    cost = spectral_distance({"mean": F.col("mean_lo")}, {"mean": F.col("mean_hi")})
+    way = lambda a, b: F.when(F.col(f"small_{a}"), F.struct(F.col(a).alias("node"), F.struct(cost.alias("cost"), F.col(b).alias("other")).alias("to")))
+    each = known.where("small_lo or small_hi").select(F.explode(F.filter(F.array(way("lo", "hi"), way("hi", "lo")), lambda w: w.isNotNull())).alias("w"))
+    return each.groupBy("w.node").agg(F.min("w.to").alias("to")).select("node", "to.other")
+
+
+def contract_groups(nodes: DataFrame, edges: DataFrame, groups: DataFrame, n_bands: int, hubs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after the nodes of each group ``(node, component)`` have become one, keyed by the component.
+
+    Attributes are pooled over any number of nodes by sums, so a group of any size is added up where its rows are.
+    """
+    to = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"{name}_to"))
+    moved = looked_up(looked_up(edges.select("lo", "hi", "boundary"), "lo", to("lo"), hubs), "hi", to("hi"), hubs)
+    a, b = F.coalesce("lo_to", "lo"), F.coalesce("hi_to", "hi")
+    summed = moved.groupBy(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.sum("boundary").alias("boundary"))
+    inner = summed.where("lo = hi").select(F.col("lo").alias("component"), F.col("boundary").alias("inside"))
+    area = F.col("area").cast("double")
+    band = lambda c, k: F.col(c)[k]
+    sums = [F.sum(area * band("mean", k)).alias(f"m{k}") for k in range(n_bands)]
+    squares = [F.sum(area * (band("std", k) * band("std", k) + band("mean", k) * band("mean", k))).alias(f"q{k}") for k in range(n_bands)]
+    box_of = [F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1")]
+    pooled_rows = nodes.join(groups, "node").groupBy("component").agg(*box_of, F.sum("area").alias("area"), F.sum("perimeter").alias("around"), *sums, *squares).join(inner, "component", "left")
+    mean = lambda k: F.col(f"m{k}") / F.col("area")
+    std = lambda k: F.sqrt(F.greatest(F.col(f"q{k}") / F.col("area") - mean(k) * mean(k), F.lit(0.0)))
+    made = {
+        "node": F.col("component"), "x": F.col("x"), "y": F.col("y"), "w": F.col("x1") - F.col("x"), "h": F.col("y1") - F.col("y"), "area": F.col("area"),
+        "perimeter": F.col("around") - 2 * F.coalesce("inside", F.lit(0)), "mean": F.array(*[mean(k) for k in range(n_bands)]), "std": F.array(*[std(k) for k in range(n_bands)]),
+    }
+    merged = pooled_rows.select(*[made[c].cast(nodes.schema[c].dataType).alias(c) for c in NODE_COLUMNS])
+    kept = nodes.join(groups, "node", "left_anti").select(*NODE_COLUMNS)
+    return kept.unionByName(merged), summed.where("lo != hi").select("lo", "hi", "boundary")
+
+
+def absorb(graph: Graph, most_area: int, most_rounds: int | None = None) -> Outcome:
+    """All regions of at most ``most_area`` pixels join their nearest neighbours at once, round by round, until none is left with a neighbour.
+
+    Every small region points to its nearest neighbour. Pointers lead to ever nearer pairs, so they end
+    in a large region or in two small ones that point at each other; regions that hang together become one,
+    however many they are. A round at least halves the small regions that can merge.
+    """
+    tables, logs = Rounds(graph.nodes.sparkSession), Rounds(graph.nodes.sparkSession, keep=10**9)
+    nodes, edges = tables.cut(graph.nodes.select(*NODE_COLUMNS), graph.edges.select("lo", "hi", "boundary"))
+    first = nodes.select(F.size("mean").alias("n")).first()
+    log, done, over = None, 0, False
+    while most_rounds is None or done < most_rounds:
+        hubs = hubs_of(edges)
+        links = logs.cut(absorption_links(nodes, edges, most_area, hubs).select(F.col("node").alias("lo"), F.col("other").alias("hi")))[0]
+        done, over = done + 1, links.isEmpty()
+        if over:
+            break
+        log = links if log is None else log.unionByName(links)
+        groups = logs.cut(connected_components(links, "lo", "hi"))[0]
+        nodes, edges = tables.cut(*contract_groups(nodes, edges, groups, first["n"], hubs))
+    return Outcome(Graph(nodes, edges, merged_members(graph, log)), done, over)
 
 
 def has_no_small_regions(graph: Graph, most_area: int) -> bool:

@@ -1,6 +1,6 @@
 """Graphs cut into tiles, margins around them, and their stitching.
 
-A tile's graph is a graph whose keys carry the tile: ``tile_id * SPAN + node``. One
+A tile's graph is a graph whose keys carry the tile: structs ``(tile_id, node)``. One
 DataFrame then holds the graphs of all tiles, and every operator of this package works
 on it as it is, tile by tile, without tasks that hold a tile each.
 
@@ -21,10 +21,6 @@ from mosaiq.operators.merge import MergeCriterion, iterate
 from mosaiq.plans.lineage import Rounds
 from mosaiq.plans.tile_plan import merging_margin
 
-#: Keys of one tile; pixel numbers must be below.
-SPAN = 1 << 44
-
-
 @dataclass(frozen=True)
 class Layout:
     """An image and its grid of tiles."""
@@ -77,18 +73,18 @@ def border_nodes(graph: Graph, layout: Layout) -> DataFrame:
 
 def unstable_nodes(tiled: Graph, layout: Layout) -> DataFrame:
     """Keys of a tiled graph's nodes that have no pixel in their own tile: the box decides first, then the pixels."""
-    tile = F.floor(F.col("node") / SPAN)
+    tile = F.col("node.tile_id")
     frame = layout.frame(tile)
     outside = box_outside(box(F.col("x"), F.col("y"), F.col("w"), F.col("h")), frame["x0"], frame["y0"], frame["x0"] + frame["w"] - 1, frame["y0"] + frame["h"] - 1)
     suspects = tiled.nodes.where(outside).select("node")
-    pix = F.col("pix") % SPAN
-    within = tiled.members.where(in_tile(x_of(pix, layout.width), y_of(pix, layout.width), layout.frame(F.floor(F.col("pix") / SPAN)))).select("node").distinct()
+    pix = F.col("pix.node")
+    within = tiled.members.where(in_tile(x_of(pix, layout.width), y_of(pix, layout.width), layout.frame(F.col("pix.tile_id")))).select("node").distinct()
     return suspects.union(tiled.nodes.where(~outside).select("node").join(within, "node", "left_anti")).distinct()
 
 
 def _keyed(graph: Graph, tiles_of_node: DataFrame) -> Graph:
     """The graph of every tile in one: each tile's nodes, the edges inside it, and its members, keyed by tile."""
-    key = lambda c: (F.col("tile_id").cast("long") * SPAN + F.col(c)).alias(c)
+    key = lambda c: F.struct("tile_id", F.col(c).alias("node")).alias(c)
     nodes = graph.nodes.join(tiles_of_node, "node").select(key("node"), *NODE_COLUMNS[1:])
     lo, hi = tiles_of_node.select("tile_id", F.col("node").alias("lo")), tiles_of_node.select(F.col("tile_id").alias("t2"), F.col("node").alias("hi"))
     edges = graph.edges.join(lo, "lo").join(hi.withColumnRenamed("t2", "tile_id"), ["tile_id", "hi"]).select(key("lo"), key("hi"), "boundary")
@@ -109,7 +105,7 @@ def split_graph(graph: Graph, layout: Layout) -> Graph:
 
 def unkeyed(tiled: Graph) -> Graph:
     """The tiled graph with keys of the image again; nodes that several tiles hold are there several times."""
-    plain = lambda c: (F.col(c) % SPAN).alias(c)
+    plain = lambda c: F.col(f"{c}.node").alias(c)
     return Graph(tiled.nodes.select(plain("node"), *NODE_COLUMNS[1:]), tiled.edges.select(plain("lo"), plain("hi"), "boundary"), tiled.members.select(plain("pix"), plain("node")))
 
 
@@ -186,8 +182,8 @@ def small_region_margin(graph: Graph, layout: Layout, most_area: int) -> DataFra
 
 def tile_sums(tiled: Graph) -> DataFrame:
     """``(tile_id, n_nodes, n_edges)``: what each tile holds."""
-    nodes = tiled.nodes.groupBy(F.floor(F.col("node") / SPAN).cast("int").alias("tile_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
-    edges = tiled.edges.groupBy(F.floor(F.col("lo") / SPAN).cast("int").alias("tile_id")).agg(F.count(F.lit(1)).alias("n_edges"))
+    nodes = tiled.nodes.groupBy(F.col("node.tile_id").alias("tile_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    edges = tiled.edges.groupBy(F.col("lo.tile_id").alias("tile_id")).agg(F.count(F.lit(1)).alias("n_edges"))
     return nodes.join(edges, "tile_id", "left").select("tile_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
@@ -225,7 +221,7 @@ def next_partial(tiled: Tiled, layout: Layout, criterion: MergeCriterion, rounds
 def partial_segmentation(pixels: DataFrame, layout: Layout, criterion: MergeCriterion, first: int, then: int, most: int, least_decrease: float = 0.0) -> Tiled:
     """Batches of rounds until ``most`` of them, until nothing merges, or until the nodes fall by less than ``least_decrease`` percent."""
     state = first_partial(pixels, layout, criterion, min(first, most))
-    count = lambda s: s.graph.nodes.select(F.col("node") % SPAN).distinct().count()
+    count = lambda s: s.graph.nodes.select("node.node").distinct().count()
     before = count(state) if least_decrease else 0
     while not state.over and state.rounds < most:
         state = next_partial(state, layout, criterion, min(then, most - state.rounds))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mosaiq.functions.spatial import neighbours, x_of, y_of
+from mosaiq.operators.crossings import crossing_pairs, jumped, reordered_ends, segments
 from mosaiq.operators.graph import Graph, both_ways
-from mosaiq.plans.lineage import materialize
+from mosaiq.plans.lineage import Rounds, materialize
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -124,21 +125,53 @@ def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def simplify_lines(line: Column, tolerance: float = 1.0, simplifier: Callable[[np.ndarray, float], np.ndarray] = douglas_peucker) -> Column:
-    """Lines with fewer points; loops keep at least a triangle. Any function of points and tolerance may be given."""
+Simplifier = Callable[[np.ndarray, float], np.ndarray]
+
+
+def simplify_lines(line: Column, tolerance: Column | float = 1.0, simplifier: Simplifier = douglas_peucker) -> Column:
+    """Lines with fewer points, each by its own tolerance (0: as it is); loops keep at least a triangle.
+
+    Any function of points and tolerance may be given that keeps both ends.
+    """
 
     @F.pandas_udf(LINE)
-    def simplified(lines: pd.Series) -> pd.Series:
+    def simplified(lines: pd.Series, tolerances: pd.Series) -> pd.Series:
         out = []
-        for line in lines:
+        for line, most in zip(lines, tolerances):
             points = np.array([(p["x"], p["y"]) for p in line])
-            fewer = simplifier(points, tolerance) if len(points) > 2 else points
+            fewer = simplifier(points, most) if len(points) > 2 and most > 0 else points
             if (points[0] == points[-1]).all() and len(fewer) < 4:
                 fewer = points
             out.append([{"x": float(x), "y": float(y)} for x, y in fewer])
         return pd.Series(out)
 
-    return simplified(line)
+    return simplified(line, F.lit(float(tolerance)) if isinstance(tolerance, (int, float)) else tolerance)
+
+
+#: A tolerance below this keeps a line as it is.
+LEAST_TOLERANCE = 0.25
+
+
+def plane_lines(lines: DataFrame, tolerance: float, simplifier: Simplifier = douglas_peucker) -> DataFrame:
+    """``lines(lo, hi, line, fixed)`` simplified as far as they stay a plane graph: no two cross, touch, change places or jump over another.
+
+    All lines that aren't fixed start with the tolerance; those in a conflict get half of it, round by round,
+    down to their full form. Full lines never conflict with each other, so each round refines a line, and the
+    rounds end. Only lines that changed in the round before are tested again.
+    """
+    rounds = Rounds(lines.sparkSession)
+    start = lines.select(F.monotonically_increasing_id().alias("id"), "lo", "hi", F.col("line").alias("full"), F.when(F.col("fixed"), 0.0).otherwise(float(tolerance)).alias("tolerance"))
+    state = rounds.cut(rounds.cut(start)[0].withColumn("line", simplify_lines(F.col("full"), F.col("tolerance"), simplifier)).withColumn("fresh", F.col("tolerance") > 0))[0]
+    while True:
+        fresh = state.where("fresh")
+        pairs = crossing_pairs(segments(fresh, ["id"]), segments(state, ["id"])).select(F.explode(F.array("a", "b")).alias("id"))
+        found = pairs.union(reordered_ends(state)).union(jumped(fresh, state, tolerance)).distinct()
+        marked = rounds.cut(state.where("tolerance > 0").select("id").join(found, "id", "left_semi"))[0]
+        if marked.isEmpty():
+            return state.select("lo", "hi", "line")
+        half = F.when(F.col("tolerance") / 2 < LEAST_TOLERANCE, 0.0).otherwise(F.col("tolerance") / 2)
+        finer = state.join(marked, "id", "left_semi").withColumn("tolerance", half).withColumn("line", simplify_lines(F.col("full"), F.col("tolerance"), simplifier)).withColumn("fresh", F.lit(True))
+        state = rounds.cut(state.join(marked, "id", "left_anti").withColumn("fresh", F.lit(False)).unionByName(finer))[0]
 
 
 def is_parallelogram(ring: Column) -> Column:
@@ -153,8 +186,12 @@ def is_axis_parallel(line: Column) -> Column:
     return (F.size(line) == 2) & ((line[0]["x"] == line[1]["x"]) | (line[0]["y"] == line[1]["y"]))
 
 
-def chain_rings(lines: list[np.ndarray]) -> list[np.ndarray]:
-    """Lines put end to end as closed rings; where several go on, the one farthest to the left does."""
+def chain_rings(lines: list[np.ndarray], rightmost: bool = False) -> list[np.ndarray]:
+    """Lines put end to end as closed rings; where several go on, the one farthest to the left does (or to the right).
+
+    Where a region touches itself at a corner, going left makes what lies behind the corner a ring of its own;
+    going right keeps to the pixel, so it stays part of the same ring, which then meets itself there.
+    """
     starts: dict[tuple, list[int]] = {}
     for k, line in enumerate(lines):
         starts.setdefault(tuple(line[0]), []).append(k)
@@ -174,7 +211,7 @@ def chain_rings(lines: list[np.ndarray]) -> list[np.ndarray]:
                 out = lines[j][1] - lines[j][0]
                 return float(np.arctan2(into[0] * out[1] - into[1] * out[0], into @ out))
 
-            at = min(ends, key=turn)  # y downwards: the smallest angle is the leftmost turn
+            at = (max if rightmost else min)(ends, key=turn)  # y downwards: the smallest angle is the leftmost turn
             used[at] = True
             ring.append(lines[at])
         rings.append(np.concatenate([r[:-1] for r in ring] + [ring[0][:1]]))
@@ -200,7 +237,7 @@ def is_simple(ring: np.ndarray) -> bool:
 
 
 def polygons(lines: DataFrame) -> DataFrame:
-    """``(node, rings, valid)`` from arcs: outer ring first. Each arc serves both its regions, turned round for the lower one."""
+    """``(node, rings, valid)`` from the lines of a plane graph: outer ring first. Each line serves both its regions, turned round for the lower one."""
     hi = lines.where("hi >= 0").select(F.col("hi").alias("node"), "line")
     lo = lines.where("lo >= 0").select(F.col("lo").alias("node"), F.reverse("line").alias("line"))
 
@@ -208,38 +245,39 @@ def polygons(lines: DataFrame) -> DataFrame:
         rings = chain_rings([np.array([(p["x"], p["y"]) for p in line["line"]]) for line in lines])
         rings.sort(key=lambda r: -ring_area(r))
         closed = all((r[0] == r[-1]).all() for r in rings)
-        valid = closed and ring_area(rings[0]) > 0 and is_simple(rings[0])
+        areas = [ring_area(r) for r in rings]
+        valid = closed and areas[0] > 0 and all(a < 0 for a in areas[1:])  # one outer ring; all others are holes
         return [(node, [points_of(r) for r in rings], bool(valid))]
 
     # In a struct, lines of different lengths stay apart.
     return per_group(hi.unionByName(lo).withColumn("line", F.struct("line")), ["node"], ["line"], build, f"node long, rings array<{LINE}>, valid boolean")
 
 
-def polygonize(graph: Graph, width: int, height: int, tolerance: float | None = 1.0) -> DataFrame:
+def simplified_arcs(graph: Graph, full: DataFrame, tolerance: float, simplifier: Simplifier = douglas_peucker) -> DataFrame:
+    """``(lo, hi, line)``: a graph's arcs, simplified; those against no region and those of rectangular regions stay."""
+    rectangles = graph.nodes.where(F.col("area") == F.col("w") * F.col("h"))
+    of = lambda end: rectangles.select(F.col("node").alias(end), F.lit(True).alias(f"is_{end}"))
+    fixed = F.coalesce("is_lo", "is_hi", F.lit(False)) | (F.col("lo") < 0)
+    return plane_lines(full.join(of("lo"), "lo", "left").join(of("hi"), "hi", "left").select("lo", "hi", "line", fixed.alias("fixed")), tolerance, simplifier)
+
+
+def polygonize(graph: Graph, width: int, height: int, tolerance: float | None = 1.0, simplifier: Simplifier = douglas_peucker) -> DataFrame:
     """``(node, rings, valid)`` of every region; a tolerance simplifies the arcs between two regions.
 
-    Arcs of rectangular regions stay as they are. Where a simplified outer ring crosses
-    itself, all arcs of that region fall back to their full lines, for its neighbours too.
+    Neighbours share their arcs, and simplified arcs stay a plane graph, so polygons neither overlap nor leave gaps.
     """
     full = materialize(arcs(unit_sides(graph.members, width, height)))
-    if tolerance is None:
-        return polygons(full)
-    rectangles = materialize(graph.nodes.where(F.col("area") == F.col("w") * F.col("h")).select("node"))
-    fixed = lambda frame, nodes: frame.join(nodes.select(F.col("node").alias("lo"), F.lit(True).alias("fl")), "lo", "left").join(nodes.select(F.col("node").alias("hi"), F.lit(True).alias("fh")), "hi", "left").withColumn("fixed", F.coalesce("fl", "fh", F.lit(False)) | (F.col("lo") < 0)).drop("fl", "fh")
-    first = materialize(fixed(full, rectangles).withColumn("short", simplify_lines(F.col("line"), tolerance)))
-    made = materialize(polygons(first.select("lo", "hi", F.when(F.col("fixed"), F.col("line")).otherwise(F.col("short")).alias("line"))))
-    broken = made.where("not valid").select("node")
-    if broken.isEmpty():
-        return made
-    second = fixed(first.withColumnRenamed("fixed", "kept"), broken)
-    return polygons(second.select("lo", "hi", F.when(F.col("fixed") | F.col("kept"), F.col("line")).otherwise(F.col("short")).alias("line")))
+    return polygons(full if tolerance is None else simplified_arcs(graph, full, tolerance, simplifier))
 
 
 def contours(members: DataFrame, width: int, height: int) -> DataFrame:
-    """``(node, start, moves)``: the outer border as steps from the first pixel's upper left corner (0 up, 1 right, 2 down, 3 left)."""
+    """``(node, start, moves)``: the outer border as steps from the first pixel's upper left corner (0 up, 1 right, 2 down, 3 left).
+
+    It keeps to its pixels where a region touches itself at a corner, so it takes in true holes and nothing else.
+    """
 
     def walk(node, x0, y0, x1, y1) -> list[tuple]:
-        rings = chain_rings(list(np.stack([np.c_[x0, y0], np.c_[x1, y1]], axis=1)))
+        rings = chain_rings(list(np.stack([np.c_[x0, y0], np.c_[x1, y1]], axis=1)), rightmost=True)
         ring = max(rings, key=ring_area)
         dx, dy = np.diff(ring, axis=0).astype(int).T
         return [(node, node, np.select([dy < 0, dx > 0, dy > 0], [0, 1, 2], 3).tolist())]

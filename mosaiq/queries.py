@@ -349,7 +349,7 @@ def srm_pairs_round1(spark, sf_dir):
 @query()
 def srm_converged(spark, sf_dir):
     start, _, _ = region_graph_e(spark, sf_dir)
-    return flat_nodes(_settled(merge.iterate(start, merge.small_regions(3), 100)), 6)
+    return flat_nodes(_settled(merge.iterate(start, merge.small_regions(3))), 6)
 
 
 # Components and regions.
@@ -471,7 +471,7 @@ def unstable_nodes(spark, sf_dir):
     whole, pixels, layout = region_graph_e(spark, sf_dir)
     near = tiling.tile_pixels(pixels, layout, 2).join(whole.members, "pix").select("tile_id", "node").distinct()
     found = tiling.unstable_nodes(tiling._keyed(whole, near), layout)
-    return found.select(F.floor(F.col("node") / tiling.SPAN).cast("int").alias("tile_id"), (F.col("node") % tiling.SPAN).alias("node"))
+    return found.select("node.tile_id", "node.node")
 
 
 @query(f"{REGIONS}, {DIM}, {BORDER} SELECT tile_id, node FROM border")
@@ -512,19 +512,6 @@ def tile_sums(spark, sf_dir):
     return tiling.tile_sums(tiling.split_graph(whole, layout)).select("tile_id", "n_nodes")
 
 
-@query("SELECT * FROM (VALUES (2000, 1000, 10), (5000, 1667, 8), (5000, 1667, 0)) AS t(tile_width, tile_height, rounds)")
-def tile_plans(spark, sf_dir):
-    # Three cases with known answers.
-    cases = [(3, 2000, 2000, 2, 1, 20000, 20), (13, 20000, 40000, 24, 4, 100000, 8), (13, 20000, 40000, 24, 4, 1000, 8)]
-    plans = [tile_plan.plan_tiles(*c) for c in cases]
-    return spark.createDataFrame([(p.tile_width, p.tile_height, p.rounds) for p in plans], "tile_width int, tile_height int, rounds int")
-
-
-@query("SELECT CAST(n AS INTEGER) AS rounds, CAST(2 ** (n + 1) - 2 AS BIGINT) AS margin, round((1000 + 2 * (2 ** (n + 1) - 2)) ** 2 * (1.1 * (4 + 305 + 8 * 4 + 0.3 * 4 * 16 + 24) + 48) / 1000000, 6) AS required_mb FROM (SELECT unnest(range(1, 9)) AS n)")
-def memory_by_rounds(spark, sf_dir):
-    return tile_plan.memory_table(spark, 4, 1000, 1000, 2000, 8).select("rounds", "margin", F.round("required_mb", 6).alias("required_mb"))
-
-
 # Zones and polygons.
 
 
@@ -583,13 +570,6 @@ def adjacent_features(spark, sf_dir):
     return near.join(table.select("start", "label"), "start").select("label", "start", "other", "other_label")
 
 
-@query()
-def simplified_polygons(spark, sf_dir):
-    whole, _, layout = region_graph_e(spark, sf_dir)
-    made = vector.polygonize(whole, 100, layout.height, 1.0)
-    return made.select("node", F.size("rings").alias("n_rings"), F.size(F.flatten("rings")).alias("n_points"), "valid")
-
-
 _SOLID_SQL = """blocks AS (SELECT a.node, count(*) AS n FROM comp a JOIN px p ON p.pix = a.pix AND p.x < 99 JOIN comp b ON b.pix = a.pix + 1 AND b.node = a.node JOIN comp c ON c.pix = a.pix + 100 AND c.node = a.node JOIN comp d ON d.pix = a.pix + 101 AND d.node = a.node GROUP BY a.node)"""
 
 

@@ -122,7 +122,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def members_of_contours(rows: DataFrame, width: int) -> DataFrame:
-    """``(pix, node)``: all pixels within each contour, by crossings of its pixel rows (holes count as inside)."""
+    """``(pix, node)``: all pixels within each contour, by crossings of its pixel rows; see ``innermost`` for holes."""
 
     def inside(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -140,12 +140,21 @@ def members_of_contours(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("node", "moves").mapInPandas(inside, "pix long, node long")
 
 
+def innermost(inside: DataFrame) -> DataFrame:
+    """``(pix, node)``: each pixel once, with the region that it belongs to.
+
+    A contour takes in the regions in its holes. Contours are nested or apart, and a region starts after those
+    around it in scan order, so the last one to start that holds a pixel is its own.
+    """
+    return inside.groupBy("pix").agg(F.max("node").alias("node"))
+
+
 def read_graph(spark: SparkSession, path: str, width: int) -> Graph:
     """The graph of a file, or of all files of a folder, checked for repeated nodes and dangling edges."""
     rows = read_files(spark, path)
     once = rows.dropDuplicates(["node"])
     each = once.select("node", F.explode("edges").alias("e")).select(F.least("node", "e.dst").alias("lo"), F.greatest("node", "e.dst").alias("hi"), "e.boundary")
-    graph = Graph(once.select("node", "x", "y", "w", "h", "area", "perimeter", "mean", "std"), each.groupBy("lo", "hi").agg(F.max("boundary").alias("boundary")), members_of_contours(once, width))
+    graph = Graph(once.select("node", "x", "y", "w", "h", "area", "perimeter", "mean", "std"), each.groupBy("lo", "hi").agg(F.max("boundary").alias("boundary")), innermost(members_of_contours(once, width)))
     repeated = rows.groupBy("file", "node").count().where("count > 1")
     dangling = graph.edges.select(F.explode(F.array("lo", "hi")).alias("node")).join(graph.nodes, "node", "left_anti")
     if not repeated.isEmpty():

@@ -63,8 +63,10 @@ def test_features_attributes_and_gml(spark, tmp_path):
     rows = {r.start: r for r in api.compute_attributes(table, pixels).collect()}
     assert (rows[0].Mean, rows[6].Mean, rows[12].BorderMean, rows[6].adj, rows[0].label) == (0.0, 1.0, 2.0, [0, 12], 1)
     features.write_gml(table, str(tmp_path / "gml"), "patch")
-    text = [r.value for r in spark.read.text(str(tmp_path / "gml")).collect()]
-    assert len(text) == 3 and sum("innerBoundaryIs" in t for t in text) == 2 and all("<ogr:start>" in t for t in text)
+    back = {r.start: r for r in features.read_gml(spark, str(tmp_path / "gml"), "patch").collect()}
+    known = {r.start: r for r in table.collect()}
+    assert {k: r.rings for k, r in back.items()} == {k: r.rings for k, r in known.items()} and {k: len(r.rings) for k, r in back.items()} == {0: 2, 6: 2, 12: 1}
+    assert {k: (r.label, str(r.adj).split(",")) for k, r in back.items()} == {k: (r.label, [str(v) for v in r.adj]) for k, r in known.items()}
     features.write_layer(table, str(tmp_path / "f"), "cleaned")
     features.write_layer(table.limit(1), str(tmp_path / "f"), "nodata")
     assert features.read_layer(spark, str(tmp_path / "f"), "cleaned").count() == 3
@@ -76,21 +78,32 @@ def test_user_aggregates(spark):
     assert {r.node: r.Largest for r in zonal.zonal(g.members, pixels, [largest], width, height).collect()} == {0: 0.0, 6: 1.0, 12: 2.0}
 
 
-def test_graph_files_round_trip(spark, tmp_path):
-    _, g, width, height = regions(spark, ["aabb", "acbb", "ccdd"])
+@pytest.mark.parametrize("rows", [["aabb", "acbb", "ccdd"], HOLE, PINCH, ["aaab", "abaa", "aaba", "caaa"], ["aaaaaaa", "abbbbba", "abcccba", "abcdcba", "abcccba", "abbbbba", "aaaaaaa"]])
+def test_graph_files_round_trip(spark, tmp_path, rows):
+    _, g, width, height = regions(spark, rows)
     rows = dat.graph_rows(g, width, height).withColumn("tile", F.lit("0_0"))
     dat.write_files(dat.encoded_files(rows, "tile"), str(tmp_path), "tile")
     back = dat.read_graph(spark, str(tmp_path), width)
     assert sorted(map(tuple, back.members.collect())) == sorted(map(tuple, g.members.collect()))
     assert sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, g.edges.collect()))
     assert {(r.node, r.area, r.perimeter, r.x, r.w) for r in back.nodes.collect()} == {(r.node, r.area, r.perimeter, r.x, r.w) for r in g.nodes.collect()}
-    meta = raster.Meta(4, 3, 1, 4409712.25, -1.5, 'PROJCS["x"]')
+    meta = raster.Meta(width, height, 1, 4409712.25, -1.5, 'PROJCS["x"]')
     dat.write_header(str(tmp_path / "g.dat.hdr"), "image.tif", meta)
     assert dat.read_header(spark, str(tmp_path / "g.dat.hdr")) == ("image.tif", meta)
     dat.write_tables(g, str(tmp_path / "tables"))
     assert dat.read_tables(spark, str(tmp_path / "tables")).edges.count() == g.edges.count()
 
 
+def test_contours_take_in_holes_and_nothing_behind_corners(spark):
+    _, g, width, height = regions(spark, ["aaa", "aba", "aab"])
+    moves = {r.node: r.moves for r in vector.contours(g.members, width, height).collect()}
+    inside = dat.members_of_contours(spark.createDataFrame(list(moves.items()), "node long, moves array<int>"), width)
+    assert {r.node: r.n for r in inside.groupBy("node").agg(F.count("pix").alias("n")).collect()} == {0: 7, 4: 1, 8: 1}
+    _, ring, width, height = regions(spark, HOLE)
+    filled = dat.members_of_contours(vector.contours(ring.members, width, height), width)
+    assert {r.node: r["count"] for r in filled.groupBy("node").count().collect()} == {0: 25, 6: 9, 12: 1}
+
+
 def test_one_pixel_walks_right_down_left_up(spark):
     _, g, width, height = regions(spark, ["ab", "ba"])
     assert {tuple(r.moves) for r in vector.contours(g.members, width, height).collect()} == {(1, 2, 3, 0)}
