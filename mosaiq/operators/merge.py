@@ -116,6 +116,22 @@ class MergeCriterion:
     cost: Callable[[Side, Side, Column], Column]
     choose: Callable[[DataFrame, DataFrame], DataFrame]
     update: Callable[[Side, Side, Column], Side] = pooled
+    #: Columns that nodes have besides the common ones, and what the survivor's become: ``merge(a, b, boundary)``.
+    own: dict[str, Callable[[Side, Side, Column], Column]] = field(default_factory=dict)
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (*NODE_COLUMNS, *self.own)
+
+    def ends(self) -> tuple[Side, Side, Column]:
+        """What the functions take: both ends of an edge, own columns too, and its boundary."""
+        return side("a", self.columns), side("b", self.columns), F.col("boundary")
+
+    def priced(self) -> Column:
+        return self.cost(*self.ends())
+
+    def survivor(self) -> Side:
+        return self.update(*self.ends()) | {name: merge(*self.ends()) for name, merge in self.own.items()}
 
 
 def best_neighbours(edges: DataFrame) -> DataFrame:
@@ -164,16 +180,16 @@ def small_regions(most_area: int) -> MergeCriterion:
 def costed(edges: DataFrame, nodes: DataFrame, criterion: MergeCriterion, cost: Column | None = None) -> DataFrame:
     """Edges with ``cost``; those that have one keep it. Callers with many rounds pass the criterion's column, built once."""
     ends = with_ends(edges if "cost" not in edges.columns else edges.where("cost is null").drop("cost"), nodes)
-    fresh = ends.select("lo", "hi", "boundary", (criterion.cost(*edge_columns()) if cost is None else cost).alias("cost"))
+    fresh = ends.select("lo", "hi", "boundary", (criterion.priced() if cost is None else cost).alias("cost"))
     return fresh if "cost" not in edges.columns else edges.where("cost is not null").unionByName(fresh)
 
 
 def contract(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, criterion: MergeCriterion, survivor: Side | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after the pairs ``(lo, hi, boundary)`` have merged; edges of merged nodes lose their cost."""
-    survivor = criterion.update(*edge_columns()) if survivor is None else survivor
-    merged = with_ends(pairs, nodes).select(*[survivor[c].cast(nodes.schema[c].dataType).alias(c) for c in NODE_COLUMNS])
+    survivor, columns = criterion.survivor() if survivor is None else survivor, criterion.columns
+    merged = with_ends(pairs, nodes).select(*[survivor[c].cast(nodes.schema[c].dataType).alias(c) for c in columns])
     gone = pairs.select(F.explode(F.array("lo", "hi")).alias("node"))
-    kept = nodes.select(*NODE_COLUMNS).join(gone, "node", "left_anti").select(*NODE_COLUMNS)
+    kept = nodes.select(*columns).join(gone, "node", "left_anti").select(*columns)
     moved = pairs.select(F.explode(F.array("lo", "hi")).alias("old"), F.col("lo").alias("new"))
     at = lambda end: moved.select(F.col("old").alias(end), F.col("new").alias(f"new_{end}"))
     both = edges.join(at("lo"), "lo", "left").join(at("hi"), "hi", "left")
@@ -211,10 +227,10 @@ def merged_members(graph: Graph, log: DataFrame | None) -> Callable[[], DataFram
 def iterate(graph: Graph, criterion: MergeCriterion, most_rounds: int | None = None) -> Outcome:
     """Rounds of merging, at most ``most_rounds`` (if given), until one merges nothing."""
     spark = graph.nodes.sparkSession
-    cost, survivor = criterion.cost(*edge_columns()), criterion.update(*edge_columns())  # the same in every round
+    cost, survivor = criterion.priced(), criterion.survivor()  # the same in every round
     tables, logs = Rounds(spark), Rounds(spark, keep=10**9)
     seconds, log, over, done = {"costs": 0.0, "pairs": 0.0, "merging": 0.0}, None, False, 0
-    nodes, edges = tables.cut(graph.nodes.select(*NODE_COLUMNS), graph.edges.select("lo", "hi", "boundary", F.lit(None).cast("double").alias("cost")))
+    nodes, edges = tables.cut(graph.nodes.select(*criterion.columns), graph.edges.select("lo", "hi", "boundary", F.lit(None).cast("double").alias("cost")))
 
     def timed(phase: str, start: float) -> float:
         seconds[phase] += perf_counter() - start
@@ -265,11 +281,13 @@ def absorption_links(nodes: DataFrame, edges: DataFrame, most_area: int, hubs: D
     return each.groupBy("w.node").agg(F.min("w.to").alias("to")).select("node", "to.other")
 
 
-def contract_groups(nodes: DataFrame, edges: DataFrame, groups: DataFrame, n_bands: int, hubs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def contract_groups(nodes: DataFrame, edges: DataFrame, groups: DataFrame, n_bands: int, hubs: DataFrame | None = None, own: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after the nodes of each group ``(node, component)`` have become one, keyed by the component.
 
-    Attributes are pooled over any number of nodes by sums, so a group of any size is added up where its rows are.
+    Attributes are pooled over any number of nodes by sums, so a group of any size is added up where its rows are;
+    ``own`` has an aggregate for each column that nodes have besides the common ones.
     """
+    own = own or {}
     to = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"{name}_to"))
     moved = looked_up(looked_up(edges.select("lo", "hi", "boundary"), "lo", to("lo"), hubs), "hi", to("hi"), hubs)
     a, b = F.coalesce("lo_to", "lo"), F.coalesce("hi_to", "hi")
@@ -280,27 +298,29 @@ def contract_groups(nodes: DataFrame, edges: DataFrame, groups: DataFrame, n_ban
     sums = [F.sum(area * band("mean", k)).alias(f"m{k}") for k in range(n_bands)]
     squares = [F.sum(area * (band("std", k) * band("std", k) + band("mean", k) * band("mean", k))).alias(f"q{k}") for k in range(n_bands)]
     box_of = [F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1")]
-    pooled_rows = nodes.join(groups, "node").groupBy("component").agg(*box_of, F.sum("area").alias("area"), F.sum("perimeter").alias("around"), *sums, *squares).join(inner, "component", "left")
+    pooled_rows = nodes.join(groups, "node").groupBy("component").agg(*box_of, F.sum("area").alias("area"), F.sum("perimeter").alias("around"), *sums, *squares, *[c.alias(f"__{name}") for name, c in own.items()]).join(inner, "component", "left")
     mean = lambda k: F.col(f"m{k}") / F.col("area")
     std = lambda k: F.sqrt(F.greatest(F.col(f"q{k}") / F.col("area") - mean(k) * mean(k), F.lit(0.0)))
     made = {
         "node": F.col("component"), "x": F.col("x"), "y": F.col("y"), "w": F.col("x1") - F.col("x"), "h": F.col("y1") - F.col("y"), "area": F.col("area"),
         "perimeter": F.col("around") - 2 * F.coalesce("inside", F.lit(0)), "mean": F.array(*[mean(k) for k in range(n_bands)]), "std": F.array(*[std(k) for k in range(n_bands)]),
     }
-    merged = pooled_rows.select(*[made[c].cast(nodes.schema[c].dataType).alias(c) for c in NODE_COLUMNS])
-    kept = nodes.join(groups, "node", "left_anti").select(*NODE_COLUMNS)
+    made |= {name: F.col(f"__{name}") for name in own}
+    merged = pooled_rows.select(*[made[c].cast(nodes.schema[c].dataType).alias(c) for c in made])
+    kept = nodes.join(groups, "node", "left_anti").select(*made)
     return kept.unionByName(merged), summed.where("lo != hi").select("lo", "hi", "boundary")
 
 
-def absorb(graph: Graph, most_area: int, most_rounds: int | None = None) -> Outcome:
+def absorb(graph: Graph, most_area: int, most_rounds: int | None = None, own: dict[str, Column] | None = None) -> Outcome:
     """All regions of at most ``most_area`` pixels join their nearest neighbours at once, round by round, until none is left with a neighbour.
 
     Every small region points to its nearest neighbour. Pointers lead to ever nearer pairs, so they end
     in a large region or in two small ones that point at each other; regions that hang together become one,
-    however many they are. A round at least halves the small regions that can merge.
+    however many they are. A round at least halves the small regions that can merge. ``own`` has an aggregate for
+    each further column of the nodes, of the same type (a sum of counts, say).
     """
     tables, logs = Rounds(graph.nodes.sparkSession), Rounds(graph.nodes.sparkSession, keep=10**9)
-    nodes, edges = tables.cut(graph.nodes.select(*NODE_COLUMNS), graph.edges.select("lo", "hi", "boundary"))
+    nodes, edges = tables.cut(graph.nodes.select(*NODE_COLUMNS, *(own or {})), graph.edges.select("lo", "hi", "boundary"))
     first = nodes.select(F.size("mean").alias("n")).first()
     log, done, over = None, 0, False
     while most_rounds is None or done < most_rounds:
@@ -311,7 +331,7 @@ def absorb(graph: Graph, most_area: int, most_rounds: int | None = None) -> Outc
             break
         log = links if log is None else log.unionByName(links)
         groups = logs.cut(connected_components(links, "lo", "hi"))[0]
-        nodes, edges = tables.cut(*contract_groups(nodes, edges, groups, first["n"], hubs))
+        nodes, edges = tables.cut(*contract_groups(nodes, edges, groups, first["n"], hubs, own))
     return Outcome(Graph(nodes, edges, merged_members(graph, log)), done, over)
 
 

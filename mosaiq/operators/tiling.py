@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions.spatial import EIGHT, at_tile_border, box, box_outside, box_strictly_inside, in_tile, neighbours, x_of, y_of
-from mosaiq.operators.graph import NODE_COLUMNS, Graph, append, both_ways, initial_graph
+from mosaiq.operators.graph import Graph, append, both_ways, initial_graph
 from mosaiq.operators.merge import MergeCriterion, iterate
 from mosaiq.plans.lineage import Rounds
 from mosaiq.plans.tile_plan import merging_margin
@@ -85,15 +85,16 @@ def unstable_nodes(tiled: Graph, layout: Layout) -> DataFrame:
 def _keyed(graph: Graph, tiles_of_node: DataFrame) -> Graph:
     """The graph of every tile in one: each tile's nodes, the edges inside it, and its members, keyed by tile."""
     key = lambda c: F.struct("tile_id", F.col(c).alias("node")).alias(c)
-    nodes = graph.nodes.join(tiles_of_node, "node").select(key("node"), *NODE_COLUMNS[1:])
+    nodes = graph.nodes.join(tiles_of_node, "node").select(key("node"), *[c for c in graph.nodes.columns if c != "node"])
     lo, hi = tiles_of_node.select("tile_id", F.col("node").alias("lo")), tiles_of_node.select(F.col("tile_id").alias("t2"), F.col("node").alias("hi"))
     edges = graph.edges.join(lo, "lo").join(hi.withColumnRenamed("t2", "tile_id"), ["tile_id", "hi"]).select(key("lo"), key("hi"), "boundary")
     return Graph(nodes, edges, graph.members.join(tiles_of_node, "node").select(key("pix"), key("node")))
 
 
-def tiled_graph(pixels: DataFrame, layout: Layout, margin: int) -> Graph:
-    """The initial graphs of all padded tiles, one node a pixel and tile."""
+def tiled_graph(pixels: DataFrame, layout: Layout, margin: int, own: dict[str, Column] | None = None) -> Graph:
+    """The initial graphs of all padded tiles, one node a pixel and tile; ``own`` has further node columns, made of those of a pixel's node."""
     plain = initial_graph(pixels, layout.width, layout.height)
+    plain = Graph(plain.nodes.withColumns(own or {}), plain.edges, plain.members)
     dealt = tile_pixels(pixels, layout, margin).select("tile_id", F.col("pix").alias("node"))
     return _keyed(plain, dealt)
 
@@ -106,7 +107,7 @@ def split_graph(graph: Graph, layout: Layout) -> Graph:
 def unkeyed(tiled: Graph) -> Graph:
     """The tiled graph with keys of the image again; nodes that several tiles hold are there several times."""
     plain = lambda c: F.col(f"{c}.node").alias(c)
-    return Graph(tiled.nodes.select(plain("node"), *NODE_COLUMNS[1:]), tiled.edges.select(plain("lo"), plain("hi"), "boundary"), tiled.members.select(plain("pix"), plain("node")))
+    return Graph(tiled.nodes.select(plain("node"), *[c for c in tiled.nodes.columns if c != "node"]), tiled.edges.select(plain("lo"), plain("hi"), "boundary"), tiled.members.select(plain("pix"), plain("node")))
 
 
 def without_copies(graph: Graph) -> Graph:
@@ -202,9 +203,9 @@ class Tiled:
     over: bool
 
 
-def first_partial(pixels: DataFrame, layout: Layout, criterion: MergeCriterion, rounds: int) -> Tiled:
+def first_partial(pixels: DataFrame, layout: Layout, criterion: MergeCriterion, rounds: int, own: dict[str, Column] | None = None) -> Tiled:
     """Each padded tile merged by itself for so many rounds; nodes outside their tile are dropped."""
-    done = iterate(tiled_graph(pixels, layout, merging_margin(rounds)), criterion, rounds)
+    done = iterate(tiled_graph(pixels, layout, merging_margin(rounds), own), criterion, rounds)
     return Tiled(without_unstable(done.graph, layout), done.rounds, done.over)
 
 
@@ -218,9 +219,12 @@ def next_partial(tiled: Tiled, layout: Layout, criterion: MergeCriterion, rounds
     return Tiled(without_unstable(done.graph, layout), tiled.rounds + done.rounds, done.over)
 
 
-def partial_segmentation(pixels: DataFrame, layout: Layout, criterion: MergeCriterion, first: int, then: int, most: int, least_decrease: float = 0.0) -> Tiled:
-    """Batches of rounds until ``most`` of them, until nothing merges, or until the nodes fall by less than ``least_decrease`` percent."""
-    state = first_partial(pixels, layout, criterion, min(first, most))
+def partial_segmentation(pixels: DataFrame, layout: Layout, criterion: MergeCriterion, first: int, then: int, most: int, least_decrease: float = 0.0, own: dict[str, Column] | None = None) -> Tiled:
+    """Batches of rounds until ``most`` of them, until nothing merges, or until the nodes fall by less than ``least_decrease`` percent.
+
+    ``own`` has the first values of the criterion's own columns, which go along with nodes from tile to tile.
+    """
+    state = first_partial(pixels, layout, criterion, min(first, most), own)
     count = lambda s: s.graph.nodes.select("node.node").distinct().count()
     before = count(state) if least_decrease else 0
     while not state.over and state.rounds < most:

@@ -346,6 +346,24 @@ def srm_pairs_round1(spark, sf_dir):
     return criterion.choose(merge.costed(start.edges, start.nodes, criterion), start.nodes)
 
 
+@query(
+    f"""{REGIONS}, {REGION_EDGES}, n AS (SELECT node, count(*) AS area, avg(b0) AS m0, avg(b1) AS m1 FROM comp JOIN px USING (pix) GROUP BY node),
+    c AS (SELECT lo, hi, (a.m0 - b.m0) * (a.m0 - b.m0) + (a.m1 - b.m1) * (a.m1 - b.m1) AS cost FROM re JOIN n a ON a.node = lo JOIN n b ON b.node = hi),
+    d AS (SELECT lo AS s, hi AS t, cost FROM c UNION ALL SELECT hi, lo, cost FROM c),
+    near AS (SELECT s, t, cost FROM (SELECT d.*, row_number() OVER (PARTITION BY s ORDER BY cost, t) AS r FROM d JOIN n ON n.node = s WHERE n.area <= 3) WHERE r = 1),
+    small AS (SELECT s, t FROM (SELECT d.*, row_number() OVER (PARTITION BY s ORDER BY cost, t) AS r FROM d JOIN n ON n.node = t WHERE n.area <= 3) WHERE r = 1),
+    cand AS (SELECT DISTINCT least(a.s, a.t) AS lo, greatest(a.s, a.t) AS hi, a.cost FROM near a JOIN small b ON b.s = a.t AND b.t = a.s),
+    ends AS (SELECT lo AS node, cost, lo, hi FROM cand UNION ALL SELECT hi, cost, lo, hi FROM cand),
+    won AS (SELECT lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, lo, hi) AS r FROM ends) WHERE r = 1)
+    SELECT lo, hi FROM won GROUP BY lo, hi HAVING count(*) = 2"""
+)
+def srm_pairs_regions(spark, sf_dir):
+    """Pairs of a round over regions of many sizes, where the best small neighbour isn't always the best one."""
+    start, _, _ = region_graph_e(spark, sf_dir)
+    criterion = merge.small_regions(3)
+    return criterion.choose(materialize(merge.costed(start.edges, start.nodes, criterion)), start.nodes)
+
+
 @query()
 def srm_converged(spark, sf_dir):
     start, _, _ = region_graph_e(spark, sf_dir)
@@ -595,7 +613,11 @@ def meanshift_labels(spark, sf_dir):
     return meanshift.mean_shift_segments(pixels, layout_e(pixels), 2, 15.0, 0.1, 4, 10.0)
 
 
-@query()
+@query(
+    f"""{REGIONS}, {DIM}, {BORDER}, {REGION_EDGES}, shape AS (SELECT node, count(*) AS area FROM comp GROUP BY node), ways AS (SELECT lo AS a, hi AS b FROM re UNION ALL SELECT hi, lo FROM re),
+    grown(tile_id, node, area) AS (SELECT tile_id, node, area FROM border JOIN shape USING (node) UNION SELECT tile_id, b, grown.area + shape.area FROM grown JOIN ways ON a = grown.node JOIN shape ON shape.node = b WHERE grown.area + shape.area <= 6)
+    SELECT tile_id, node, min(area) AS area FROM grown GROUP BY tile_id, node"""
+)
 def small_region_margins(spark, sf_dir):
     whole, _, layout = region_graph_e(spark, sf_dir)
     return tiling.small_region_margin(whole, layout, 6)

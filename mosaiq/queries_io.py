@@ -28,8 +28,7 @@ def graph_files(spark, sf_dir, tiles_of=None) -> tuple[DataFrame, int]:
     rows = dat.graph_rows(whole, 100, layout.height)
     at = tiles_of(whole, layout) if tiles_of else whole.nodes.select("node", layout.tile_of(F.col("x"), F.col("y")).alias("tile"))
     path = folder(spark, "graphs")
-    spark.range(1).write.parquet(f"{path}/made")  # makes the folder through Spark's file system
-    dat.write_files(dat.encoded_files(rows.join(at, "node"), "tile"), path.removeprefix("file://"), "tile")
+    dat.write_files(dat.encoded_files(rows.join(at, "node"), "tile"), path, "tile")
     return dat.read_files(spark, path), layout.height
 
 
@@ -71,7 +70,7 @@ def graph_header(spark, sf_dir):
     path = folder(spark, "header")
     spark.range(1).write.parquet(f"{path}/made")
     meta = raster.Meta(100, height_of(raster_e(spark, sf_dir)), 2, 0.1, -4321.123456789012, 'PROJCS["a", b]')
-    dat.write_header(f"{path.removeprefix('file://')}/Graph.dat.hdr", "image of Bands", meta)
+    dat.write_header(f"{path}/Graph.dat.hdr", "image of Bands", meta)
     image, read = dat.read_header(spark, f"{path}/Graph.dat.hdr")
     return spark.createDataFrame([(image, read.width, read.height, read.bands, read.origin_x, read.origin_y, read.projection)], "image string, width int, height int, bands int, origin_x double, origin_y double, projection string")
 

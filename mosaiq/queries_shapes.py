@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mosaiq.operators import components, crossings, layers, merge, nesting, ranges, repair, vector, zonal
+from mosaiq.operators import components, crossings, graph, layers, merge, nesting, ranges, repair, tiling, vector, zonal
 from mosaiq.plans.lineage import materialize
-from mosaiq.queries import _NODE_SQL, DIM, PX, REGION_EDGES, REGIONS, flat_nodes, height_of, query, raster_p, region_graph_e, table_of
+from mosaiq.queries import _NODE_SQL, DIM, PAIRS, PX, REGION_EDGES, REGIONS, flat_nodes, height_of, layout_e, query, raster_e, raster_p, region_graph_e, table_of
 from mosaiq.sources import dat
 
 # Crossings.
@@ -116,6 +116,67 @@ def absorbed_converged(spark, sf_dir):
     return flat_nodes(done.graph.nodes, 6)
 
 
+# Own columns of nodes, and an own cost.
+
+
+def _histogram_rounds(k: int) -> str:
+    """CTEs of rounds in which mutual best neighbours by the distance of their histograms merge."""
+    out = ["g0 AS (SELECT pix AS node, CAST(1 AS DOUBLE) AS area, " + ", ".join(f"CAST(CAST(floor(b0) AS BIGINT) % 3 = {b} AS BIGINT) AS h{b}" for b in range(3)) + " FROM px), f0 AS (SELECT lo, hi FROM pe)"]
+    for i in range(1, k + 1):
+        g, f = f"g{i - 1}", f"f{i - 1}"
+        cost = " + ".join(f"abs(a.h{b} / a.area - b.h{b} / b.area)" for b in range(3))
+        out.append(
+            f"""c{i} AS (SELECT f.lo, f.hi, {cost} AS cost FROM {f} f JOIN {g} a ON a.node = f.lo JOIN {g} b ON b.node = f.hi),
+            d{i} AS (SELECT lo AS node, hi AS other, cost FROM c{i} UNION ALL SELECT hi, lo, cost FROM c{i}),
+            b{i} AS (SELECT node, other, cost FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, other) AS r FROM d{i}) WHERE r = 1),
+            m{i} AS (SELECT a.node AS lo, a.other AS hi FROM b{i} a JOIN b{i} b ON a.other = b.node AND b.other = a.node WHERE a.node < a.other AND a.cost < 1),
+            g{i} AS (SELECT coalesce(m.lo, n.node) AS node, sum(area) AS area, {', '.join(f'CAST(sum(h{b}) AS BIGINT) AS h{b}' for b in range(3))} FROM {g} n LEFT JOIN m{i} m ON m.hi = n.node GROUP BY 1),
+            f{i} AS (SELECT DISTINCT least(x, y) AS lo, greatest(x, y) AS hi FROM (SELECT coalesce(a.lo, f.lo) AS x, coalesce(b.lo, f.hi) AS y FROM {f} f LEFT JOIN m{i} a ON a.hi = f.lo LEFT JOIN m{i} b ON b.hi = f.hi) WHERE x <> y)"""
+        )
+    return f"WITH {PX}, {PAIRS}, " + ", ".join(out)
+
+
+def histogram_criterion() -> merge.MergeCriterion:
+    """Regions with like histograms merge: an own column, its sum for the survivor, and an own cost."""
+
+    def cost(a, b, boundary):
+        part = lambda s, k: s["histogram"][k] / s["area"].cast("double")
+        each = [F.abs(part(a, k) - part(b, k)) for k in range(3)]
+        return each[0] + each[1] + each[2]
+
+    pairs = lambda edges, nodes: merge.mutual_pairs(merge.best_neighbours(edges).where("cost < 1"))
+    return merge.MergeCriterion(cost, pairs, own={"histogram": lambda a, b, boundary: F.zip_with(a["histogram"], b["histogram"], lambda x, y: x + y)})
+
+
+def histogram_of() -> dict:
+    """The histogram of a node of one pixel: a count for each remainder of its first band."""
+    return {"histogram": F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: (F.floor(F.col("mean")[0]) % 3 == k).cast("long"))}
+
+
+_HISTOGRAMS_SQL = f"{_histogram_rounds(2)} SELECT node, CAST(area AS BIGINT) AS area, h0, h1, h2 FROM g2"
+
+
+def _flat_histograms(nodes):
+    return nodes.select("node", "area", *[F.col("histogram")[k].alias(f"h{k}") for k in range(3)])
+
+
+@query(_HISTOGRAMS_SQL)
+def histogram_merging(spark, sf_dir):
+    pixels = raster_e(spark, sf_dir)
+    start = graph.initial_graph(pixels, 100, height_of(pixels))
+    start = graph.Graph(start.nodes.withColumns(histogram_of()), start.edges, start.members)
+    return _flat_histograms(merge.iterate(start, histogram_criterion(), 2).graph.nodes)
+
+
+@query(_HISTOGRAMS_SQL)
+def histogram_merging_tiled(spark, sf_dir):
+    """The same by padded tiles: own columns go along from tile to tile."""
+    pixels = raster_e(spark, sf_dir)
+    layout = layout_e(pixels)
+    state = tiling.partial_segmentation(pixels, layout, histogram_criterion(), 1, 1, 2, own=histogram_of())
+    return _flat_histograms(tiling.stitched(state.graph, layout).nodes)
+
+
 # Nesting.
 
 _PATCHES_P = """WITH RECURSIVE px AS (SELECT p_partkey AS pix, p_partkey % 20 AS x, p_partkey // 20 AS y, p_size % 2 AS label FROM part), dim AS (SELECT max(y) + 1 AS h FROM px),

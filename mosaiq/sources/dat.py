@@ -2,14 +2,13 @@
 
 A file holds a count of bytes and of nodes, then by node: box, contour (first pixel and
 2-bit steps), attributes, and edges to other nodes by their first pixels. Values are
-little-endian. Files can be read through any of Spark's file systems; each file is one
-row until it is decoded, as tiles are written one file each. The contour gives a node's
-outer border; its members are the pixels inside.
+little-endian. ``rag`` has the format as a data source; here are graphs as its rows and back. The
+contour gives a node's outer border; its members are the pixels inside, less those of
+regions in its holes.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,62 +18,11 @@ from pyspark.sql import functions as F
 
 from mosaiq.operators.graph import Graph, both_ways
 from mosaiq.operators.vector import contours
+from mosaiq.sources import rag
+from mosaiq.sources.rag import FILE_SCHEMA, NODE_SCHEMA, encode_node, file_system, pack_moves, unpack_moves
 from mosaiq.sources.raster import Meta
 
-NODE_SCHEMA = "node long, x int, y int, w int, h int, area long, perimeter long, mean array<double>, std array<double>, moves array<int>, edges array<struct<dst:long,boundary:long>>"
-
-
-def pack_moves(moves: list[int]) -> bytes:
-    """Four steps a byte, the first in the lowest bits."""
-    padded = np.zeros(-(-len(moves) // 4) * 4, np.uint8)
-    padded[: len(moves)] = moves
-    return (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8).tobytes()
-
-
-def unpack_moves(packed: bytes, last: int) -> list[int]:
-    """Steps of packed bytes; ``last`` is how many steps the last byte holds, 0 if it is full."""
-    steps = (np.frombuffer(packed, np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()
-    return steps[: len(steps) - (4 - last) % 4 if last else None].tolist()
-
-
-def encode_graph(rows: list[dict]) -> bytes:
-    """Bytes of a file from rows of ``NODE_SCHEMA``; edges to other nodes than these must have been dropped."""
-    out = []
-    for r in rows:
-        moves = pack_moves(r["moves"])
-        out.append(struct.pack("<4I", r["x"], r["y"], r["w"], r["h"]))
-        out.append(struct.pack("<IBQ", r["node"], len(r["moves"]) % 4, len(moves)) + moves)
-        for stats in (r["mean"], r["std"]):
-            out.append(struct.pack(f"<Q{len(stats)}f", len(stats), *stats))
-        out.append(struct.pack("<III", r["perimeter"], r["area"], len(r["edges"])))
-        out += [struct.pack("<II", e["dst"], e["boundary"]) for e in r["edges"]]
-    body = struct.pack("<Q", len(rows)) + b"".join(out)
-    return struct.pack("<Q", len(body)) + body
-
-
-def decode_graph(data: bytes) -> Iterator[dict]:
-    """Rows of ``NODE_SCHEMA`` from the bytes of a file."""
-    at = 0
-
-    def take(form: str) -> tuple:
-        nonlocal at
-        values = struct.unpack_from("<" + form, data, at)
-        at += struct.calcsize("<" + form)
-        return values
-
-    size, count = take("QQ")
-    if size + 8 > len(data):
-        raise ValueError("the file is shorter than it says")
-    for _ in range(count):
-        x, y, w, h = take("4I")
-        start, last, n = take("IBQ")
-        moves = unpack_moves(data[at : at + n], last)
-        at += n
-        mean = list(take(f"{take('Q')[0]}f"))
-        std = list(take(f"{take('Q')[0]}f"))
-        perimeter, area, n_edges = take("III")
-        edges = [dict(zip(("dst", "boundary"), take("II"))) for _ in range(n_edges)]
-        yield {"node": start, "x": x, "y": y, "w": w, "h": h, "area": area, "perimeter": perimeter, "mean": mean, "std": std, "moves": moves, "edges": edges}
+__all__ = ["NODE_SCHEMA", "pack_moves", "unpack_moves"]
 
 
 def graph_rows(graph: Graph, width: int, height: int) -> DataFrame:
@@ -85,40 +33,26 @@ def graph_rows(graph: Graph, width: int, height: int) -> DataFrame:
 
 
 def encoded_files(rows: DataFrame, tile: str) -> DataFrame:
-    """``(tile, data)``: one file's bytes for each value of the column ``tile`` (a file must fit in a task, as its reader must hold it)."""
-    schema = f"{tile} string, data binary"
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({tile: [str(key[0])], "data": [encode_graph(part.sort_values("node").to_dict("records"))]})
-
-    return rows.groupBy(tile).applyInPandas(one, schema)
+    """Rows for the format ``rag``: each node's bytes, and how many nodes and bytes its file will have."""
 
+    def records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"tile": part["tile"], "node": part["node"], "record": [encode_node(r) for r in part.to_dict("records")]})
 
-def write_files(files: DataFrame, folder: str, tile: str) -> None:
-    """Write each row's bytes as ``<folder>/Graph_<tile>.dat``; the folder must be shared by all executors."""
+    made = rows.withColumn("tile", F.col(tile).cast("string")).mapInPandas(records, "tile string, node long, record binary")
+    sizes = made.groupBy("tile").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.octet_length("record")).alias("n_bytes"))
+    return made.join(sizes, "tile").select(*[c.split()[0] for c in FILE_SCHEMA.split(", ")])
 
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part[tile], part["data"]):
-                with open(f"{folder}/Graph_{name}.dat", "wb") as out:
-                    out.write(data)
-            yield part[[tile]]
 
-    files.mapInPandas(write, f"{tile} string").count()
+def write_files(files: DataFrame, folder: str, tile: str = "tile") -> None:
+    """Write ``encoded_files`` as ``<folder>/Graph_<tile>.dat``, each by one task that streams it."""
+    rag.register(files.sparkSession)
+    files.repartition("tile").sortWithinPartitions("tile", "node").write.format("rag").mode("append").save(folder)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Rows of ``NODE_SCHEMA`` and the file that they come from."""
-
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part["path"], part["content"]):
-                rows = pd.DataFrame(list(decode_graph(data)))
-                if len(rows):
-                    yield rows.assign(file=name)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dat").load(path)
-    return files.select("path", "content").mapInPandas(decode, NODE_SCHEMA + ", file string")
+    return rag.register(spark).read.format("rag").load(path)
 
 
 def members_of_contours(rows: DataFrame, width: int) -> DataFrame:
@@ -167,8 +101,9 @@ def read_graph(spark: SparkSession, path: str, width: int) -> Graph:
 def write_header(path: str, image: str, meta: Meta) -> None:
     """The sidecar: image path, height, width, bands, origin, projection, a line each."""
     lines = [image, meta.height, meta.width, meta.bands, repr(meta.origin_x), repr(meta.origin_y), meta.projection]
-    with open(path, "w") as out:
-        out.write("".join(f"{line}\n" for line in lines))
+    system, place = file_system(path)
+    with system.open_output_stream(place) as out:
+        out.write("".join(f"{line}\n" for line in lines).encode())
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, Meta]:
