@@ -8,14 +8,20 @@ A hub's edges would all meet its minimum in one task. Once there are more than
 ``PLENTY`` edges, vertices with more than one in ``HUBS`` of all ends are hubs: there
 are at most ``HUBS`` of them, whatever the size of the table, so their minima are sent
 to every task and their edges stay where they are.
+
+Components of a raster come in two levels, inside tiles and then across their sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.plans.lineage import Rounds
+from mosaiq.plans.lineage import Rounds, materialize
 
 #: Edges up to which a task may get all of a vertex; hubs at most, beyond.
 PLENTY, HUBS = 1_000_000, 2_000
@@ -57,19 +63,64 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def components_of(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(pix, node)`` for every pixel: its component over the pixel pairs ``(lo, hi)``, keyed by its smallest pixel."""
-    found = connected_components(pairs, "lo", "hi").withColumnRenamed("node", "pix")
-    return pixels.select("pix").join(found, "pix", "left").select("pix", F.coalesce("component", "pix").alias("node"))
+#: Side of the tiles inside which components are found first; a task holds one at a time.
+TILE = 256
+
+
+def joined_inside(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of ``n`` numbers hangs together with, by the pairs ``a, b``."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low < high
+        if not open_.any():
+            return root
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while (further := root[root]) is not root and (further != root).any():
+            root = further
+
+
+def grid_components(pixels: DataFrame, width: int, height: int, values: list[str], linked: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], linked_columns: Callable[[str, str], Column]) -> DataFrame:
+    """``(pix, node)``: components of linked 4-neighbours, keyed by their smallest pixel, in two levels.
+
+    Components inside tiles are found first, each tile in one task. Then only pixel pairs across tile sides
+    are left: the stars run over pairs of tile components, so their edges go with tile sides and not with
+    pixels, and one join brings the result back. ``linked`` tells which rows of two frames with the columns
+    ``values`` are linked, ``linked_columns`` the same for columns with the prefixes ``lo_`` and ``hi_``.
+    """
+    size = TILE
+    columns = -(-width // size)
+    x, y = F.col("pix") % width, F.floor(F.col("pix") / width)
+    tile = (F.floor(y / size) * columns + F.floor(x / size)).cast("long")
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pix", ignore_index=True)
+        pix = part["pix"].to_numpy()
+        pairs = []
+        column = pix % width
+        for step, ahead in ((1, (column % size < size - 1) & (column < width - 1)), (width, np.ones(len(pix), bool))):
+            at = np.searchsorted(pix, pix + step)
+            here = np.flatnonzero(ahead & (at < len(pix)) & (pix[np.minimum(at, len(pix) - 1)] == pix + step))
+            pairs.append((here, at[here]))
+        a, b = (np.concatenate(side) for side in zip(*pairs))
+        near = linked(part.iloc[a].reset_index(drop=True), part.iloc[b].reset_index(drop=True)) if len(a) else np.zeros(0, bool)
+        return pd.DataFrame({"pix": pix, "part": pix[joined_inside(len(pix), a[near], b[near])]})
+
+    parts = materialize(pixels.select(tile.alias("tile"), "pix", *values).groupBy("tile").applyInPandas(inside, "pix long, part long"))
+    side = (x % size == 0) | (x % size == size - 1) | (y % size == 0) | (y % size == size - 1)
+    beside = materialize(pixels.select("pix", *values).where(side).join(parts.where(side), "pix"))
+    across = F.array_compact(F.array(F.when((x % size == size - 1) & (x < width - 1), F.col("pix") + 1), F.when((y % size == size - 1) & (y < height - 1), F.col("pix") + width)))
+    low = beside.select(*[F.col(c).alias(f"lo_{c}") for c in ("part", *values)], F.explode(across).alias("hi"))
+    met = low.join(beside.select(F.col("pix").alias("hi"), *[F.col(c).alias(f"hi_{c}") for c in ("part", *values)]), "hi")
+    found = connected_components(met.where(linked_columns("lo_", "hi_")), "lo_part", "hi_part").select(F.col("node").alias("part"), "component")
+    return parts.join(found, "part", "left").select("pix", F.coalesce("component", "part").alias("node"))
 
 
 def label_components(labels: DataFrame, width: int, height: int) -> DataFrame:
     """4-connected components of equal labels: ``labels(pix, label)`` to ``(pix, node)``; null labels are no-data."""
-    from mosaiq.operators.graph import adjacent_pixels
-
-    valid = labels.where("label is not null")
-    pairs = adjacent_pixels(valid, width, height, ["label"]).where("lo_label = hi_label")
-    return components_of(valid, pairs.select("lo", "hi"))
+    same = lambda a, b: (a["label"] == b["label"]).to_numpy()
+    return grid_components(labels.where("label is not null").select("pix", "label"), width, height, ["label"], same, lambda a, b: F.col(f"{a}label") == F.col(f"{b}label"))
 
 
 def same_label_neighbour(labels: DataFrame, width: int, height: int) -> DataFrame:
@@ -83,9 +134,16 @@ def same_label_neighbour(labels: DataFrame, width: int, height: int) -> DataFram
 
 def threshold_components(pixels: DataFrame, width: int, height: int, most: float) -> DataFrame:
     """Components of 4-neighbours whose bands are less than ``most`` apart (Euclidean)."""
-    from mosaiq.operators.graph import adjacent_pixels
 
-    pairs = adjacent_pixels(pixels, width, height, ["bands"])
-    squares = F.zip_with("lo_bands", "hi_bands", lambda a, b: (a - b) * (a - b))
-    near = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, d: s + d)) < most
-    return components_of(pixels, pairs.where(near).select("lo", "hi"))
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        one, other = np.stack(a["bands"].to_numpy()), np.stack(b["bands"].to_numpy())
+        total = np.zeros(len(one))
+        for k in range(one.shape[1]):  # in the order of the columns' sum
+            total += (one[:, k] - other[:, k]) ** 2
+        return np.sqrt(total) < most
+
+    def near_columns(a: str, b: str) -> Column:
+        squares = F.zip_with(f"{a}bands", f"{b}bands", lambda u, v: (u - v) * (u - v))
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, d: s + d)) < most
+
+    return grid_components(pixels.select("pix", "bands"), width, height, ["bands"], near, near_columns)

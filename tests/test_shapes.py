@@ -348,3 +348,29 @@ def test_boxes_that_overlap_against_all_pairs(spark):
     held = [(r.id, r.x, r.y) for r in ranges.pixels_in_windows(pixels, frame(a), "id").collect()]
     assert len(held) == len(set(held)) and set(held) == {(k, x, y) for k, x0, y0, w, h in a for x in range(-5, 40) for y in range(30) if x0 <= x < x0 + w and y0 <= y < y0 + h}
     assert ranges.pixels_in_windows(pixels, frame(a).limit(0), "id").count() == 0 == ranges.overlapping(frame([]), frame(b)).count()
+
+
+# Components in two levels.
+
+
+@pytest.mark.parametrize("width, height", [(1, 7), (9, 1), (13, 11), (32, 17)])
+def test_grid_components_by_tiles(spark, monkeypatch, width, height):
+    """Winding patches over many tiles, with no-data, against flooding; the labels' column may be text or number."""
+    rng = random.Random(width)
+    label = {p: rng.choice("aab") if rng.random() < 0.95 else None for p in range(width * height)}
+    node = {}
+    for p in range(width * height):
+        if label[p] is not None and p not in node:
+            todo, node[p] = [p], p
+            while todo:
+                q = todo.pop()
+                for n in ([q + 1] if q % width < width - 1 else []) + ([q - 1] if q % width else []) + [q + width, q - width]:
+                    if n not in node and label.get(n) == label[q]:
+                        node[n] = p
+                        todo.append(n)
+    labels_ = spark.createDataFrame(list(label.items()), "pix long, label string").repartition(3)
+    bands = labels_.where("label is not null").select("pix", F.array(F.when(F.col("label") == "a", 1.0).otherwise(9.0), F.lit(2.0)).alias("bands"))
+    for side in (1, 4, 256):
+        monkeypatch.setattr(components, "TILE", side)
+        assert {r.pix: r.node for r in components.label_components(labels_, width, height).collect()} == node
+    assert {r.pix: r.node for r in components.threshold_components(bands, width, height, 5.0).collect()} == node
