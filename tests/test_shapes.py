@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq import api
-from mosaiq.operators import components, crossings, graph, layers, merge, nesting, ranges, repair, tiling, vector, zonal
+from mosaiq.operators import components, crossings, graph, layers, meanshift, merge, nesting, ranges, repair, tiling, vector, zonal
 from mosaiq.plans import lineage
 from mosaiq.sources import features
 from test_vector_and_sources import HOLE, PINCH, regions
@@ -374,3 +374,21 @@ def test_grid_components_by_tiles(spark, monkeypatch, width, height):
         monkeypatch.setattr(components, "TILE", side)
         assert {r.pix: r.node for r in components.label_components(labels_, width, height).collect()} == node
     assert {r.pix: r.node for r in components.threshold_components(bands, width, height, 5.0).collect()} == node
+
+
+# Mean shift.
+
+
+@pytest.mark.parametrize("rounds, radius, search", [(100, 5, True), (7, 2, True), (4, 3, False), (0, 2, True)])
+def test_mean_shift_in_batches_against_the_whole_image(spark, rounds, radius, search):
+    """The API's defaults among others: windows that travel over many tiles, no-data, ties at half pixels."""
+    rng = np.random.default_rng(rounds)
+    width, height = 38, 27
+    bands = np.stack([np.add.outer(np.arange(height) // 5, np.arange(width) // 6) * 4.0 + rng.integers(0, 9, (height, width)), rng.integers(0, 7, (height, width))], 2)
+    valid = rng.random((height, width)) < 0.93
+    ys, xs = np.nonzero(valid)
+    _, colour, _ = meanshift.move_windows(bands, valid, (0, 0), np.stack([ys, xs], 1), bands[ys, xs], radius, 15.0, 0.1, rounds, search)
+    pixels = pixels_of(spark, [[tuple(bands[y, x]) if valid[y, x] else None for x in range(width)] for y in range(height)])
+    for layout in (tiling.Layout(width, height, 9, 7), tiling.Layout(width, height, 40, 30)):
+        got = {r.pix: r.bands for r in meanshift.smooth(pixels, layout, radius, 15.0, 0.1, rounds, search).collect()}
+        assert got == {int(y * width + x): c.tolist() for y, x, c in zip(ys, xs, colour)}
