@@ -270,6 +270,20 @@ def _on_grid(layer):
     return layer.withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] * 2).alias("x"), (p["y"] * 2).alias("y")))))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS start, p_partkey // 2 AS pair, p_partkey % 2 AS second, CAST(4 + p_size % 7 AS DOUBLE) AS a, CAST(3 + p_partkey % 6 AS DOUBLE) AS b FROM part)
+    SELECT s.start, s.a * s.b - CASE WHEN s.second = 1 AND f.start IS NOT NULL THEN greatest(0, least(f.a, 2 + s.a) - 2) * greatest(0, least(f.b, 1 + s.b) - 1) ELSE 0 END AS area FROM p s LEFT JOIN p f ON f.pair = s.pair AND f.second = 0"""
+)
+def overlap_free_areas(spark, sf_dir):
+    """Rectangles of which each second one overlaps the one before, after overlaps have gone to the first."""
+    key = F.col("p_partkey")
+    a, b, x, y = 4 + F.col("p_size") % 7, 3 + key % 6, F.floor(key / 2) * 40 + key % 2 * 2, key % 2
+    corners = [(x, y), (x + a, y), (x + a, y + b), (x, y + b), (x, y)]
+    layer = table_of(spark, sf_dir, "part").select(key.alias("start"), F.array(_ring(*corners)).alias("rings"))
+    area = F.aggregate(F.transform("rings", layers.signed_area), F.lit(0.0), lambda s, v: s + v)
+    return repair.without_overlaps(layer).groupBy("start").agg(F.sum(area).alias("area"))
+
+
 # Windows.
 
 _WINDOWS = """win AS (SELECT p_partkey AS win, p_partkey * 7 % 95 AS wx, p_partkey * 3 % h AS wy, CAST(1 + p_size % 20 AS BIGINT) * (1 + p_partkey % 3) AS ww, CAST(1 + p_size % 13 AS BIGINT) AS wh FROM part, dim)"""

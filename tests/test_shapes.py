@@ -333,6 +333,27 @@ def test_clean_layers_keep_what_is_valid(spark):
     assert rows == [(1, 0, 2, 5), (2, 0, 4, 4), (2, 1, 4, 4)]
 
 
+def test_overlaps_go_to_the_first(spark):
+    """Random polygons and a chain of squares: areas by a fine raster, and nothing is covered twice."""
+    rng = random.Random(5)
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    shapes = {1: [box(0, 0, 6, 6)], 2: [box(3, 3, 6, 6)], 3: [box(1, 1, 3, 3)], 4: [box(-2, 4, 14, 2)], 5: [box(50, 50, 3, 3)], 6: [box(5, -2, 2, 14), box(20, 0, 2, 2)], 7: [box(20, 20, 9, 9)], 9: [box(18, 18, 13, 13)]}
+    shapes |= {k: [[*(points := [(rng.randrange(60, 74), rng.randrange(-3, 11)) for _ in range(rng.randrange(3, 8))]), points[0]]] for k in range(20, 26)}
+    found = {}
+    for r in repair.without_overlaps(layer_of(spark, shapes).withColumn("label", F.col("start"))).collect():
+        assert r.label == r.start
+        found.setdefault(r.start, []).append([[(p.x, p.y) for p in ring] for ring in r.rings])
+    assert 3 not in found and 5 in found
+
+    def inside(rings, x, y):
+        return sum(1 for ring in rings for (x0, y0), (x1, y1) in zip(ring[:-1], ring[1:]) if (y0 > y) != (y1 > y) and x0 + (y - y0) / (y1 - y0) * (x1 - x0) < x) % 2 == 1
+
+    for _ in range(4000):
+        x, y = rng.uniform(-3, 32) if rng.random() < 0.6 else rng.uniform(59, 75), rng.uniform(-4, 32)
+        first = min((k for k, rings in shapes.items() if inside(rings, x, y)), default=None)
+        assert [k for k, parts in found.items() for rings in parts if inside(rings, x, y)] == ([] if first is None else [first])
+
+
 # Windows.
 
 
