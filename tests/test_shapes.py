@@ -100,7 +100,23 @@ def test_own_simplifier(spark):
 # Absorption.
 
 
-def absorbed(grid, most):
+def all_to_nearest(near, small):
+    """``{region: region it joins}``: every small one its nearest neighbour."""
+    return {r: min(near[r])[1] for r in small if r in near}
+
+
+def mutual_pairs_of(near, small):
+    """A small region and its nearest neighbour, if it is that one's nearest small neighbour; of conflicting pairs the first by cost and keys."""
+    found = set()
+    for r in small:
+        if r in near:
+            cost, other = min(near[r])
+            if min(n for n in near[other] if n[1] in small)[1] == r:
+                found.add((cost, min(r, other), max(r, other)))
+    return {high: low for cost, low, high in found if all((cost, low, high) <= f for f in found if {low, high} & {f[1], f[2]})}
+
+
+def absorbed(grid, most, rule=all_to_nearest):
     """``{pixel: region}`` after all rounds, a plain model over pixel sets."""
     height, width = len(grid), len(grid[0])
     of = {y * width + x: y * width + x for y in range(height) for x in range(width)}
@@ -122,7 +138,8 @@ def absorbed(grid, most):
                 if of[p] != of[q]:
                     near.setdefault(of[p], set()).add(of[q])
                     near.setdefault(of[q], set()).add(of[p])
-        links = {r: min((round((mean[r] - mean[s]) ** 2, 9), s) for s in near[r])[1] for r in members if len(members[r]) <= most and r in near}
+        costs = {r: {(round((mean[r] - mean[s]) ** 2, 9), s) for s in others} for r, others in near.items()}
+        links = rule(costs, {r for r in members if len(members[r]) <= most})
         if not links:
             return of, rounds
         root = {r: r for r in members}
@@ -155,6 +172,17 @@ def test_absorption_against_the_model(spark, seed, most):
     assert merge.has_no_small_regions(done.graph, most) and graph.violations(done.graph).isEmpty()
 
 
+@pytest.mark.parametrize("seed, most", [(5, 2), (6, 4)])
+def test_pairwise_absorption_against_the_model(spark, seed, most):
+    rng = random.Random(seed)
+    grid = [[rng.choice((1, 2, 4)) if rng.random() < 0.8 else 10 + rng.randrange(1000) / 8 for _ in range(11)] for _ in range(8)]
+    pixels = pixels_of(spark, grid)
+    start = graph.region_graph(components.label_components(pixels.select("pix", F.col("bands")[0].alias("label")), 11, 8), pixels, 11, 8)
+    done = api.merge_small_regions(start, most)
+    of, rounds = absorbed(grid, most, mutual_pairs_of)
+    assert {r.pix: r.node for r in done.graph.members.collect()} == of and done.rounds == rounds
+
+
 def test_ten_thousand_islands_join_at_once(spark, monkeypatch):
     size = 203
     island = (F.col("x") % 2 == 1) & (F.col("y") % 2 == 1)
