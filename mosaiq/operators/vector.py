@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from mosaiq.functions.spatial import neighbours, x_of, y_of
 from mosaiq.operators.crossings import crossing_pairs, jumped, reordered_ends, segments
 from mosaiq.operators.graph import Graph, both_ways
+from mosaiq.operators.outlines import in_order, run_id, straight_runs
 from mosaiq.plans.lineage import Rounds, materialize
 
 LINE = "array<struct<x:double,y:double>>"
@@ -82,7 +83,19 @@ def _chains(x0, y0, x1, y1, stops: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def arcs(sides: DataFrame) -> DataFrame:
+#: Straight runs of an outline that are put in order in one task; the runs of longer outlines are ranked by joins.
+TRACED = 1 << 14
+
+
+def by_length(runs: DataFrame, keys: list[str], traced: int) -> tuple[DataFrame, DataFrame | None]:
+    """Runs of outlines to trace, and those of outlines to rank, if there are any."""
+    many = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > traced).select(*keys)
+    if many.isEmpty():
+        return runs, None
+    return runs.join(many, keys, "left_anti"), materialize(runs.join(many, keys, "left_semi"))
+
+
+def arcs(sides: DataFrame, traced: int = TRACED) -> DataFrame:
     """``(lo, hi, line, closed)``: maximal lines between two regions, cut where more than two meet; directed with ``hi`` to the right."""
     corners = sides.select(F.col("x0").alias("x"), F.col("y0").alias("y"), "node", "other")
     # Two sides of a region start at a corner where it touches itself; others meet where three regions do.
@@ -100,7 +113,27 @@ def arcs(sides: DataFrame) -> DataFrame:
             out.append((lo, hi, points_of(xy[bend]), bool((xy[0] == xy[-1]).all())))
         return out
 
-    return per_group(own, ["lo", "hi"], ["x0", "y0", "x1", "y1", "stops"], trace, f"lo long, hi long, line {LINE}, closed boolean")
+    short, long = by_length(materialize(straight_runs(own, ["lo", "hi"])), ["lo", "hi"], traced)
+    found = per_group(short, ["lo", "hi"], ["x0", "y0", "x1", "y1", "stops"], trace, f"lo long, hi long, line {LINE}, closed boolean")
+    return found if long is None else found.unionByName(ranked_arcs(long))
+
+
+def ranked_arcs(runs: DataFrame) -> DataFrame:
+    """``arcs`` from straight runs ``(lo, hi, x0, y0, x1, y1, stops)``, put in order by joins."""
+    keys = ["lo", "hi"]
+    ahead = runs.where("not stops").select(*keys, F.col("x0").alias("x1"), F.col("y0").alias("y1"), run_id(keys).alias("next"))
+    links = runs.withColumn("id", run_id(keys)).join(ahead, [*keys, "x1", "y1"], "left").select("id", "next")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    last = F.element_at("runs", -1)
+    line = F.concat(F.transform("runs", lambda r: point(r["x0"], r["y0"])), F.array(point(last["x1"], last["y1"])))
+
+    def bends(p: Column, k: Column) -> Column:
+        before, after = F.get("line", k - 1), F.get("line", k + 1)
+        turn = (p["x"] - before["x"]) * (after["y"] - p["y"]) - (p["y"] - before["y"]) * (after["x"] - p["x"])
+        return F.coalesce(turn != 0, F.lit(True))  # both ends stay
+
+    made = in_order(runs, links, keys).withColumn("line", line)
+    return made.select(*keys, F.filter("line", bends).alias("line"), (F.col("line")[0] == F.element_at("line", -1)).alias("closed"))
 
 
 def douglas_peucker(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -270,7 +303,7 @@ def polygonize(graph: Graph, width: int, height: int, tolerance: float | None =
     return polygons(full if tolerance is None else simplified_arcs(graph, full, tolerance, simplifier))
 
 
-def contours(members: DataFrame, width: int, height: int) -> DataFrame:
+def contours(members: DataFrame, width: int, height: int, traced: int = TRACED) -> DataFrame:
     """``(node, start, moves)``: the outer border as steps from the first pixel's upper left corner (0 up, 1 right, 2 down, 3 left).
 
     It keeps to its pixels where a region touches itself at a corner, so it takes in true holes and nothing else.
@@ -280,9 +313,28 @@ def contours(members: DataFrame, width: int, height: int) -> DataFrame:
         rings = chain_rings(list(np.stack([np.c_[x0, y0], np.c_[x1, y1]], axis=1)), rightmost=True)
         ring = max(rings, key=ring_area)
         dx, dy = np.diff(ring, axis=0).astype(int).T
-        return [(node, node, np.select([dy < 0, dx > 0, dy > 0], [0, 1, 2], 3).tolist())]
-
-    return per_group(unit_sides(members, width, height), ["node"], ["x0", "y0", "x1", "y1"], walk, "node long, start long, moves array<int>")
+        return [(node, node, np.repeat(np.select([dy < 0, dx > 0, dy > 0], [0, 1, 2], 3), abs(dx) + abs(dy)).tolist())]
+
+    sides = unit_sides(members, width, height).withColumn("stops", F.lit(False))
+    short, long = by_length(materialize(straight_runs(sides, ["node"])), ["node"], traced)
+    found = per_group(short, ["node"], ["x0", "y0", "x1", "y1"], walk, "node long, start long, moves array<int>")
+    return found if long is None else found.unionByName(ranked_contours(long))
+
+
+def ranked_contours(runs: DataFrame) -> DataFrame:
+    """``contours`` from straight runs ``(node, x0, y0, x1, y1)``, put in order by joins."""
+    keys, dx, dy = ["node"], F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    ahead = runs.select("node", F.col("x0").alias("x1"), F.col("y0").alias("y1"), dx.alias("out_x"), dy.alias("out_y"), run_id(keys).alias("next"))
+    met = runs.select("node", "x1", "y1", dx.alias("in_x"), dy.alias("in_y"), run_id(keys).alias("id")).join(ahead, ["node", "x1", "y1"])
+    # y downwards: the largest cross product is the rightmost turn.
+    links = met.groupBy("id").agg(F.max_by("next", F.expr("in_x * out_y - in_y * out_x")).alias("next"))
+    rings = materialize(in_order(runs, links, keys))
+    area = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["x0"].cast("long") * r["y1"] - r["x1"].cast("long") * r["y0"])
+    outer = rings.groupBy("node").agg(F.min(F.struct((-area).alias("area"), "chain")).alias("k")).select("node", F.col("k.chain").alias("chain"))
+    way = lambda r: F.when(r["y1"] < r["y0"], 0).when(r["x1"] > r["x0"], 1).when(r["y1"] > r["y0"], 2).otherwise(3)
+    length = lambda r: F.abs(r["x1"] - r["x0"]) + F.abs(r["y1"] - r["y0"])
+    moves = F.flatten(F.transform("runs", lambda r: F.array_repeat(way(r), length(r))))
+    return rings.join(outer, ["node", "chain"]).select("node", F.col("node").alias("start"), moves.alias("moves"))
 
 
 def features(graph: Graph, shapes: DataFrame) -> DataFrame:

@@ -591,14 +591,13 @@ def adjacent_features(spark, sf_dir):
 _SOLID_SQL = """blocks AS (SELECT a.node, count(*) AS n FROM comp a JOIN px p ON p.pix = a.pix AND p.x < 99 JOIN comp b ON b.pix = a.pix + 1 AND b.node = a.node JOIN comp c ON c.pix = a.pix + 100 AND c.node = a.node JOIN comp d ON d.pix = a.pix + 101 AND d.node = a.node GROUP BY a.node)"""
 
 
-@query(f"{REGIONS}, {_NODE_SQL}, {_SOLID_SQL} SELECT node, area FROM shape LEFT JOIN inner_pairs USING (node) LEFT JOIN blocks USING (node) WHERE area - coalesce(inside, 0) + coalesce(n, 0) = 1")
-def contour_areas(spark, sf_dir):
-    """Contours of all regions without holes (pixels - pairs + blocks = 1), decoded to pixels again; a contour takes in the holes of others."""
+def solid_areas(spark, sf_dir, traced: int):
+    """Pixels in the contours of all regions without holes (pixels - pairs + blocks = 1); a contour takes in the holes of others."""
     from mosaiq.sources.dat import members_of_contours
 
     pixels, members, height = regions_e(spark, sf_dir)
     members = materialize(members)
-    inside = members_of_contours(vector.contours(members, 100, height), 100).groupBy("node").agg(F.count(F.lit(1)).alias("area"))
+    inside = members_of_contours(vector.contours(members, 100, height, traced), 100).groupBy("node").agg(F.count(F.lit(1)).alias("area"))
     beside = lambda step: F.when((F.col("pix") % 100 < 99) | (step == 100), F.col("pix") + step)
     member = lambda k: members.select(F.col("pix").alias(k), F.col("node").alias(f"node{k}"))
     four = members.withColumns({"r": beside(1), "d": beside(100), "rd": beside(101)}).join(member("r"), "r", "left").join(member("d"), "d", "left").join(member("rd"), "rd", "left")
@@ -607,6 +606,12 @@ def contour_areas(spark, sf_dir):
     return inside.join(solid, "node", "left_semi")
 
 
+@query(f"{REGIONS}, {_NODE_SQL}, {_SOLID_SQL} SELECT node, area FROM shape LEFT JOIN inner_pairs USING (node) LEFT JOIN blocks USING (node) WHERE area - coalesce(inside, 0) + coalesce(n, 0) = 1")
+def contour_areas(spark, sf_dir):
+    """Contours of regions without holes, decoded to pixels again."""
+    return solid_areas(spark, sf_dir, vector.TRACED)
+
+
 @query()
 def meanshift_labels(spark, sf_dir):
     pixels = raster_e(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.operators import components, crossings, graph, layers, merge, nesting, ranges, repair, tiling, vector, zonal
 from mosaiq.plans.lineage import materialize
-from mosaiq.queries import _NODE_SQL, DIM, PAIRS, PX, REGION_EDGES, REGIONS, flat_nodes, height_of, layout_e, query, raster_e, raster_p, region_graph_e, table_of
+from mosaiq.queries import _NODE_SQL, DIM, ORACLE_SQL, PAIRS, PX, REGION_EDGES, REGIONS, flat_nodes, height_of, layout_e, query, raster_e, raster_p, region_graph_e, solid_areas, table_of
 from mosaiq.sources import dat
 
 # Crossings.
@@ -57,6 +57,22 @@ def simplified_polygons(spark, sf_dir):
     return made.select("node", F.size("rings").alias("n_rings"), "valid")
 
 
+@query(ORACLE_SQL["contour_areas"])
+def ranked_contour_areas(spark, sf_dir):
+    """As ``contour_areas``, with every contour put in order by joins."""
+    return solid_areas(spark, sf_dir, 0)
+
+
+@query(ORACLE_SQL["arc_lengths"])
+def ranked_arc_lengths(spark, sf_dir):
+    """As ``arc_lengths``, from lines that are all put in order by joins; corners are whole and sides level or upright."""
+    whole, _, layout = region_graph_e(spark, sf_dir)
+    made = vector.arcs(materialize(vector.unit_sides(whole.members, 100, layout.height)), 0)
+    step = lambda k: F.abs(F.col("line")[k + 1]["x"] - F.col("line")[k]["x"]) + F.abs(F.col("line")[k + 1]["y"] - F.col("line")[k]["y"])
+    length = F.aggregate(F.transform(F.sequence(F.lit(0), F.size("line") - 2), step), F.lit(0.0), lambda s, v: s + v)
+    return made.groupBy("lo", "hi").agg(F.sum(length).cast("long").alias("length"))
+
+
 def _patches(spark, sf_dir):
     """Large patches over raster E: neighbouring pixels of nearly equal blocks, as a region graph."""
     whole, pixels, layout = region_graph_e(spark, sf_dir)
