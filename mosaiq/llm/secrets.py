@@ -135,12 +135,12 @@ def battery(run: Column) -> Column:
         equal = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(s) - F.length(F.replace(s, c, F.lit("")))).cast("double"), F.lit(2)))
         return F.struct(F.length(s).cast("double").alias("n"), equal.alias("equal"), switches.alias("switches"), gone(s, "[AEIOUaeiou]").alias("vowels"), gone(s, "[A-Z]").alias("upper"), gone(s, "[a-z]").alias("lower"), gone(s, "[0-9]").alias("digits"))
 
-    def tests(s: Column, c: Column, name: str) -> Column:
-        alphabet = ALPHABETS[name]
-        k, n, letters = len(alphabet), c["n"], c["upper"] + c["lower"]
+    def tests(s: Column, c: Column, e: Column) -> Column:
+        """The battery over a run, what it counts, and its encoding: written once, with the encoding's numbers as values."""
+        k, n, letters, collides = e["k"], c["n"], c["upper"] + c["lower"], e["collides"]
         # Against written language.
-        pairs, due = n * (n - 1) / 2, n * (n - 1) / 2 * COLLIDES[k]
-        p_equal = _normal(((c["equal"] - n) / 2 + 0.5 - due) / F.sqrt(due * (1 - COLLIDES[k]) + pairs * 2 * (n - 2) * CLUMPS * COLLIDES[k] ** 2))
+        pairs, due = n * (n - 1) / 2, n * (n - 1) / 2 * collides
+        p_equal = _normal(((c["equal"] - n) / 2 + 0.5 - due) / F.sqrt(due * (1 - collides) + pairs * 2 * (n - 2) * CLUMPS * e["collides2"]))
         p_vowels = F.when(letters > 0, _normal((c["vowels"] + 0.5 - letters * VOWELS) / F.sqrt(F.greatest(letters, F.lit(1)) * VOWELS * (1 - VOWELS)))).otherwise(1.0)
         p_switches = F.when(c["switches"] > 0, _normal(((n - 1) * SWITCHES + 0.5 - c["switches"]) / F.sqrt((n - 1) * SWITCHES * (1 - SWITCHES)))).otherwise(1.0)
         half_x = -sum((F.log(F.greatest(p, F.lit(1e-90))) for p in (p_equal, p_vowels, p_switches)), F.lit(0.0))
@@ -148,44 +148,42 @@ def battery(run: Column) -> Column:
         apply = 1 + (letters > 0).cast("int") + (c["digits"] > 0).cast("int")
         p_words = bind(half_x, lambda x: F.exp(-x) * (1 + F.when(apply >= 2, x).otherwise(0.0) + F.when(apply >= 3, x * x / 2).otherwise(0.0)))
         # Against random characters; uniformity by the cube-root approximation of chi-squared.
-        shape = 2 / (9 * (k - 1))
-        p_uniform = _normal((1 - shape - F.pow(F.greatest(c["equal"] * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3))) / shape**0.5)
-        half = F.translate(s, alphabet, "0" * (k // 2) + "1" * (k // 2))
-        ones = F.length(F.replace(half, F.lit("0"), F.lit(""))).cast("double")
-        turns = (gone(half, "01") + gone(half, "10")) / 2
-        expected = 2 * ones * (n - ones) / n
-        p_runs = 2 * _normal(-F.abs((turns - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))))
+        p_uniform = _normal((1 - e["shape"] - F.pow(F.greatest(c["equal"] * k / n - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3))) / F.sqrt(e["shape"]))
+
+        def turning(half: Column) -> Column:
+            ones = F.length(F.replace(half, F.lit("0"), F.lit(""))).cast("double")
+            turns = (gone(half, "01") + gone(half, "10")) / 2
+            expected = 2 * ones * (n - ones) / n
+            return 2 * _normal(-F.abs((turns - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))))
 
         def serial(v: Column) -> Column:
             around = bind(product(v) / n, lambda m: F.transform(v, lambda x: x - m))  # once a run: a run may be a whole file
             return bind(around, lambda d: product(F.transform(d, lambda x, i: x * F.coalesce(F.try_element_at(d, i + 2), F.lit(0.0)))) / F.greatest(product(F.transform(d, lambda x: x * x)), F.lit(1e-9)))
 
-        values = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
+        p_runs = bind(F.call_function("translate", s, e["alphabet"], e["halves"]), turning)
+        values = F.transform(F.split(s, ""), lambda c: F.instr(e["alphabet"], c).cast("double"))
         p_serial = 2 * _normal(-F.abs(bind(values, serial)) * F.sqrt(n))
-        kinds = [(seen, size) for seen, size in ((c["upper"], sum(x.isupper() for x in alphabet)), (c["lower"], sum(x.islower() for x in alphabet)), (n - letters, sum(not x.isalpha() for x in alphabet))) if size]
-        uneven = sum(((seen - n * size / k) * (seen - n * size / k) / (n * size / k) for seen, size in kinds), F.lit(0.0))
-        p_kinds = F.exp(-uneven / 2) if len(kinds) == 3 else 2 * _normal(-F.sqrt(uneven))
+        share = lambda seen, size: F.when(size > 0, (seen - n * size / k) * (seen - n * size / k) / (n * size / k)).otherwise(0.0)
+        uneven = share(c["upper"], e["upper"]) + share(c["lower"], e["lower"]) + share(n - letters, e["rest"])
+        p_kinds = bind(uneven, lambda u: F.when((e["upper"] > 0) & (e["lower"] > 0) & (e["rest"] > 0), F.exp(-u / 2)).otherwise(2 * _normal(-F.sqrt(u))))
         told = (4 * F.least(p_uniform, p_runs, p_serial, p_kinds)) < ORDER_LEVEL
         tenth = F.least(F.floor(-10 * F.log10(p_words)), F.lit(MOST_BIN)).cast("int")
-        made = F.struct(F.lit(name).alias("encoding"), F.length(F.bin(F.length(s))).alias("length_class"), F.greatest(tenth, F.lit(0)).alias("bin"))
+        made = F.struct(e["name"].alias("encoding"), F.length(F.bin(F.length(s))).alias("length_class"), F.greatest(tenth, F.lit(0)).alias("bin"))
         return F.when(~told, made)
 
-    def by_encoding(s: Column, c: Column) -> Column:
-        return (
-            F.when(s.rlike("^[0-9a-f]+$"), tests(s, c, "hex"))
-            .when(s.rlike("^[0-9A-F]+$"), tests(s, c, "HEX"))
-            .when(s.rlike("^[A-Z]+$"), tests(s, c, "LETTERS"))
-            .when(s.rlike("^[a-z]+$"), tests(s, c, "letters"))
-            .when(s.rlike("^[A-Z2-7]+$"), tests(s, c, "base32"))
-            .when(s.rlike("^[a-z2-7]+$"), tests(s, c, "base32lower"))
-            .when(s.rlike("^[0-9A-Z]+$"), tests(s, c, "BASE36"))
-            .when(s.rlike("^[0-9a-z]+$"), tests(s, c, "base36"))
-            .when(s.rlike("^[A-Za-z]+$"), tests(s, c, "Letters"))
-            .when(s.rlike("^[A-Za-z0-9+/]+$"), tests(s, c, "base64"))
-            .when(s.rlike("^[A-Za-z0-9_-]+$"), tests(s, c, "base64url"))
-        )
-
-    return bind(F.rtrim(run, F.lit("=")), lambda s: bind(counted(s), lambda c: by_encoding(s, c)))
+    def encoding(s: Column) -> Column:
+        """The smallest alphabet that has all characters, with the numbers that the tests need; null if none has."""
+        fits = {"hex": "0-9a-f", "HEX": "0-9A-F", "LETTERS": "A-Z", "letters": "a-z", "base32": "A-Z2-7", "base32lower": "a-z2-7", "BASE36": "0-9A-Z", "base36": "0-9a-z", "Letters": "A-Za-z", "base64": "A-Za-z0-9+/", "base64url": "A-Za-z0-9_-"}
+        chosen = F
+        for name, characters in fits.items():
+            alphabet = ALPHABETS[name]
+            k = len(alphabet)
+            numbers = {"k": float(k), "collides": COLLIDES[k], "collides2": COLLIDES[k] ** 2, "shape": 2 / (9 * (k - 1)), "upper": sum(x.isupper() for x in alphabet), "lower": sum(x.islower() for x in alphabet), "rest": sum(not x.isalpha() for x in alphabet)}
+            words = {"name": name, "alphabet": alphabet, "halves": "0" * (k // 2) + "1" * (k // 2)}
+            chosen = chosen.when(s.rlike(f"^[{characters}]+$"), F.struct(*[F.lit(v).alias(n) for n, v in (words | numbers).items()]))
+        return chosen
+
+    return bind(F.rtrim(run, F.lit("=")), lambda s: bind(counted(s), lambda c: bind(encoding(s), lambda e: tests(s, c, e))))
 
 
 def pieces(run: Column) -> Column:
