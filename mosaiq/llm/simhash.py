@@ -209,16 +209,19 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return pairs.select("xs", "ys").mapInArrow(compare, "src long, dst long").distinct()
 
 
-def classed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component, component_id)`` for every row; ``component`` is a fingerprint. Fingerprints are computed once and written."""
-    marked = materialize(docs.select("doc_id", simhash(F.col("text")).alias("fp")))
+def classed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``(doc_id, fp, component, component_id)`` for every row; ``component`` is a fingerprint. Fingerprints are computed once and written.
+
+    Columns named in ``more`` are computed with them and come last.
+    """
+    marked = materialize(docs.select("doc_id", simhash(F.col("text")).alias("fp"), *[c.alias(name) for name, c in more.items()]))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(links(distinct)).select(F.col("node").alias("fp"), "component")
     classes = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     # Written, so that the join's sides come straight from a shuffle and a text with very many copies can be split.
     ids = materialize(classes.join(least, "component").select("fp", "component", "component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component", "component_id")
+    return marked.join(ids, "fp").select("doc_id", "fp", "component", "component_id", *more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -226,13 +229,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classed(docs).drop("component")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, one of each component: the one with the smallest id, rows without an id last.
 
+    ``found`` is what ``classed`` tells of ``docs``, if some of its components were joined since.
+
     Of several rows with that id the smallest fingerprint stays, then the smallest XXH64 of the text,
     then of the row, so reruns keep the same row. Null, empty and blank texts are one component.
     """
-    found = materialize(classed(docs))
+    found = materialize(classed(docs)) if found is None else found
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
     kept = materialize(kept)
     unclear = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __id is null").select("__id"))
