@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import mixing, quality_classifier, secrets, simhash
+from mosaiq.llm import mixing, near_texts, quality_classifier, secrets, simhash
 from mosaiq.llm.queries import PREDICTED, byte_tokenizer
 from mosaiq.plans.lineage import materialize, scratch, shared_dir
 
@@ -29,12 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, in the sense of op10: fingerprints of 3-word shingles linked at 3 or fewer bits.
+    """One document of each group of near copies: op10's components, joined where texts of two are similar.
 
+    Fingerprints of 3-word shingles link at 3 or fewer bits; sets of 5-word shingles at a similarity of 0.8 or more.
     The smallest id stays, rows without an id last; of several rows with that id it is settled by fingerprint,
-    text and row. Null, empty and blank texts are one group; an empty table stays empty.
+    text and row. Null, empty and blank texts are one group; an empty table stays empty. Very long texts are
+    compared whole; columns beside ``doc_id`` and ``text`` are not read.
     """
-    return simhash.keep_one(docs)
+    found = materialize(simhash.classed(docs, tid=near_texts.text_id(F.col("text"))))
+    groups = materialize(found.where("tid is not null").groupBy("tid").agg(F.min("component").alias("group")))
+    return simhash.keep_one(docs, materialize(near_texts.joined(found, near_texts.links(docs, groups))))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
