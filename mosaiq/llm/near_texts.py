@@ -8,14 +8,18 @@ Candidates come from ``BANDS`` keys a text, each a hash of ``ROWS`` minima over
 shingles; texts of similarity 0.8 share one with probability 0.998. Texts with fewer words
 than a shingle have their whole sequence as one; those without words have no keys.
 
-Texts equal in words are one row before anything is posted. The texts of a key are not
-compared in all pairs: in round r up to 2^r leaders of a key (the least of each of 2^r
-slots by hash, so they differ from key to key) are compared with all others left in it;
-leaders and those that reach ``LEAST`` with one leave the key. Rounds go on until no key
-has two texts left, so their number grows with the logarithm of the groups in a key, and
-comparisons with texts times groups. Pairs that hang together by earlier links are not
-compared. A text within ``LEAST`` of a leader's follower, but not of the leader, is linked
-by another key they share, whose leaders are others.
+Texts equal in words are one row before anything is posted. Pairs that are alone in their key
+are compared once, however many keys they share. Other keys are compared in cells of about
+``BLOCK`` texts: a task counts the shingles that each two texts of a cell share, and keeps of the
+links only what spans the groups, so a cell yields fewer rows than it has texts.
+
+A key too large for a cell is dealt over cells once. Groups that hang together by links so far
+become one, so of a large family of near copies only outliers are apart. All texts outside a
+key's largest group are then compared with the whole key: rows in proportion to texts times
+blocks of outliers. A key with more outliers than a cell holds (texts that share a passage, but
+are not similar) is made longer by ``BANDS`` further keys, up to ``LEVELS`` times, and starts
+anew; what is still crowded is compared in blocks, whole. No two texts of a key stay uncompared
+but in keys made longer, where texts of similarity 0.8 share one with probability 0.998.
 
 Texts are told apart by a 64-bit hash of their words. Null, empty and blank texts link
 with nothing here; repeated rows are one text; an empty table gives no links.
@@ -27,18 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.text import words
-from mosaiq.operators.components import connected_components
+from mosaiq.operators.components import connected_components, joined_inside
 from mosaiq.plans.lineage import materialize
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 7
 #: Shingles in hand at a time while minima are taken.
 RUN = 4096
+#: Texts of a cell, and bytes of their shingles; times that a crowded key is made longer; shingles that are counted at a time.
+BLOCK, BLOCK_BYTES, LEVELS, WIDTH = 512, 4 << 20, 3, 4096
 
 
 def plain(text: Column) -> Column:
@@ -65,9 +72,9 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.array([digest(raw[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
 
 
-def multipliers() -> tuple[np.ndarray, np.ndarray]:
-    """The odd factors and the summands that make one order of the shingles for each minimum."""
-    rng = np.random.default_rng(SEED)
+def multipliers(level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The odd factors and the summands that make one order of the shingles for each minimum, others at each level."""
+    rng = np.random.default_rng(SEED + level)
     factors, summands = rng.integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64)
     return factors * np.uint64(2) + np.uint64(1), summands
 
@@ -117,6 +124,83 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.join(left, "a").join(right, "b").where(reach(F.col("x"), F.col("y"))).select("a", "b")
 
 
+def reached(parts: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the groups which similar texts join; ``parts`` has each text's shingles, ``groups`` its group."""
+    n = np.array([len(part) for part in parts])
+    every, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), n)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    column = np.cumsum(np.r_[True, every[1:] != every[:-1]]) - 1
+    # A shingle of one text alone adds to no count.
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    both = np.zeros((len(parts), len(parts)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        lo, hi = np.searchsorted(column, (at, at + WIDTH))
+        has = np.zeros((len(parts), int(column[hi - 1]) + 1 - at), np.float32)
+        has[owner[lo:hi], column[lo:hi] - at] = 1
+        both += (has @ has.T).astype(np.int64)
+    near = (both > 0) & (10 * both >= round(10 * LEAST) * (n[:, None] + n - both)) & (groups[:, None] != groups)
+    names, at = np.unique(groups, return_inverse=True)
+    root = joined_inside(len(names), *(at[end] for end in np.nonzero(near)))
+    return names[root != np.arange(len(names))], names[root[root != np.arange(len(names))]]
+
+
+def compared(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(src, dst)``: groups joined by similar texts of one cell; ``cells(key, a, b, tid, group)``."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.zeros(0, np.int64),) * 2]
+            for cell in batch.column(0):
+                groups, texts = cell.values.flatten()
+                found.append(reached([np.frombuffer(t.as_py(), np.uint64) for t in texts], groups.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["src", "dst"])
+
+    texts = cells.join(sets, "tid").groupBy("key", "a", "b").agg(F.collect_list(F.struct("group", "s")).alias("texts"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    return materialize(texts.where("lo != hi").select("texts").mapInArrow(compare, "src long, dst long").distinct())
+
+
+def _blocks(n: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
+
+
+def _told(left: DataFrame) -> DataFrame:
+    """``left(key, tid, group, bytes)`` of keys with several groups, with ``blocks`` (that its texts fill), ``largest`` (group) and ``rest`` (blocks outside it)."""
+    of_group = left.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    most = F.max(F.struct("n", "size", "group"))
+    of_key = of_group.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), most.alias("l"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    of_key = of_key.withColumn("n_rest", F.col("n") - F.col("l.n")).withColumn("size_rest", F.col("size") - F.col("l.size"))
+    # Written before it is joined, so that a large key can be split.
+    of_key = materialize(of_key.select("key", _blocks("n", "size").alias("blocks"), F.col("l.group").alias("largest"), F.greatest(_blocks("n_rest", "size_rest"), F.lit(1)).alias("rest")))
+    return left.select("key", "tid", "group", "bytes").join(of_key, "key")
+
+
+def _outliers_with_all(left: DataFrame) -> DataFrame:
+    """Cells in which each text outside its key's largest group meets every text of the key."""
+    own = lambda n: F.pmod(F.xxhash64("tid"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    whole = F.transform(every("rest"), lambda a: cell(a, own("blocks")))
+    apart = F.transform(every("blocks"), lambda b: cell(own("rest"), b))
+    dealt = F.when(F.col("group") == F.col("largest"), whole).otherwise(F.array_union(whole, apart))
+    return left.withColumn("cell", F.explode(dealt)).select("key", "cell.a", "cell.b", "tid", "group")
+
+
+def _longer(left: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """``left`` with each key in ``BANDS`` longer ones."""
+
+    @F.pandas_udf("array<long>")
+    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        how = multipliers(level)
+        for part in parts:
+            yield pd.Series([bands(np.frombuffer(s, np.uint64), *how) for s in part], dtype=object)
+
+    more = materialize(sets.join(left.select("tid").distinct(), "tid", "left_semi").select("tid", keys(F.col("s")).alias("more")))
+    return left.join(more, "tid").withColumn("more", F.explode("more")).select(F.xxhash64("key", "more").alias("key"), "tid", "group", "bytes")
+
+
 def links(docs: DataFrame, of: DataFrame) -> DataFrame:
     """``(src, dst)``: groups that hang together by similar texts.
 
@@ -127,38 +211,36 @@ def links(docs: DataFrame, of: DataFrame) -> DataFrame:
     several = posted.groupBy("key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo != hi").select("key")
     left = materialize(posted.join(several, "key").join(of, "tid"))
     # Keys whose texts are all of one group have nothing to tell.
-    mixed = left.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi").select("key")
-    left = materialize(left.join(mixed, "key"))
+    of_key = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("a"), F.max("tid").alias("b"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    of_key = materialize(of_key.where("lo != hi").select("key", "n", "a", "b"))
+    pairs = of_key.where("n = 2").select("a", "b").distinct()
+    left = left.join(of_key.select("key", "n"), "key")
 
     @F.pandas_udf("binary")
     def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([shingles(t).tobytes() for t in part], dtype=object)
 
-    sought = told.select("tid", "plain").join(left.select("tid").distinct(), "tid", "left_semi")
-    # Equal texts have equal sets, so any of them will do.
-    sets = materialize(sought.groupBy("tid").agg(F.first("plain").alias("plain")).select("tid", packed(F.col("plain")).alias("s")))
-    found, slots = [], 1
-    while not left.isEmpty():
-        leaders = left.groupBy("key", F.pmod(F.xxhash64("key", "tid"), F.lit(slots)).alias("slot")).agg(F.min(F.struct(F.xxhash64("tid", "key").alias("h"), "tid", "group")).alias("l"))
-        leaders = materialize(leaders.select("key", F.col("l.tid").alias("leader"), F.col("l.group").alias("leads")))
-        met = materialize(left.join(leaders, "key").where("tid != leader"))
-        pairs = met.where("group != leads").select(F.least("tid", "leader").alias("a"), F.greatest("tid", "leader").alias("b")).distinct()
-        near = materialize(similar(pairs, sets))
-        found.append(near)
-        same = met.where("group = leads").select("key", "tid")
-        linked = met.join(near, (F.least("tid", "leader") == F.col("a")) & (F.greatest("tid", "leader") == F.col("b"))).select("key", "tid")
-        gone = leaders.select("key", F.col("leader").alias("tid")).unionByName(linked).unionByName(same).distinct()
-        rest = materialize(left.join(gone, ["key", "tid"], "left_anti"))
-        several = rest.groupBy("key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo != hi").select("key")
-        left, slots = materialize(rest.join(several, "key")), 2 * slots
-    if not found:
-        return of.select(F.col("group").alias("src"), F.col("group").alias("dst")).where("false")
-    every = found[0]
-    for near in found[1:]:
-        every = every.unionByName(near)
+    # Equal texts have equal sets, so any of them will do; they are made one before they are joined, as there may be very many.
+    sought = told.groupBy("tid").agg(F.first("plain").alias("plain")).join(left.select("tid").distinct(), "tid", "left_semi")
+    sets = materialize(sought.select("tid", packed(F.col("plain")).alias("s")))
     end = lambda name, tid: of.select(F.col("tid").alias(tid), F.col("group").alias(name))
-    return every.join(end("src", "a"), "a").join(end("dst", "b"), "b").where("src != dst").select("src", "dst").distinct()
+    every = materialize(similar(pairs, sets).join(end("src", "a"), "a").join(end("dst", "b"), "b").select("src", "dst"))
+    left = materialize(_told(left.where("n > 2").join(sets.select("tid", F.octet_length("s").cast("long").alias("bytes")), "tid")))
+    for level in range(1, LEVELS + 2):
+        one = F.pmod(F.xxhash64("tid"), F.col("blocks"))
+        every = every.unionByName(compared(left.select("key", F.lit(0).alias("a"), one.alias("b"), "tid", "group"), sets))
+        left = left.where("blocks > 1")
+        if left.isEmpty():
+            break
+        left = materialize(_told(joined(left.withColumnRenamed("group", "component"), every).withColumnRenamed("component", "group")))
+        crowded = (F.col("rest") > 1) & F.lit(level <= LEVELS)
+        every = every.unionByName(compared(_outliers_with_all(left.where(~crowded)), sets))
+        left = left.where(crowded)
+        if left.isEmpty():
+            break
+        left = materialize(_told(_longer(left, sets, level)))
+    return every.where("src != dst").distinct()
 
 
 def joined(found: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -101,6 +101,67 @@ def test_similarity_is_exact_at_the_limit(spark):
     assert sorted(map(tuple, n.similar(pairs, sets).collect())) == [(0, 1), (0, 3), (1, 2)]
 
 
+def test_links_of_a_cell_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.choice(10**6, 300, replace=False).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(200, 300)], rng.integers(10**6, 10**7, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(60)]
+    sets += [np.arange(80, dtype=np.uint64), np.arange(100, dtype=np.uint64), np.arange(1, 81, dtype=np.uint64), np.array([5], np.uint64)]
+    groups = rng.integers(-20, 20, len(sets))
+    for width in (n.WIDTH, 7):
+        monkeypatch.setattr(n, "WIDTH", width)
+        at = {int(g): int(g) for g in groups}
+        for src, dst in zip(*n.reached(sets, groups)):
+            at = {g: min(at[int(src)], at[int(dst)]) if c in (at[int(src)], at[int(dst)]) else c for g, c in at.items()}
+        told = {int(g): int(g) for g in groups}
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                if both and 10 * both >= 8 * (len(x) + len(sets[j]) - both):
+                    a, b = told[int(groups[i])], told[int(groups[j])]
+                    told = {g: min(a, b) if c in (a, b) else c for g, c in told.items()}
+        assert at == told and len(set(at.values())) < len(at)
+
+
+def test_crowded_keys_lose_nothing(spark, monkeypatch):
+    """Small cells: keys are dealt, told again, made longer and compared in blocks; groups are those of all pairs."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    family, passage = rng.choices(vocabulary, k=150), rng.choices(vocabulary, k=150)
+    texts = [" ".join(edited(rng, family, rng.randint(1, 4))) for _ in range(120)]
+    texts += [" ".join(rng.choices(vocabulary, k=10) + passage + rng.choices(vocabulary, k=40)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = simhash.classed(docs, tid=n.text_id(F.col("text"))).cache()
+    groups = {r.doc_id: r.component for r in found.collect()}
+    of = found.groupBy("tid").agg(F.min("component").alias("group"))
+    levels = []
+    monkeypatch.setattr(n, "BLOCK", 8)
+    monkeypatch.setattr(n, "_longer", lambda left, sets, level, f=n._longer: levels.append(level) or f(left, sets, level))
+    told = {r.doc_id: r.component for r in n.joined(found, n.links(docs, of)).collect()}
+    ids = range(len(texts))
+    whole, pairs = brute(texts, [groups[i] for i in ids])
+    assert levels and len(pairs) > 1000
+    assert all(whole[i] == whole[j] for i in ids for j in ids if told[i] == told[j])
+    assert sum(told[i] != told[j] for i, j in pairs) <= 0.002 * len(pairs)
+
+
+def test_rows_of_a_family_grow_with_its_texts(spark, monkeypatch):
+    """Four times the near copies in the same keys: what joins and deals make grows in proportion, not with the square."""
+    rng = random.Random(6)
+    family = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    monkeypatch.setattr(n, "BLOCK", 16)
+    made = []
+    monkeypatch.setattr(n, "compared", lambda cells, sets, f=n.compared: made.append(cells.count()) or f(cells, sets))
+    rows = []
+    for copies in (60, 240):
+        texts = [" ".join(edited(rng, family, 1 + k % 2)) for k in range(copies)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        of = docs.select(n.text_id(F.col("text")).alias("tid"), F.col("doc_id").alias("group")).groupBy("tid").agg(F.min("group").alias("group"))
+        made.clear()
+        assert n.joined(of.withColumnRenamed("group", "component"), n.links(docs, of)).select("component").distinct().count() == 1
+        rows.append(sum(made))
+    assert rows[1] <= 6 * rows[0]
+
+
 def test_long_texts_in_runs(monkeypatch):
     text, how = " ".join(f"w{k * k % 313}x{k % 97}" for k in range(5000)), n.multipliers()
     whole = n.bands(n.shingles(text), *how)
