@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm import mixing, near_texts, quality_classifier, secrets, simhash
 from mosaiq.llm.queries import PREDICTED, byte_tokenizer
-from mosaiq.plans.lineage import materialize, scratch, shared_dir
+from mosaiq.plans.lineage import materialize, scratch, settled, shared_dir
 
 #: SQL can express neither the trained score nor the tokenizer, so tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -36,9 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text and row. Null, empty and blank texts are one group; an empty table stays empty. Very long texts are
     compared whole; columns beside ``doc_id`` and ``text`` are not read.
     """
-    found = materialize(simhash.classed(docs, tid=near_texts.text_id(F.col("text"))))
-    groups = materialize(found.where("tid is not null").groupBy("tid").agg(F.min("component").alias("group")))
-    return simhash.keep_one(docs, materialize(near_texts.joined(found, near_texts.links(docs, groups))))
+
+    def classes() -> DataFrame:
+        found = materialize(simhash.classed(docs, tid=near_texts.text_id(F.col("text"))))
+        groups = materialize(found.where("tid is not null").groupBy("tid").agg(F.min("component").alias("group")))
+        return near_texts.joined(found, near_texts.links(docs, groups))
+
+    return simhash.keep_one(docs, settled(spark, classes))
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

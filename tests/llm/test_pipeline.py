@@ -4,6 +4,7 @@ import re
 import corpus_pipeline as p
 from mosaiq.llm import mixing, quality_classifier, simhash
 from mosaiq.llm.queries import byte_tokenizer
+from mosaiq.plans import lineage
 from tests.llm.test_near_texts import brute
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -61,3 +62,10 @@ def test_odd_rows(spark, odd, empty, sf_dir):
     coded = kept(p.tokens, odd)
     assert len(coded) == odd.count() and all((r.n_tokens == 0) == (not r.text) and len(r.token_ids) == 4 * r.n_tokens for r in coded)
     assert [len(kept(stage, empty)) for _, stage in p.STAGES] == [0] * 5
+
+
+def test_near_dedup_leaves_few_tables(spark, documents, tmp_path, monkeypatch):
+    """Later stages have the disk for themselves: of what near-dedup writes on the way only tables that its result reads stay."""
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: str(tmp_path))
+    kept = p.near_dedup(spark, documents.limit(200), "")
+    assert kept.count() > 0 and len(list(tmp_path.iterdir())) <= 3
