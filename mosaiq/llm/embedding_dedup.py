@@ -18,8 +18,10 @@ points stay whole, as a product of matrices is cheaper there.
 
 Pairs of nodes go down level by level as joins of parent and child tables, and end where
 they are pruned or linked throughout, at whatever level. Surviving pairs of leaves are
-traversed together, dealt out in tiles of leaves. Counts are added up by node, leaf and
-tile, and a pair of leaves yields only links between parts that aren't known as connected
+traversed together, dealt out in tiles of leaves that follow each other in the tree of one
+label, so a leaf is sent out once for each tile of its label at most. Vectors keep their
+own precision until a task scales them, so tables and shuffles hold no wider numbers than
+the input. Counts are added up by node, leaf and tile, and a pair of leaves yields only links between parts that aren't known as connected
 inside a leaf, so a group of near copies makes about as many rows as it has members.
 
 Equal vectors of a label are one class from the start. Vectors that are null, zero, of
@@ -32,23 +34,29 @@ other. An empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mosaiq.llm.forest import spanning_forest
 from mosaiq.operators.components import connected_components
-from mosaiq.plans.lineage import Rounds, materialize
+from mosaiq.plans.lineage import Rounds, materialize, settled
 from mosaiq.plans.ranking import unit
 
 THRESHOLD = 0.93
 #: Points of a leaf; children of an upper node; sampled points that its centres come from; points assigned in a task.
 LEAF, CHILDREN, SAMPLE, PORTION = 512, 64, 256, 512
 MOST_SPLITS = 8
-#: Leaves on a side of a tile, whose pairs are compared in one task.
-TILE = 16
+#: Leaves on a side of a tile, whose pairs are compared in one task: the least, and the most where a label has more than ``SIDE`` tiles.
+TILE, MOST_TILE, SIDE = 16, 128, 6
+#: Columns of tiles whose leaves are sent out at a time, so that their copies take a few times the disk of the leaves, however many tiles there are.
+WAVE = 2
+#: What names a pair of tiles.
+TILES = ["root", "ta", "tb"]
 #: Points that children of a leaf's node have on average, or it isn't split.
 FEW = 8
 #: Slack of bounds against rounding; what lies within it is decided by the cosine itself.
@@ -73,17 +81,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Each row at length 1, in doubles, as ``scaled`` does."""
+    rows = rows.astype(float)
+    rows /= np.abs(rows).max(1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
 def split_nodes(points: DataFrame) -> DataFrame:
-    """``points`` with ``node`` a path of centres from its root, leaves of about ``LEAF`` points."""
+    """``points(rep, m, node, v)`` with ``node`` a path of centres from its root, leaves of about ``LEAF`` points; ``v`` of any length."""
 
     def centres(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         """The node's own centre, then the point farthest from all so far, until the radius has halved or there are enough."""
         part = part.sort_values("rep").reset_index(drop=True)
-        v, most = _matrix(part["v"]), int(part["k"].iloc[0])
+        v, most = _units(_matrix(part["v"])), int(part["k"].iloc[0])
         chosen = [int((part["rep"].astype(str) == key[0].rpartition(".")[2]).to_numpy().argmax())]
         far = _apart(v, v[chosen])[:, 0]
         stop = far.max() / 2
@@ -96,11 +111,12 @@ def split_nodes(points: DataFrame) -> DataFrame:
         part = part[["rep", "m", "node", "v"]]
         if len(around) and len(part):
             around = around.sort_values("child")
-            near = _apart(_matrix(part["v"]), _matrix(around["centre"])).argmin(1)
+            near = _apart(_units(_matrix(part["v"])), _matrix(around["centre"])).argmin(1)
             part = part.assign(node=[f"{n}.{around['child'].iloc[k]}" for n, k in zip(part["node"], near)])
         return part
 
-    rounds, schema = Rounds(points.sparkSession), "rep long, m long, node string, v array<double>"
+    kind = points.schema["v"].dataType.simpleString()
+    rounds, schema = Rounds(points.sparkSession), f"rep long, m long, node string, v {kind}"
     for _ in range(MOST_SPLITS):
         sizes = materialize(points.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF))
         if sizes.isEmpty():
@@ -208,12 +224,20 @@ def traverse(a: Tree, b: Tree, va: np.ndarray, vb: np.ndarray, threshold: float,
     return near if near is not None and near.any() else None
 
 
+def _precision(vector: T.ArrayType) -> str:
+    """The numpy type in which vectors are kept."""
+    return "<f4" if isinstance(vector.elementType, T.FloatType) else "<f8"
+
+
 def pack(points: DataFrame, threshold: float) -> DataFrame:
     """A row a leaf: its bounds, points and tree, its points' links inside it (``own``) and the first point of their components there (``roots``)."""
 
+    precision = _precision(points.schema["v"].dataType)
+
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rep")
-        v = _matrix(part["v"])
+        raw = np.stack(part["v"].to_numpy()).astype(precision)
+        v = _units(raw)
         order, tree = cover_tree(v)
         v, reps, ms = v[order], part["rep"].to_numpy(np.int64)[order], part["m"].to_numpy(np.int64)[order]
         centre = v.mean(0)
@@ -223,7 +247,7 @@ def pack(points: DataFrame, threshold: float) -> DataFrame:
             own = near @ ms
             for i, j in spanning_forest(near, True):  # each component in turn, from its root on
                 roots[j] = roots[i]
-        return pd.DataFrame({"node": [key[0]], "centre": [centre], "radius": [radius], "m": [ms.sum()], "rep": [reps[0]], "reps": [reps], "ms": [ms], "own": [own], "roots": [roots], "vs": [v.tobytes()], "tree": [tree.packed()]})
+        return pd.DataFrame({"node": [key[0]], "centre": [centre], "radius": [radius], "m": [ms.sum()], "rep": [reps[0]], "reps": [reps], "ms": [ms], "own": [own], "roots": [roots], "vs": [raw[order].tobytes()], "tree": [tree.packed()]})
 
     return points.groupBy("node").applyInPandas(one, "node string, centre array<double>, radius double, m long, rep long, reps array<long>, ms array<long>, own array<long>, roots array<int>, vs binary, tree binary")
 
@@ -280,7 +304,23 @@ def upper_pairs(leaves: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     return found, ancestors.join(gains, "node").select("leaf", "rep", (F.col("gain") - F.col("itself") * F.col("m")).alias("gain"))
 
 
-def compare_leaves(pairs: DataFrame, leaves: DataFrame, threshold: float) -> DataFrame:
+def tiled_pairs(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` of leaves with their ``root`` and the tiles ``ta`` and ``tb``: leaves of a root that follow each other by path."""
+    of_root = Window.partitionBy("root")  # a row a leaf
+    size = F.least(F.greatest(F.ceil(F.count(F.lit(1)).over(of_root) / SIDE), F.lit(TILE)), F.lit(MOST_TILE))
+    placed = leaves.select("node", F.substring_index("node", ".", 1).alias("root"))
+    tiles = materialize(placed.select("node", "root", F.floor((F.row_number().over(of_root.orderBy("node")) - 1) / size).alias("tile")))
+    of = lambda s: tiles.select(F.col("node").alias(s), F.col("tile").alias(f"t{s}"), *["root"] * (s == "a"))
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(*TILES, "a", "b")
+
+
+def shipped_leaves(tiled: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The leaves that each pair of tiles needs, once."""
+    needed = tiled.select(*TILES, F.explode(F.array("a", "b")).alias("node")).distinct()
+    return needed.join(leaves.select("node", "reps", "ms", "roots", "vs", "tree"), "node")
+
+
+def compare_leaves(pairs: DataFrame, leaves: DataFrame, threshold: float, precision: str = "<f8") -> DataFrame:
     """``(src, dst, links)``: link counts of classes (``dst`` null), and links that span the components of each pair's parts."""
 
     def compare(key: tuple, pairs: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
@@ -288,7 +328,7 @@ def compare_leaves(pairs: DataFrame, leaves: DataFrame, threshold: float) -> Dat
         for r in leaves.itertuples():
             roots, part = np.unique(np.asarray(r.roots), return_inverse=True)
             by_part = np.argsort(part, kind="stable")
-            known[r.node] = (np.asarray(r.reps), np.asarray(r.ms), np.frombuffer(r.vs).reshape(len(r.reps), -1), Tree.unpacked(r.tree), roots, by_part, np.searchsorted(part[by_part], np.arange(len(roots))), np.zeros(len(r.reps), np.int64))
+            known[r.node] = (np.asarray(r.reps), np.asarray(r.ms), _units(np.frombuffer(r.vs, precision).reshape(len(r.reps), -1)), Tree.unpacked(r.tree), roots, by_part, np.searchsorted(part[by_part], np.arange(len(roots))), np.zeros(len(r.reps), np.int64))
         src, dst = [], []
         for a, b in sorted(zip(pairs["a"], pairs["b"])):
             (ra, ma, va, ta, fa, oa, sa, na), (rb, mb, vb, tb, fb, ob, sb, nb) = known[a], known[b]
@@ -306,23 +346,34 @@ def compare_leaves(pairs: DataFrame, leaves: DataFrame, threshold: float) -> Dat
         rows = [*zip(src, dst, [0] * len(src)), *[(int(r), None, int(n)) for reps, ns in counted for r, n in zip(reps, ns)]]
         return pd.DataFrame(rows, columns=["src", "dst", "links"]).astype("Int64")
 
-    groups = F.greatest(F.ceil(F.lit(leaves.count()) / TILE), F.lit(1))
-    tiled = materialize(pairs.select("a", "b", *[F.pmod(F.xxhash64(s), groups).cast("int").alias(f"tile_{s}") for s in "ab"]))
-    needed = tiled.select(F.col("tile_a").alias("ta"), F.col("tile_b").alias("tb"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    shipped = needed.join(leaves.select("node", "reps", "ms", "roots", "vs", "tree"), "node")
-    return tiled.groupBy("tile_a", "tile_b").cogroup(shipped.groupBy("ta", "tb")).applyInPandas(compare, "src long, dst long, links long")
+    tiled = materialize(tiled_pairs(pairs, leaves))
+
+    def wave(at: int) -> DataFrame:
+        part = tiled.where(F.col("ta").between(at, at + WAVE - 1))
+        shipped = shipped_leaves(part, leaves).withColumnsRenamed({c: f"{c}_of" for c in TILES})
+        return part.groupBy(*TILES).cogroup(shipped.groupBy(*[f"{c}_of" for c in TILES])).applyInPandas(compare, "src long, dst long, links long")
+
+    last = tiled.agg(F.max("ta")).first()[0] or 0
+    return reduce(DataFrame.unionByName, [settled(tiled.sparkSession, lambda at=at: wave(at)) for at in range(0, last + 1, WAVE)])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
+    spark = vectors.sparkSession
+    return settled(spark, lambda: _near_vectors(spark, vectors, threshold))
+
+
+def _near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float) -> DataFrame:
     rows = vectors.select("vec_id", "label", "embedding", (usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("fit"))
     classes = materialize(rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")))
     # In hexadecimal, so that no label holds the dots of a path and different labels never share a root.
     root = F.concat_ws("/", F.hex(F.col("label").cast("string").cast("binary")), F.size("embedding").cast("string"))
-    points = materialize(classes.select("rep", "m", root.alias("node"), scaled(F.col("embedding")).alias("v")))
-    leaves = materialize(pack(split_nodes(points), threshold))
+    narrow = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    points = classes.select("rep", "m", root.alias("node"), F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("v"))
+    # What each step writes on its way goes with it, vectors above all.
+    leaves = settled(spark, lambda: pack(split_nodes(points), threshold))
     pairs, above = upper_pairs(leaves, (2 - 2 * threshold) ** 0.5)
-    above, compared = materialize(above), materialize(compare_leaves(pairs, leaves, threshold))
+    above, compared = materialize(above), compare_leaves(pairs, leaves, threshold, _precision(points.schema["v"].dataType))
     member = F.explode(F.arrays_zip("reps", "own", F.transform("roots", lambda k: F.element_at("reps", k + 1)).alias("root"))).alias("p")
     inside = materialize(leaves.select("node", F.col("rep").alias("first"), member).select("node", "first", F.col("p.reps").alias("rep"), F.col("p.own").alias("own"), F.col("p.root").alias("root")))
     gained = inside.join(above.groupBy(F.col("leaf").alias("node")).agg(F.sum("gain").alias("gain")), "node", "left")

@@ -97,3 +97,30 @@ def test_labels_of_similar_names_stay_apart(spark):
     rows = [(1, [1.0, 0.0], "a.b"), (2, [1.0, 0.01], "a_b"), (3, [1.0, 0.02], "a.b"), (4, [1.0, 0.0], "a/b"), (5, [1.0, 0.0], "")]
     got = e.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
     check(got, {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5)})
+
+
+def test_vectors_are_sent_out_within_their_label_and_nothing_stays(spark, monkeypatch):
+    """A leaf goes to the pairs of its own label's tiles, floats stay floats, and only the result's table is left."""
+    import os
+
+    from mosaiq.plans.lineage import shared_dir
+
+    monkeypatch.setattr(e, "LEAF", 8)
+    monkeypatch.setattr(e, "TILE", 2)
+    rng = np.random.default_rng(3)
+    v, label = rng.normal(0, 1, (240, 6)).astype(np.float32), [k % 6 for k in range(240)]
+    df = spark.createDataFrame([(k, x.tolist(), c) for k, (x, c) in enumerate(zip(v, label))], "vec_id long, embedding array<float>, label int")
+    shipped, sent = [], e.shipped_leaves
+
+    def watched(tiled, leaves):
+        rows = sent(tiled, leaves)
+        shipped.append((rows.collect(), leaves.count()))
+        return rows
+
+    monkeypatch.setattr(e, "shipped_leaves", watched)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    check(e.near_vectors(df).collect(), brute(v, label, range(240)))
+    rows, n = [r for wave, _ in shipped for r in wave], shipped[0][1]
+    assert len(shipped) > 1 and n > 40 and all(len(r.vs) == 4 * 6 * len(r.reps) for r in rows)
+    assert len(rows) <= n * (e.SIDE + 2) and all(len(wave) <= 3 * e.WAVE * n for wave, _ in shipped)
+    assert len(set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before) == 1
