@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.forest import spanning_forest
 from mosaiq.operators.components import connected_components
-from mosaiq.plans.lineage import materialize
+from mosaiq.plans.lineage import materialize, unsized
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 3
 #: Fingerprints of a side that are compared at once; of a key, before it is made longer.
@@ -158,18 +158,18 @@ MEETS = "n_index > 0 and n_met > 0 and lo != hi"
 def counted(sides: DataFrame) -> DataFrame:
     """``sides(key, fp, looks_up)`` with ``n_index`` and ``n_met`` of their key, where a fingerprint may meet another."""
     sizes = sides.groupBy("key").agg(F.count(F.when(~F.col("looks_up"), 1)).alias("n_index"), F.count(F.when(F.col("looks_up"), 1)).alias("n_met"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    return sides.join(materialize(sizes.where(MEETS).select("key", "n_index", "n_met")), "key")
+    return unsized(sides).join(materialize(sizes.where(MEETS).select("key", "n_index", "n_met")), "key")
 
 
 def shared_keys(fingerprints: DataFrame) -> list[DataFrame]:
     """Tables ``(key, fp, looks_up, n_index, n_met)`` of keys by which fingerprints may meet others; crowded ones are made longer."""
-    index = postings(fingerprints, False)
+    index = postings(fingerprints, False)  # many rows a fingerprint, so joins of these must not go by their planned size
     # Tables are written before they are joined: both sides then come straight from a shuffle, and large keys can be split.
     there = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n_index"), F.min("fp").alias("least"), F.max("fp").alias("most")))
-    met = materialize(postings(fingerprints, True).join(there, "key"))
+    met = materialize(unsized(postings(fingerprints, True)).join(there, "key"))
     of_key = [F.first("n_index").alias("n_index"), F.count(F.lit(1)).alias("n_met"), F.min(F.least("fp", "least")).alias("lo"), F.max(F.greatest("fp", "most")).alias("hi")]
     sizes = materialize(met.groupBy("key").agg(*of_key).where(MEETS).select("key", "n_index", "n_met"))
-    sides = materialize(index.withColumn("looks_up", F.lit(False)).unionByName(met.select("key", "fp", F.lit(True).alias("looks_up"))).join(sizes, "key"))
+    sides = materialize(unsized(index.withColumn("looks_up", F.lit(False)).unionByName(met.select("key", "fp", F.lit(True).alias("looks_up")))).join(sizes, "key"))
     is_crowded, out = F.greatest("n_index", "n_met") > CROWDED, []
     for pieces in PIECES:
         crowded = sides.where(is_crowded)

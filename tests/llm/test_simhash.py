@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mosaiq.llm import simhash as s
 from mosaiq.llm.queries import op10_simhash
@@ -124,3 +125,17 @@ def test_long_texts_in_runs(monkeypatch):
     whole = s.fingerprint(text.encode())
     monkeypatch.setattr(s, "RUN", 64)
     assert s.fingerprint(text.encode()) == whole == int(np.uint64(plain(text)).view(np.int64))
+
+
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """A fingerprint has some sixty keys, but Spark plans with one; sides of such rows must not be sent to the driver."""
+    plans, write = [], s.materialize
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(s, "materialize", watched)
+    df = spark.range(500).select((F.col("id") * 7).alias("fp"))
+    assert s.shared_keys(df) and sum("Join" in p for p in plans) > 1
+    assert not any("Broadcast" in p for p in plans)

@@ -135,6 +135,19 @@ def test_components_with_hubs(spark, monkeypatch):
         assert {r.node: r.component for r in c.connected_components(df).collect()} == {x: find(x) for x in linked}
 
 
+def test_what_is_broadcast_is_small(spark):
+    from mosaiq.plans.lineage import BROADCAST, sized, unsized
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    with sized(spark):
+        assert int(spark.conf.get(name)) == BROADCAST
+    assert spark.conf.get(name) == before
+    few, many = spark.range(10), spark.range(100).selectExpr("explode(sequence(0, 99)) as id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(many.join(few, "id")) and "Broadcast" not in plan(unsized(many).join(few, "id"))
+
+
 def test_scratch_deletes_what_it_wrote(spark):
     import os
 
