@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm import mixing, near_texts, quality_classifier, secrets, simhash
 from mosaiq.llm.queries import PREDICTED, byte_tokenizer
-from mosaiq.plans.lineage import materialize, scratch, settled, shared_dir
+from mosaiq.plans.lineage import materialize, scratch, settled, shared_dir, sized
 
 #: SQL can express neither the trained score nor the tokenizer, so tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -88,7 +88,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        with scratch(spark):
+        with scratch(spark), sized(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
     return docs

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.text import words
 from mosaiq.operators.components import connected_components, joined_inside
-from mosaiq.plans.lineage import materialize
+from mosaiq.plans.lineage import materialize, unsized
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 7
@@ -158,7 +158,7 @@ def compared(cells: DataFrame, sets: DataFrame) -> DataFrame:
                 found.append(reached([np.frombuffer(t.as_py(), np.uint64) for t in texts], groups.to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["src", "dst"])
 
-    texts = cells.join(sets, "tid").groupBy("key", "a", "b").agg(F.collect_list(F.struct("group", "s")).alias("texts"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    texts = unsized(cells).join(sets, "tid").groupBy("key", "a", "b").agg(F.collect_list(F.struct("group", "s")).alias("texts"), F.min("group").alias("lo"), F.max("group").alias("hi"))
     return materialize(texts.where("lo != hi").select("texts").mapInArrow(compare, "src long, dst long").distinct())
 
 
@@ -174,7 +174,7 @@ def _told(left: DataFrame) -> DataFrame:
     of_key = of_key.withColumn("n_rest", F.col("n") - F.col("l.n")).withColumn("size_rest", F.col("size") - F.col("l.size"))
     # Written before it is joined, so that a large key can be split.
     of_key = materialize(of_key.select("key", _blocks("n", "size").alias("blocks"), F.col("l.group").alias("largest"), F.greatest(_blocks("n_rest", "size_rest"), F.lit(1)).alias("rest")))
-    return left.select("key", "tid", "group", "bytes").join(of_key, "key")
+    return unsized(left.select("key", "tid", "group", "bytes")).join(of_key, "key")
 
 
 def _outliers_with_all(left: DataFrame) -> DataFrame:
