@@ -30,6 +30,15 @@ def test_query_and_sql(spark, sql, sf_dir, name):
     assert sorted(tuple(r) for r in df.select(columns).collect()) == expected
 
 
+def test_tiles_of_a_high_raster(spark, tmp_path):
+    """More than a hundred rows of tiles: the SQL has them all."""
+    spark.createDataFrame([(k, "a", 1.0, 1) for k in range(0, 100 * 30 * 120, 1000)], "event_id long, event_type string, value double, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    expected = c.execute(q.ORACLE_SQL["tiles"]).fetchall()
+    assert len(expected) == 4 * 120 and sorted(expected) == sorted(tuple(r) for r in q.QUERIES["tiles"](spark, str(tmp_path)).collect())
+
+
 def test_queries_without_sql(spark, sf_dir):
     """What they give is held against what must be so; merging to its end and mean shift have tests of their own."""
     rows = {name: q.QUERIES[name](spark, sf_dir).collect() for name in sorted(set(q.QUERIES) - set(q.ORACLE_SQL) - SLOW)}
