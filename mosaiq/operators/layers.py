@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.operators.crossings import CELL, cells, segments, side_of
 from mosaiq.operators.vector import Simplifier, arcs, douglas_peucker, plane_lines, polygons
-from mosaiq.plans.lineage import materialize
+from mosaiq.plans.lineage import materialize, unsized
 
 
 def signed_area(ring: Column) -> Column:
@@ -41,7 +41,7 @@ def cut_at_corners(sides: DataFrame, keys: list[str]) -> DataFrame:
     at_end = ((px == x0) & (py == y0)) | ((px == x1) & (py == y1))
     on = (side_of(x0, y0, x1, y1, px, py) == 0) & px.between(F.least(x0, x1), F.greatest(x0, x1)) & py.between(F.least(y0, y1), F.greatest(y0, y1)) & ~at_end
     along = F.abs(px - x0) + F.abs(py - y0)
-    cuts = passed.join(placed, ["cx", "cy"]).where(on).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(along.alias("d"), px.alias("x"), py.alias("y")))).alias("cuts"))
+    cuts = unsized(passed).join(placed, ["cx", "cy"]).where(on).groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(along.alias("d"), px.alias("x"), py.alias("y")))).alias("cuts"))
     point = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
     line = F.concat(F.array(point(x0, y0)), F.coalesce(F.transform("cuts", lambda c: point(c["x"], c["y"])), F.array().cast("array<struct<x:bigint,y:bigint>>")), F.array(point(x1, y1)))
     return segments(sides.join(cuts, keys, "left").select(*keys, line.alias("line")), keys).drop("k")

@@ -13,14 +13,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.crossings import CELL, cells, meet, segments, side_of
 from mosaiq.operators.layers import signed_area
+from mosaiq.operators.outlines import SIDE
 from mosaiq.operators.ranges import overlapping
 from mosaiq.operators.vector import LINE, per_group, points_of, ring_area
-from mosaiq.plans.lineage import materialize
+from mosaiq.plans.lineage import materialize, unsized
 
 #: Crossing points have this many places to a pixel.
 GRID = 1 << 20
@@ -32,16 +33,29 @@ def _own_segments(layer: DataFrame, key: str) -> DataFrame:
     return segments(rings, ["id", "ring"]).where("x0 != x1 or y0 != y1").withColumn("n", F.struct("ring", "k")).drop("ring", "k")
 
 
+#: Sides of a feature up to which all are held against all; those of larger ones meet by grid cells.
+FEW = 64
+
+
+def _meeting(sides: DataFrame) -> DataFrame:
+    """Pairs of different sides of one feature that meet, as ``a_*`` and ``b_*`` with ``a_n < b_n``; a pair may come several times."""
+    few = F.count(F.lit(1)).over(Window.partitionBy("id")) <= FEW
+    one = F.array(F.struct(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")))
+    here = F.when(few, one).otherwise(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), CELL))
+    dealt = sides.withColumn("cells", here).select("*", F.explode("cells").alias("cell")).select("id", "n", *SIDE, "cell.cx", "cell.cy")
+    named = lambda name: dealt.select("id", "cx", "cy", *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SIDE)])
+    return unsized(named("a")).join(named("b"), ["id", "cx", "cy"]).where((F.col("a_n") < F.col("b_n")) & meet()).drop("cx", "cy")
+
+
 def _near_pairs(sides: DataFrame) -> DataFrame:
-    """Pairs of different sides of one feature that meet, both ways round, as ``a_*`` and ``b_*``."""
-    here = cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), CELL)
-    named = lambda name: sides.select("id", *[F.col(c).alias(f"{name}_{c}") for c in ("n", "x0", "y0", "x1", "y1")], F.explode(here).alias("cell"))
-    return named("a").join(named("b"), ["id", "cell"]).where((F.col("a_n") != F.col("b_n")) & meet()).drop("cell").distinct()
+    """Pairs of different sides of one feature that meet, each once and both ways round, as ``a_*`` and ``b_*``."""
+    way = lambda a, b: F.struct(*[F.col(f"{x}_{c}").alias(f"{y}_{c}") for x, y in ((a, "a"), (b, "b")) for c in ("n", *SIDE)])
+    return _meeting(sides).distinct().select("id", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("p")).select("id", "p.*")
 
 
 def faulty_features(layer: DataFrame, key: str = "start") -> DataFrame:
     """``(id)`` of features with sides that meet elsewhere than at ends of both, open rings, or no area."""
-    crossing = _near_pairs(_own_segments(layer, key)).select("id")
+    crossing = _meeting(_own_segments(layer, key)).select("id")
     broken = F.exists("rings", lambda r: (F.size(r) < 4) | (r[0] != F.element_at(r, -1)) | (signed_area(r) == 0))
     return crossing.union(layer.where(broken | (F.size("rings") == 0)).select(F.col(key).alias("id"))).distinct()
 
