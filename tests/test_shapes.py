@@ -39,6 +39,17 @@ def test_crossing_pairs_against_all_pairs(spark):
     assert crossings.crossing_pairs(far, far, size=50_000).count() == 2 * meets(*made[-2:])
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_many_pairs_of_few_rows_are_dealt_by_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(crossings, "BLOCK", block)
+    rows = spark.createDataFrame([(k, 0, k % 9, 0, 9 - k % 7, 9) for k in range(80)], "id long, k int, x0 long, y0 long, x1 long, y1 long")
+    made = crossings.crossing_pairs(rows, rows, once=True)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    found = [(r.a, r.b) for r in made.collect()]
+    both = {(r.a, r.b) for r in crossings.crossing_pairs(rows, rows).collect()}
+    assert len(found) == len(set(found)) > 500 and set(found) == {p for p in both if p[0] < p[1]} and len(both) == 2 * len(found)
+
+
 def smooth(width, height, seed, levels=2, passes=3):
     """Rows of letters in large patches of winding outline."""
     values = np.random.default_rng(seed).random((height, width))
@@ -347,6 +358,21 @@ def test_repaired_polygons_are_the_even_odd_fill(spark):
         assert abs(area - even_odd_area(rings)) < 0.02, k
 
 
+def test_sides_of_features_are_not_broadcast(spark):
+    layer = layer_of(spark, FAULTY)
+    for df in (repair.faulty_features(layer), repair.fill_edges(layer)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_of_few_and_of_many_sides(spark, monkeypatch):
+    """Sides of small features meet each other at once, those of large ones by cells: the same rows."""
+    layer = layer_of(spark, FAULTY)
+    rows = lambda: (sorted(r.id for r in repair.faulty_features(layer).collect()), sorted(map(tuple, repair.fill_edges(layer).collect())))
+    at_once = rows()
+    monkeypatch.setattr(repair, "FEW", 0)
+    assert rows() == at_once
+
+
 def proper(p, q):
     """Whether two sides cross by more than rounding."""
     side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
