@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.operators.graph import Graph, both_ways
-from mosaiq.operators.vector import contours
+from mosaiq.operators.vector import contours, portions
 from mosaiq.sources import rag
 from mosaiq.sources.rag import FILE_SCHEMA, NODE_SCHEMA, encode_node, file_system, pack_moves, unpack_moves
 from mosaiq.sources.raster import Meta
@@ -58,20 +59,43 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def members_of_contours(rows: DataFrame, width: int) -> DataFrame:
     """``(pix, node)``: all pixels within each contour, by crossings of its pixel rows; see ``innermost`` for holes."""
 
-    def inside(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for node, moves in zip(part["node"], part["moves"]):
-                steps = np.asarray(moves)
-                x = node % width + np.r_[0, np.cumsum((steps == 1).astype(int) - (steps == 3))][:-1]
-                y = node // width + np.r_[0, np.cumsum((steps == 2).astype(int) - (steps == 0))][:-1]
-                down, up = steps == 2, steps == 0
-                rows, at = np.r_[y[down], y[up] - 1], np.r_[x[down], x[up]]
-                order = np.lexsort((at, rows))
-                pairs = at[order].reshape(-1, 2)
-                out = [row * width + np.arange(a, b) for row, (a, b) in zip(rows[order][::2], pairs)]
-                yield pd.DataFrame({"pix": np.concatenate(out), "node": node})
-
-    return rows.select("node", "moves").mapInPandas(inside, "pix long, node long")
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in portions(batch.column(1)):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                for pix, node in pixels_within(part.column(0).to_numpy(), np.diff(part.column(1).offsets.to_numpy()), part.column(1).flatten().to_numpy(), width):
+                    yield pa.RecordBatch.from_arrays([pa.array(pix), pa.array(node)], ["pix", "node"])
+
+    return rows.select("node", F.col("moves").cast("array<int>").alias("moves")).mapInArrow(inside, "pix long, node long")
+
+
+#: Pixels that are written out at once.
+PIXELS = 1 << 20
+
+
+def pixels_within(nodes: np.ndarray, sizes: np.ndarray, steps: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pixels and their node, of many contours at once: on each pixel row a contour's sides down and up take turns, with its pixels between them."""
+    g, first = np.repeat(np.arange(len(nodes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def before(step: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where each step begins: the contour's start and the steps before it."""
+        total = np.r_[0, np.cumsum(step)]
+        return at[g] + total[:-1] - total[first]
+
+    x = before((steps == 1).astype(np.int64) - (steps == 3), nodes % width)
+    y = before((steps == 2).astype(np.int64) - (steps == 0), nodes // width)
+    down, up = np.flatnonzero(steps == 2), np.flatnonzero(steps == 0)
+    owner, rows, at = np.r_[g[down], g[up]], np.r_[y[down], y[up] - 1], np.r_[x[down], x[up]]
+    order = np.lexsort((at, rows, owner))
+    owner, rows, at = owner[order][::2], rows[order][::2], at[order].reshape(-1, 2)
+    n = at[:, 1] - at[:, 0]
+    ends, start = np.cumsum(n), 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n[start] + PIXELS, "right")))
+        k = n[start:stop]
+        ahead = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        yield np.repeat(rows[start:stop] * width + at[start:stop, 0], k) + ahead, np.repeat(nodes[owner[start:stop]], k)
+        start = stop
 
 
 def innermost(inside: DataFrame) -> DataFrame:

@@ -89,3 +89,47 @@ def test_one_outline_of_a_million_sides(spark):
     steps = np.array([(0, -1), (1, 0), (0, 1), (-1, 0)])[np.array(moves)]
     path = np.vstack([[0, 0], steps.cumsum(0)])
     assert len(moves) == n_sides and (path[-1] == 0).all() and vector.ring_area(path) == members.count()
+
+
+def test_many_outlines_at_once_are_those_of_a_walk(monkeypatch):
+    """Regions with holes and pinched corners, all together and cut into portions, against chains of each."""
+    import pyarrow as pa
+
+    from mosaiq.operators import vector
+    from mosaiq.sources import dat
+
+    rng = np.random.default_rng(8)
+    rows, height, width = [], 40, 30
+    image = (rng.random((height, width)) < 0.62).astype(int)
+    label, seen = -np.ones((height, width), int), 0
+    for y, x in np.ndindex(height, width):
+        if label[y, x] < 0:
+            todo = [(y, x)]
+            label[y, x] = y * width + x
+            while todo:
+                b, a = todo.pop()
+                for v, u in ((b - 1, a), (b, a + 1), (b + 1, a), (b, a - 1)):
+                    if 0 <= v < height and 0 <= u < width and label[v, u] < 0 and image[v, u] == image[y, x]:
+                        label[v, u] = y * width + x
+                        todo.append((v, u))
+    corner = lambda x, y: [(x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)]
+    for y, x in np.ndindex(height, width):
+        for (v, u), side in zip(((y - 1, x), (y, x + 1), (y + 1, x), (y, x - 1)), corner(x, y)):
+            if not (0 <= v < height and 0 <= u < width and label[v, u] == label[y, x]):
+                rows.append((label[y, x], *side))
+    sides = rng.permutation(np.array(rows))
+    nodes, g = np.unique(sides[:, 0], return_inverse=True)
+    moves, sizes = vector.outer_moves(g, *sides[:, 1:].T, len(nodes))
+    for k, (node, got) in enumerate(zip(nodes, np.split(moves, np.cumsum(sizes)[:-1]))):
+        own = sides[g == k, 1:]
+        ring = max(vector.chain_rings(list(own.reshape(-1, 2, 2)), rightmost=True), key=vector.ring_area)
+        dx, dy = np.diff(ring, axis=0).T
+        assert got.tolist() == np.select([dy < 0, dx > 0, dy > 0], [0, 1, 2], 3).tolist() and tuple(ring[0]) == (node % width, node // width)
+    found = {}
+    for most in (50, 1 << 20):
+        monkeypatch.setattr(dat, "PIXELS", most)
+        for pix, node in dat.pixels_within(nodes, sizes, moves, width):
+            for p, n in zip(pix.tolist(), node.tolist()):
+                found.setdefault((most, p), []).append(n)
+    assert all(max(found[most, p]) == label[p // width, p % width] for most in (50, 1 << 20) for p in range(height * width))
+    assert [(s.start, s.stop) for s in vector.portions(pa.array([[1] * 3, [1], [1] * 9, [], [1]]), 4)] == [(0, 2), (2, 3), (3, 5)]
